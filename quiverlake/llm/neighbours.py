@@ -93,6 +93,28 @@ class Curves:
         return np.searchsorted(self.cuts[o], keys, side="right")
 
 
+def even_labels(n: int) -> list[int]:
+    """``n`` ints of which hash partitioning into ``n`` partitions puts exactly one into each.
+
+    Spark places an int by its Murmur3 hash (seed 42) modulo the number of partitions.
+    """
+    mask, free, out, x = 0xFFFFFFFF, n, [None] * n, 0
+    while free:
+        k = x * 0xCC9E2D51 & mask
+        k = (k << 15 | k >> 17) & mask
+        h = 42 ^ (k * 0x1B873593 & mask)
+        h = (((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64) & mask
+        h ^= 4
+        h = (h ^ h >> 16) * 0x85EBCA6B & mask
+        h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+        h ^= h >> 16
+        at = (h - (1 << 32) if h >> 31 else h) % n
+        if out[at] is None:
+            out[at], free = x, free - 1
+        x += 1
+    return out
+
+
 def _block_candidates(s: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
     """Entries of each row of ``s`` that can be among its ``k`` largest and reach ``floor``.
 
@@ -219,7 +241,7 @@ def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor:
     yield from flush(True)
 
 
-def nearest(vectors: DataFrame, *, fit: np.ndarray, total: int, dim: int, k: int = 5, floor: float = -1.0, orderings: int = 4, block: int = 1024, rows_per_part: int = 40_000, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, *, fit: np.ndarray, total: int, dim: int, k: int = 5, floor: float = -1.0, orderings: int = 3, block: int = 2048, rows_per_part: int = 40_000, seed: int = 7) -> DataFrame:
     """The ``k`` most similar other ids of every id: ``id, found: array<struct<s: -cosine, id>>``.
 
     ``vectors``: ``id string, vec binary`` (float32 bytes), one row per id; ``total``: about how many.
@@ -231,6 +253,7 @@ def nearest(vectors: DataFrame, *, fit: np.ndarray, total: int, dim: int, k: int
     """
     parts = max(1, -(-total // rows_per_part))
     curves = Curves(fit, dim, orderings, parts, seed=seed)
+    labels = np.array(even_labels(orderings * parts), np.int32)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -239,7 +262,7 @@ def nearest(vectors: DataFrame, *, fit: np.ndarray, total: int, dim: int, k: int
             u = np.round(unit(from_binary(b.column("vec"), dim)), curves.places)
             for o in range(orderings):
                 keys = curves.keys(u, o)
-                yield pa.RecordBatch.from_arrays([pa.array((o * parts + curves.part(keys, o)).astype(np.int32)), pa.array(keys), b.column("id"), b.column("vec")], ["part", "key", "id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(labels[o * parts + curves.part(keys, o)]), pa.array(keys), b.column("id"), b.column("vec")], ["part", "key", "id", "vec"])
 
     placed = vectors.mapInArrow(place, "part int, key bigint, id string, vec binary")
     stretches = placed.repartition(orderings * parts, "part").sortWithinPartitions("part", "key", "id")
