@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neighbours
+from . import clusters, leaks, neighbours, tokens
 
 ALIKE = 0.84  # cosine from which two records count as alike
 
@@ -16,11 +16,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    points = clusters.live_points(table(spark, d, "ingest_docs"))
+    return clusters.similarity_groups(points, dim=64, alike=ALIKE, at_least=5)
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Each group with its size and its three most typical records."""
+    points = clusters.live_points(table(spark, d, "ingest_docs"))
+    groups = clusters.similarity_groups(points, dim=64, alike=ALIKE, at_least=5)
+    return clusters.describe_groups(groups, points, dim=64)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     found = neighbours.nearest_records(table(spark, d, "ingest_docs"), k=5, floor=ALIKE)
     return neighbours.similar_pairs(found).select("id_a", "id_b")
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the word pattern that belongs to the vocabulary
@@ -112,5 +113,5 @@ def encode(df: DataFrame, *, text_col: str = "text", out_col: str = "ids", vocab
                 flat = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*rest, out_col])
 
-    schema = df.select(*rest).schema.add(out_col, "array<int>")
+    schema = df.select(*rest).schema.add(out_col, T.ArrayType(T.IntegerType()))
     return df.select(*rest, F.col(text_col).alias("__text")).mapInArrow(run, schema)
