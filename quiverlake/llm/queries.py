@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clusters, leaks, neighbours, tokens
+from . import chunks, clusters, fuse_ranks, leaks, neighbours, subset, tokens
 
 ALIKE = 0.84  # cosine from which two records count as alike
 
@@ -16,6 +16,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_subset(spark, d, one_per_theme=True).select("qid", "id")
+
+
+def p1_subset(spark: SparkSession, d: str, one_per_theme: bool = False) -> DataFrame:
+    """The whole selection with its order; may hold several hits of a theme once all themes are shown."""
+    sizes = table(spark, d, "search_queries").where("subset_size is not null").select("qid", "subset_size")
+    asked = table(spark, d, "search_hits").join(sizes.select("qid").distinct(), "qid", "left_semi")
+    hits = subset.hits_with_vectors(asked, table(spark, d, "ingest_docs"))
+    return subset.varied_subset(hits, sizes, alike=ALIKE, one_per_theme=one_per_theme)
+
+
+def p2_pieces(spark: SparkSession, d: str, with_text: bool = True) -> DataFrame:
+    a = table(spark, d, "ingest_docs").select(F.lit("ingest_docs").alias("source"), "id", "mime", "text", F.col("received_at").alias("version"), F.col("batch_no").alias("tie"))
+    b = table(spark, d, "text_documents").select(F.lit("text_documents").alias("source"), "id", F.element_at("metadata", "mime").alias("mime"), "text", F.col("indexed_at").alias("version"), F.lit(0).cast("bigint").alias("tie"))
+    return chunks.oversized_pieces(a.unionByName(b), table(spark, d, "chunk_limits"), with_text=with_text)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.cut_kinds(p2_pieces(spark, d, with_text=False))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     points = clusters.live_points(table(spark, d, "ingest_docs"))
     return clusters.similarity_groups(points, dim=64, alike=ALIKE, at_least=5)
@@ -28,6 +50,15 @@ def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.describe_groups(groups, points, dim=64)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    lists = table(spark, d, "scored_ids")
+    hits = table(spark, d, "search_hits").select("qid", F.lit(" hits").alias("list"), "id", "score")
+    scores = fuse_ranks.latest_runs(lists).unionByName(hits)
+    enough = lists.where("retriever is not null").groupBy("qid").agg(F.countDistinct("retriever").alias("n")).where("n >= 3").select("qid")
+    top = table(spark, d, "search_queries").select("qid", "top_n").join(enough, "qid", "left_semi")
+    return fuse_ranks.borda(scores, top).select("qid", "id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     found = neighbours.nearest_records(table(spark, d, "ingest_docs"), k=5, floor=ALIKE)
     return neighbours.similar_pairs(found).select("id_a", "id_b")
