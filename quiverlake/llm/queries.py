@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, clusters, fuse_ranks, leaks, neighbours, subset, tokens
+from . import areas, chunks, clusters, fuse_ranks, leaks, neighbours, pairs, subset, tokens
 
 ALIKE = 0.84  # cosine from which two records count as alike
 
@@ -64,6 +64,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(found).select("id_a", "id_b")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    calls = table(spark, d, "cassette_chats").select(F.lit("cassette_chats").alias("pair_source"), F.col("cassette_key").alias("pair_key"), "prompt", F.col("response_text").alias("answer"))
+    chats = pairs.session_pairs(table(spark, d, "chat_messages")).select(F.lit("chat_messages").alias("pair_source"), "pair_key", "prompt", "answer")
+    return pairs.flag_pairs(calls.unionByName(chats))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -72,6 +78,16 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return areas.subject_areas(table(spark, d, "documents")).select("doc_id", "area")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by subject: documents of each area and their share of all documents."""
+    docs = table(spark, d, "documents")
+    return areas.area_shares(areas.subject_areas(docs), docs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
