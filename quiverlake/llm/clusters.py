@@ -1,7 +1,7 @@
 """Grouping records into similarity clusters.
 
 Distributed k-means, seeded by parallel oversampling, cuts the records into cells; every
-record goes to its two nearest centroids. Inside a cell the links between records (cosine at
+record goes to its three nearest centroids. Inside a cell the links between records (cosine at
 least ``alike``) are found exactly, and components that share records across cells are merged.
 So the centroids decide only who is compared, not who is alike.
 """
@@ -45,14 +45,14 @@ def hashed_features(texts: list[str | None], dim: int = 64, weights: dict[str, f
 def _best(u: np.ndarray, centers: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices and cosines of the ``want`` nearest centers, nearest first."""
     s = u @ centers.T
-    a = s.argmax(axis=1)
     rows = np.arange(len(u))
-    top = s[rows, a]
-    if want == 1 or centers.shape[0] < 2:
-        return a[:, None], top[:, None]
-    s[rows, a] = -2
-    b = s.argmax(axis=1)
-    return np.stack([a, b], 1), np.stack([top, s[rows, b]], 1)
+    which, cosine = [], []
+    for _ in range(min(want, len(centers))):
+        a = s.argmax(axis=1)
+        which.append(a)
+        cosine.append(s[rows, a])
+        s[rows, a] = -2
+    return np.stack(which, 1), np.stack(cosine, 1)
 
 
 def _each(batches: Iterator[pa.RecordBatch], dim: int, rows: int = 8192):
@@ -272,13 +272,13 @@ def _steps(n: int):
         at, width = at + width, min(width * 4, 8192)
 
 
-def similarity_groups(points: DataFrame, *, dim: int, alike: float = 0.84, rows_per_cell: int = 512, at_least: int = 2, total: int | None = None, seed: int = 3) -> DataFrame:
+def similarity_groups(points: DataFrame, *, dim: int, alike: float = 0.84, rows_per_cell: int = 512, cells: int = 3, at_least: int = 2, total: int | None = None, seed: int = 3) -> DataFrame:
     """``cluster_id, id`` of the groups with at least ``at_least`` records.
 
     ``points``: ``id string, vec binary``, one row per id, read several times (pass a written table).
     Records belong together if their cosine is at least ``alike``, directly or through others;
     ``cluster_id`` is the smallest id of the group. Links are exact among records that share one
-    of their two nearest centroids. Copies link like any other records. Empty input gives an
+    of their ``cells`` nearest centroids. Copies link like any other records. Empty input gives an
     empty result; records alike to none are in no group.
     """
     total = points.count() if total is None else total
@@ -286,9 +286,9 @@ def similarity_groups(points: DataFrame, *, dim: int, alike: float = 0.84, rows_
 
     def assign(batches):
         for part, u in _each(batches, dim):
-            cells, _ = _best(u, centers, 2)
-            for j in range(cells.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(cells[:, j].astype(np.int32)), part.column("id"), part.column("vec")], ["cell", "id", "vec"])
+            which, _ = _best(u, centers, cells)
+            for j in range(which.shape[1]):
+                yield pa.RecordBatch.from_arrays([pa.array(which[:, j].astype(np.int32)), part.column("id"), part.column("vec")], ["cell", "id", "vec"])
 
     def link(batches):
         for group in sorted_groups(batches, "cell"):
@@ -303,10 +303,11 @@ def similarity_groups(points: DataFrame, *, dim: int, alike: float = 0.84, rows_
             names = np.repeat(ids[order[cuts]], sizes)
             yield pa.RecordBatch.from_arrays([pa.array(ids[order][keep], pa.string()), pa.array(names[keep], pa.string())], ["id", "comp"])
 
-    cells = points.mapInArrow(assign, "cell int, id string, vec binary").repartition("cell").sortWithinPartitions("cell")
-    linked = cells.mapInArrow(link, "id string, comp string")
-    member = materialise(linked.groupBy("id").agg(F.min("comp").alias("comp"), F.max("comp").alias("other")), "member")
-    edges = member.where("comp <> other").select(F.col("comp").alias("a"), F.col("other").alias("b"))
+    placed = points.mapInArrow(assign, "cell int, id string, vec binary").repartition("cell").sortWithinPartitions("cell")
+    linked = placed.mapInArrow(link, "id string, comp string")
+    # a record has at most ``cells`` components
+    member = materialise(linked.groupBy("id").agg(F.min("comp").alias("comp"), F.collect_set("comp").alias("comps")), "member")
+    edges = member.where(F.size("comps") > 1).select(F.col("comp").alias("a"), F.explode("comps").alias("b"))
     if edges.isEmpty():
         placed = member.select("id", F.col("comp").alias("root"))
     else:
