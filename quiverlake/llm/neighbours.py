@@ -241,7 +241,7 @@ def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor:
     yield from flush(True)
 
 
-def nearest(vectors: DataFrame, *, fit: np.ndarray, total: int, dim: int, k: int = 5, floor: float = -1.0, orderings: int = 3, block: int = 2048, rows_per_part: int = 40_000, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, *, fit: np.ndarray, total: int, dim: int, k: int = 5, floor: float = -1.0, orderings: int = 3, block: int = 3072, rows_per_part: int = 40_000, seed: int = 7) -> DataFrame:
     """The ``k`` most similar other ids of every id: ``id, found: array<struct<s: -cosine, id>>``.
 
     ``vectors``: ``id string, vec binary`` (float32 bytes), one row per id; ``total``: about how many.
