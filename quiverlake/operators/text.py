@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,12 +25,14 @@ def and_search(docs: DataFrame, query_terms: list[str], k: int, *, id_col: str =
     wanted = F.array(*[F.lit(t) for t in query_terms])
     t = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).where(F.size(F.array_except(wanted, F.col("t"))) == 0)
     hit = t.select("id", F.size(F.filter("t", lambda x: F.array_contains(wanted, x))).alias("n")).orderBy(F.desc("n"), "id").limit(k)
-    from pyspark.sql import Window
-
     w = Window.orderBy(F.desc("n"), "id")  # over at most k rows
     return hit.withColumn("rank", F.row_number().over(w)).select("id", "rank", (F.lit(1.0) / F.col("rank")).alias("score"))
 
 
+def _equals(term: str):
+    return lambda x: x == F.lit(term)
+
+
 def bm25(docs: DataFrame, query_terms: list[str], k: int, *, id_col: str = "id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 of any matching term: ``id, score``, best first.
 
@@ -38,7 +40,7 @@ def bm25(docs: DataFrame, query_terms: list[str], k: int, *, id_col: str = "id",
     (id, length, term counts) of matching documents are shuffled, and statistics are one row.
     """
     t = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    tf = [F.size(F.filter("t", lambda x, q=q: x == q)).alias(f"tf{i}") for i, q in enumerate(query_terms)]
+    tf = [F.size(F.filter("t", _equals(q))).alias(f"tf{i}") for i, q in enumerate(query_terms)]
     counted = t.select("id", F.size("t").alias("len"), *tf)
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(query_terms))])
     both = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(query_terms)))).join(F.broadcast(stats))  # one row
