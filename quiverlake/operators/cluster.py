@@ -75,6 +75,8 @@ def train_kmeans(df: DataFrame, k: int, *, vec_col: str = "vector", steps: int =
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    if k == 1:
+        return mean_vector(df, vec_col).select(F.lit(0).cast("bigint").alias("cluster_id"), "centroid")
     x = df.where(F.col(vec_col).isNotNull()).select(array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=steps, initMode="k-means||").fit(x)
     rows = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]

@@ -142,16 +142,21 @@ class MapFields:
 def to_column(f, fields) -> Column:
     """A boolean Column that is never null. No coercion: a string never equals a number, a range on
     a field that is no number is false, equality on tags means contains, ``in`` on tags means overlap."""
-    never = F.lit(False)
+    return F.coalesce(to_where(f, fields), F.lit(False))
+
+
+def to_where(f, fields) -> Column:
+    """The same for a WHERE clause: null stands for false, which lets plain comparisons reach the scan.
 
-    def sure(c: Column | None) -> Column:
-        return never if c is None else F.coalesce(c, never)
+    Where no negation is above it, a null is as good as false; a negation makes its part sure first.
+    """
+    never = F.lit(False)
 
     def any_of(*columns):
         out = None
         for c in columns:
             if c is not None:
-                out = sure(c) if out is None else out | sure(c)
+                out = c if out is None else out | c
         return never if out is None else out
 
     if f is None or isinstance(f, All):
@@ -165,12 +170,13 @@ def to_column(f, fields) -> Column:
         c = fields.of(f.field, "num")
         if c is None:
             return never
-        out = c.isNotNull() & ~F.isnan(c.cast("double"))
+        real = isinstance(fields, MapFields) or isinstance(fields.schema[f.field], (T.DoubleType, T.FloatType))
+        out = c.isNotNull() & ~F.isnan(c) if real else c.isNotNull()
         if f.low is not None:
             out = out & ((c > f.low) if f.low_open else (c >= f.low))
         if f.high is not None:
             out = out & ((c < f.high) if f.high_open else (c <= f.high))
-        return sure(out)
+        return out
     if isinstance(f, In):
         columns = []
         for kind in ("str", "num", "bool"):
@@ -183,18 +189,21 @@ def to_column(f, fields) -> Column:
                 columns.append(F.arrays_overlap(tags, F.array(*[F.lit(v) for v in values])))
         return any_of(*columns)
     if isinstance(f, (And, Or)):
-        parts = [to_column(p, fields) for p in f.parts]
+        parts = [to_where(p, fields) for p in f.parts]
         out = parts[0]
         for p in parts[1:]:
             out = out & p if isinstance(f, And) else out | p
         return out
     if isinstance(f, Not):
-        return ~to_column(f.part, fields)
+        part = f.part
+        if isinstance(part, (Eq, In)) and isinstance(fields, FlatFields) and part.field in fields.schema and not isinstance(fields.schema[part.field], T.ArrayType):
+            return F.col(f"`{part.field}`").isNull() | ~to_where(part, fields)  # reaches the scan
+        return ~to_column(part, fields)
     raise TypeError(f"no filter: {f!r}")
 
 
 def apply(df: DataFrame, f, metadata: str | None = None) -> DataFrame:
-    return df.where(to_column(f, MapFields(metadata) if metadata else FlatFields(df.schema)))
+    return df.where(to_where(f, MapFields(metadata) if metadata else FlatFields(df.schema)))
 
 
 _LOGIC, _RANGE = ("and", "or", "not"), ("gt", "gte", "lt", "lte")

@@ -41,7 +41,7 @@ def search(table: DataFrame, query, k: int, *, metric: str = "cosine", id_col: s
     clustered indexes. Rows without a vector of the query's length have no score and are left out.
     """
     q = V.literal(query)
-    keep = filters.to_column(where, filters.MapFields(metadata) if metadata else filters.FlatFields(table.schema))
+    keep = filters.to_where(where, filters.MapFields(metadata) if metadata else filters.FlatFields(table.schema))
     score = (V.raw_score if raw else V.score)(F.col(vec_col), q, metric)
     rows = table if exclude_id is None else table.where(F.col(id_col) != F.lit(exclude_id))
     rows = rows.where(F.size(vec_col) == len(query))
