@@ -198,7 +198,7 @@ def link_cell(u: np.ndarray, alike: float, rng: np.random.Generator) -> np.ndarr
     left = np.arange(n)
     theta = np.arccos(alike)
     while len(left) > SPLIT_ABOVE:
-        trial = left[rng.choice(len(left), 64, replace=False)]
+        trial = left[rng.choice(len(left), min(64, len(left)), replace=False)]
         s = f[left] @ f[trial].T
         sizes = (s >= alike).sum(axis=0)
         best = int(sizes.argmax())
@@ -272,16 +272,42 @@ def _steps(n: int):
         at, width = at + width, min(width * 4, 8192)
 
 
+_KEYS = np.random.default_rng(17).integers(0, 2**63, (2, 4096), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _same_direction(points: DataFrame, dim: int, salts: int = 16) -> DataFrame:
+    """``id, rep`` of the records that share their direction (to 6 decimals) with another; ``rep`` is the smallest id.
+
+    Counted by two 64-bit keys of the direction, combined on the map side; the join back is salted,
+    so copies of one vector may be most of the rows.
+    """
+
+    def key(batches):
+        for part, u in ((p, unit(from_binary(p.column("vec"), dim))) for b in batches for p in [b] if b.num_rows):
+            q = np.rint(u * 1e6).astype(np.int64).view(np.uint64)
+            h = [(q * k[:dim]).sum(axis=1).view(np.int64) for k in _KEYS]
+            yield pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, h)], ["id", "h1", "h2"])
+
+    keyed = points.mapInArrow(key, "id string, h1 bigint, h2 bigint")
+    several = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    salted = several.select("h1", "h2", "rep", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return keyed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(salted, ["h1", "h2", "salt"]).select("id", "rep")
+
+
 def similarity_groups(points: DataFrame, *, dim: int, alike: float = 0.84, rows_per_cell: int = 512, cells: int = 3, at_least: int = 2, total: int | None = None, seed: int = 3) -> DataFrame:
     """``cluster_id, id`` of the groups with at least ``at_least`` records.
 
     ``points``: ``id string, vec binary``, one row per id, read several times (pass a written table).
     Records belong together if their cosine is at least ``alike``, directly or through others;
     ``cluster_id`` is the smallest id of the group. Links are exact among records that share one
-    of their ``cells`` nearest centroids. Copies link like any other records. Empty input gives an
-    empty result; records alike to none are in no group.
+    of their ``cells`` nearest centroids. Records of the same direction are compared once, through
+    the smallest id among them, and all belong to its group, so no cell fills up with copies.
+    Empty input gives an empty result; records alike to none are in no group.
     """
     total = points.count() if total is None else total
+    copies = materialise(_same_direction(points, dim), "copies")
+    if not copies.isEmpty():
+        points = materialise(points.join(copies.where("id <> rep"), "id", "left_anti").select("id", "vec"), "distinct")
     centers = kmeans_centroids(points, dim=dim, k=max(1, total // rows_per_cell), seed=seed)
 
     def assign(batches):
@@ -314,7 +340,13 @@ def similarity_groups(points: DataFrame, *, dim: int, alike: float = 0.84, rows_
         roots = connected_components(edges)
         # components named in an edge are few beside the records; their names are unique here
         placed = member.join(roots, member.comp == roots.node, "left").select("id", F.coalesce("root", "comp").alias("root"))
-    return _of_size(placed, at_least)
+    others = copies.where("id <> rep")
+    # a representative linked to no one still leads its copies; each copy takes its representative's group
+    leaders = copies.where("id = rep").select(F.col("id").alias("rep")).join(placed.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"))
+    salted = leaders.select("rep", "root", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    followers = others.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")).join(salted, ["rep", "salt"]).select("id", "root")
+    alone = leaders.join(placed.select(F.col("id").alias("rep")), "rep", "left_anti").select(F.col("rep").alias("id"), "root")
+    return _of_size(placed.unionByName(alone).unionByName(followers), at_least)
 
 
 def _of_size(placed: DataFrame, at_least: int, salts: int = 16) -> DataFrame:
