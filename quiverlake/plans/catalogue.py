@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import cluster, filters, fusion, metrics, quant, route, search, table, text, tune
+from ..operators import cluster, filters, fusion, graph, metrics, quant, route, search, table, text, tune
 from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,7 +92,7 @@ def knn_raw_l2(spark, d):
     return out(search.search(emb(spark, d), vec(spark, d), 10, metric="l2", raw=True))
 
 
-BATCH = f"""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT id AS qid, v AS qv FROM e WHERE {{which}}),
+BATCH = f"""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), q AS (SELECT id AS qid, v AS qv FROM e WHERE {{which}}),
 s AS (SELECT qid, id, {COS} AS score FROM e, q WHERE {{where}}), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s)
 """
 
@@ -379,6 +379,32 @@ def cluster_split(spark, d):
     return cluster.split_cluster(emb(spark, d).where("label = 1")).groupBy("child").agg(F.count("*").alias("n"))
 
 
+def _graph_recall(kind):
+    """Mean recall@10 of graph search with 4 graphs, against exact search."""
+
+    def run(spark, d):
+        e = emb(spark, d)
+        q = e.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("qvec"))
+        index = graph.build(e, kind, rows_per_graph=max(100, e.count() // 4))
+        return search.recall_at(graph.search(index, q, 10), search.search_batch(e, q, 10), 10).agg(F.avg("recall").alias("recall"))
+
+    run.__name__ = f"{kind}_recall"
+    return run
+
+
+for _kind in ("hnsw", "vamana"):
+    query()(_graph_recall(_kind))
+
+
+@query(BATCH.format(which="id < 10", where="label = 3") + "SELECT qid, id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
+def graph_filtered(spark, d):
+    """Wide-beamed search of the graphs that collects only rows of a label while it walks through all."""
+    e = emb(spark, d)
+    q = e.where("id < 10").select(F.col("id").alias("qid"), F.col("vector").alias("qvec"))
+    index = graph.build(e, "hnsw")
+    return graph.search(index, q, 5, width=4000, allowed=e.where("label = 3").select("id")).withColumn("score", r6("score"))
+
+
 # -- fusion, routing, caches ---------------------------------------------------------------------------
 
 TWO = f"""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), qq AS (SELECT id AS list_id, v AS qv FROM e WHERE id IN (0, 1)),

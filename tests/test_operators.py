@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quiverlake.functions import vectors as V
-from quiverlake.operators import cluster, components, filters, fusion, metrics, quant, route, search, table, tune
+from quiverlake.operators import cluster, components, filters, fusion, graph, metrics, quant, route, search, table, tune
 
 META = "id string, vector array<float>, color string, size double, active boolean, tags array<string>"
 
@@ -197,3 +197,18 @@ def test_study_store(tmp_path):
     tune.save_trials([({"a": 1}, 0.5)], str(tmp_path / "s.jsonl"))
     tune.save_trials([({"a": 2}, 0.7)], str(tmp_path / "s.jsonl"))
     assert tune.load_trials(str(tmp_path / "s.jsonl")) == [({"a": 1}, 0.5), ({"a": 2}, 0.7)]
+
+
+@pytest.mark.parametrize("make", [graph.Hnsw, graph.Vamana])
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot"])
+def test_graph_recall(make, metric):
+    x = np.random.default_rng(5).normal(size=(500, 16))
+    g = make(x, metric)
+    hits = 0
+    for i in range(20):
+        true = np.argsort(-graph.similarities(x, np.arange(500), x[i], metric), kind="stable")[:10]
+        hits += len(set(true.tolist()) & {n for _, n in g.search(x[i], 10, 100)})
+    assert hits / 200 >= 0.8
+    keep = [n % 5 == 0 for n in range(500)]
+    assert all(n % 5 == 0 for _, n in g.search(x[0], 10, 50, keep))
+    assert make(x[:0], metric).search(x[0], 3, 10) == [] and [n for _, n in make(x[:1], metric).search(x[0], 3, 10)] == [0]
