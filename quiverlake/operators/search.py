@@ -66,6 +66,8 @@ def search_batch(corpus: DataFrame, queries: DataFrame, k: int, *, metric: str =
     q_type, id_type = rows.schema["q"].dataType.simpleString(), corpus.schema[id_col].dataType.simpleString()
     source = corpus.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
     schema = f"qid {q_type}, id {id_type}, score double"
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    spread = source.repartition(cores) if source.rdd.getNumPartitions() < cores else source  # a small file is one split
 
     def one(batch):
         dim = len(batch[0][1])
@@ -75,47 +77,45 @@ def search_batch(corpus: DataFrame, queries: DataFrame, k: int, *, metric: str =
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, m = sent.value
-            best_s = np.full((len(names), 0), -np.inf)
-            best_i = np.empty((len(names), 0), object)
-            qn = np.einsum("ij,ij->i", m, m)
-            own = np.array(names, object)
+            qn, own = np.einsum("ij,ij->i", m, m), np.array(names, object)
+            rows, ids, best = np.empty(0, np.int64), None, np.empty(0)
+            bound = np.full(len(names), -np.inf)  # a query's k-th best so far
             for b in batches:
                 col = b.column("vec")
                 fit = np.flatnonzero(pa.compute.fill_null(pa.compute.list_value_length(col), -1).to_numpy(zero_copy_only=False) == dim)
                 if not len(fit):
                     continue
-                ids = b.column("id").to_numpy(zero_copy_only=False)[fit].astype(object)
+                pid_all = b.column("id").take(pa.array(fit)).to_numpy(zero_copy_only=False)
                 x = col.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).reshape(len(fit), dim).astype(np.float64)
-                for at in range(0, len(x), 4096):
-                    part, pid = x[at : at + 4096], ids[at : at + 4096]
-                    s = _scores(m, qn, part, metric)
+                ids = pid_all[:0] if ids is None else ids
+                for at in range(0, len(x), 2048):
+                    pid = pid_all[at : at + 2048]
+                    s = _scores(m, qn, x[at : at + 2048], metric)
                     s[np.isnan(s)] = -np.inf
                     if exclude_self:
                         s[own[:, None] == pid[None, :]] = -np.inf
                     if min_score is not None:
                         s[s < min_score] = -np.inf
-                    all_s, all_i = np.hstack([best_s, s]), np.hstack([best_i, np.broadcast_to(pid, s.shape)])
-                    if all_s.shape[1] > k:
-                        kth = -np.partition(-all_s, k - 1, axis=1)[:, k - 1]
-                        take_s, take_i = np.full((len(names), k), -np.inf), np.empty((len(names), k), object)
-                        for r in range(len(names)):
-                            c = np.flatnonzero(all_s[r] >= kth[r]) if kth[r] > -np.inf else np.flatnonzero(all_s[r] > -np.inf)
-                            c = c[np.lexsort((all_i[r][c], -all_s[r][c]))][:k] if len(c) else c
-                            take_s[r, : len(c)], take_i[r, : len(c)] = all_s[r][c], all_i[r][c]
-                        all_s, all_i = take_s, take_i
-                    best_s, best_i = all_s, all_i
-            r, c = np.nonzero(best_s > -np.inf)
-            if len(r):
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in r]), pa.array(best_i[r, c].tolist()), pa.array(best_s[r, c])], ["qid", "id", "score"]).cast(_target)
-
+                    r, c = top_entries(s, k, bound)
+                    rows, ids, best = _keep_best(np.concatenate([rows, r]), np.concatenate([ids, pid[c]]), np.concatenate([best, s[r, c]]), k)
+                    full = np.bincount(rows, minlength=len(names)) == k
+                    low = np.full(len(names), np.inf)
+                    np.minimum.at(low, rows, best)
+                    bound[full] = low[full]
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in rows]), pa.array(ids.tolist()), pa.array(best)], ["qid", "id", "score"]).cast(_target)
 
         from pyspark.sql.pandas.types import to_arrow_schema
         from pyspark.sql.types import _parse_datatype_string
 
         _target = to_arrow_schema(_parse_datatype_string(schema))
-        return source.mapInArrow(score, schema)
+        return spread.mapInArrow(score, schema)
 
     passes, batch = [], []
+    few = rows.limit(queries_per_pass + 1).toArrow().combine_chunks()
+    if few.num_rows and few.num_rows <= queries_per_pass and len(set(pa.compute.list_value_length(few.column("v")).to_pylist())) == 1:
+        m = few.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(few.num_rows, -1)
+        return rank_by(one(list(zip(few.column("q").to_pylist(), m))), ["qid"], "score", "id", k)
     for r in rows.toLocalIterator():
         if batch and (len(batch) == queries_per_pass or len(r.v) != len(batch[0][1])):
             passes.append(one(batch))
@@ -131,6 +131,29 @@ def search_batch(corpus: DataFrame, queries: DataFrame, k: int, *, metric: str =
     return rank_by(found, ["qid"], "score", "id", k)
 
 
+def top_entries(s: np.ndarray, k: int, floor: np.ndarray, group: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the entries that can be among the ``k`` largest of their row and reach the row's ``floor``.
+
+    The k-th largest of the maxima of groups of columns is a lower bound of the k-th entry.
+    """
+    n, w = s.shape
+    bound = floor
+    if w >= group * (k + 1):
+        whole = w // group * group
+        tops = s[:, :whole].reshape(n, whole // group, group).max(axis=2)
+        bound = np.maximum(floor, np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k])
+    flat = np.flatnonzero((s >= bound[:, None]) & (s > -np.inf))
+    return flat // w, flat % w
+
+
+def _keep_best(rows, ids, scores, k):
+    order = np.lexsort((ids, -scores, rows))
+    rows, ids, scores = rows[order], ids[order], scores[order]
+    first = np.searchsorted(rows, rows)
+    keep = np.arange(len(rows)) - first < k
+    return rows[keep], ids[keep], scores[keep]
+
+
 def _scores(m, qn, x, metric):
     d = m @ x.T
     if metric == "dot":
