@@ -171,8 +171,8 @@ def subject_areas(docs: DataFrame, *, doc_id: str = "doc_id", text_col: str = "t
 
 def area_shares(found: DataFrame, docs: DataFrame) -> DataFrame:
     """``area, n_docs, share`` of all documents; a document with several areas counts in each."""
-    total = docs.agg(F.count("*").alias("total"))
-    return found.groupBy("area").agg(F.countDistinct("doc_id").alias("n_docs")).join(total).select("area", "n_docs", F.round(F.col("n_docs") / F.col("total"), 6).alias("share"))
+    total = max(1, docs.count())
+    return found.groupBy("area").agg(F.countDistinct("doc_id").alias("n_docs")).select("area", "n_docs", F.round(F.col("n_docs") / F.lit(total), 6).alias("share"))
 
 
 def calibrate(docs: DataFrame, labels: DataFrame, *, most_docs: int = 5000, grid: tuple[float, ...] = (0.05, 0.1, 0.2, 0.3, 0.4, 0.6, 0.8)) -> tuple[float, float]:
