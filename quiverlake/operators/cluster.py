@@ -41,29 +41,41 @@ def intrinsic_dimension(df: DataFrame, vec_col: str, *, rows: int = 1024, share:
     return int(np.searchsorted(np.cumsum(v) / total, share) + 1) if total > 0 else 0
 
 
-def assign(df: DataFrame, centroids: DataFrame, *, id_col: str = "id", vec_col: str = "vector", most: int = 65_536) -> DataFrame:
-    """``id, cluster_id, d2``: the nearest centroid (ties: the smaller id), by one matrix product per Arrow batch.
-
-    Centroids (``cluster_id, centroid``) are model state; at most ``most`` are accepted for broadcast.
-    """
+def _model(centroids: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids are model state: at most ``most`` are accepted for sending to every task."""
     rows = centroids.select("cluster_id", "centroid").orderBy("cluster_id").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} centroids")
-    names, c = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+
+
+def nearest_centroids(df: DataFrame, centroids: DataFrame, n: int = 1, *, id_col: str = "id", vec_col: str = "vector", most: int = 65_536) -> DataFrame:
+    """``id, cluster_id, d2``: the ``n`` nearest centroids of every row (ties: the smaller id), by one matrix product per
+    Arrow batch. Rows without a vector of the centroids' length are left out."""
+    names, c = _model(centroids, most)
     id_type = df.schema[id_col].dataType.simpleString()
+    schema = f"id {id_type}, cluster_id bigint, d2 double"
+    if not len(c):
+        return df.sparkSession.createDataFrame([], schema)
+    n = min(n, len(c))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fit = np.flatnonzero(pc.fill_null(pc.list_value_length(b.column("v")), -1).to_numpy(zero_copy_only=False) == (c.shape[1] if len(c) else -2))
+            fit = np.flatnonzero(pc.fill_null(pc.list_value_length(b.column("v")), -1).to_numpy(zero_copy_only=False) == c.shape[1])
             if not len(fit):
                 continue
             x = b.column("v").take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).reshape(len(fit), -1).astype(np.float64)
             d2 = (x**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * x @ c.T
-            near = d2.argmin(axis=1)
-            exact = ((x - c[near]) ** 2).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column("i").take(pa.array(fit)), pa.array(names[near]), pa.array(exact)], ["id", "cluster_id", "d2"])
+            near = np.argsort(d2, axis=1, kind="stable")[:, :n] if n > 1 else d2.argmin(axis=1)[:, None]
+            exact = ((x[:, None, :] - c[near]) ** 2).sum(axis=2)
+            ids = b.column("i").take(pa.array(np.repeat(fit, n)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(names[near].ravel()), pa.array(exact.ravel())], ["id", "cluster_id", "d2"])
+
+    return df.select(F.col(id_col).alias("i"), F.col(vec_col).cast("array<float>").alias("v")).mapInArrow(run, schema)
+
 
-    return df.select(F.col(id_col).alias("i"), F.col(vec_col).cast("array<float>").alias("v")).mapInArrow(run, f"id {id_type}, cluster_id bigint, d2 double")
+def assign(df: DataFrame, centroids: DataFrame, *, id_col: str = "id", vec_col: str = "vector") -> DataFrame:
+    return nearest_centroids(df, centroids, 1, id_col=id_col, vec_col=vec_col)
 
 
 def quantization_error(assigned: DataFrame) -> DataFrame:
@@ -98,10 +110,9 @@ def probes(queries: DataFrame, centroids: DataFrame, nprobe: int, *, spill: Data
     """``qid, cluster_id, d2``: the nprobe nearest clusters of each query.
 
     With ``gamma`` > 0, probes within (1 + gamma) of the nearest also add their spill target (``cluster_id, target``).
-    Queries x centroids is a stated set against model state: both sides are bounded by the caller.
+    Centroids are sent to the tasks as model state.
     """
-    d = queries.crossJoin(F.broadcast(centroids)).select("qid", "cluster_id", V.square_distance(F.col("qvec"), F.col("centroid")).alias("d2"))
-    near = rank_by(d.withColumn("s", -F.col("d2")), ["qid"], "s", "cluster_id", nprobe).select("qid", "cluster_id", "d2")
+    near = nearest_centroids(queries, centroids, nprobe, id_col="qid", vec_col="qvec").withColumnRenamed("id", "qid")
     if spill is None or gamma <= 0:
         return near
     low = near.groupBy("qid").agg(F.min("d2").alias("low"))

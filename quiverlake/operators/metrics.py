@@ -48,18 +48,18 @@ def per_query(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
 
 def summary(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     """One row: the mean of every metric over queries."""
-    q = per_query(run, qrels, k)
-    return q.agg(*[F.avg(c).alias(n) for c, n in (("ndcg", "ndcg"), ("recall", "recall"), ("precision", "precision"), ("f1", "f1"), ("rr", "mrr"))])
+    return means(per_query(run, qrels, k))
 
 
-def qrels_from_labels(docs: DataFrame, *, id_col: str = "id", label_col: str = "label", tags: bool = False) -> DataFrame:
-    """Documents with the same label are relevant to each other: ``qid, doc, grade``.
+def qrels_from_labels(docs: DataFrame, queries: DataFrame, *, id_col: str = "id", label_col: str = "label", tags: bool = False) -> DataFrame:
+    """Documents that share a label with a query document are relevant to it: ``qid, doc, grade``.
 
-    The result holds every pair by definition; to score a run, :func:`label_hits` needs no pairs.
+    ``queries`` (``qid``) is a stated set of document ids against all documents; for metrics over all documents
+    :func:`per_query_by_label` needs no pairs.
     """
     d = docs.select(F.col(id_col).alias("doc"), (F.explode(label_col) if tags else F.col(label_col)).alias("label")).where("label is not null")
-    a, b = d.withColumnRenamed("doc", "qid"), d
-    return a.join(b, "label").where("qid <> doc").select("qid", "doc", F.lit(1).alias("grade")).distinct()
+    a = d.withColumnRenamed("doc", "qid").join(queries.select("qid").distinct(), "qid", "left_semi")
+    return a.join(d, "label").where("qid <> doc").select("qid", "doc", F.lit(1).alias("grade")).distinct()
 
 
 def label_hits(run: DataFrame, docs: DataFrame, k: int, *, id_col: str = "id", label_col: str = "label") -> DataFrame:
@@ -71,6 +71,33 @@ def label_hits(run: DataFrame, docs: DataFrame, k: int, *, id_col: str = "id", l
     return d.join(sizes, "label").select(F.col("doc").alias("qid"), "n_pos").join(hit, "qid", "left").fillna(0, ["hits"])
 
 
+def per_query_by_label(run: DataFrame, docs: DataFrame, k: int, *, id_col: str = "id", label_col: str = "label") -> DataFrame:
+    """:func:`per_query` for relevance by shared label, from counts per label: no pairs of documents are made.
+
+    Queries are those of ``run`` whose label another document shares.
+    """
+    d = docs.select(F.col(id_col).alias("doc"), F.col(label_col).alias("label")).where("label is not null")
+    sizes = d.groupBy("label").agg((F.count("*") - 1).alias("n_pos"))
+    r = ranked(run)
+    asked = r.select("qid").distinct().join(d.withColumnRenamed("doc", "qid"), "qid").join(sizes, "label").where("n_pos > 0")
+    hit = (
+        r.join(d.withColumnRenamed("label", "doc_label"), "doc").join(d.withColumnRenamed("doc", "qid"), "qid").where("label = doc_label and qid <> doc").groupBy("qid")
+        .agg(F.sum(F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"), F.sum(F.when(F.col("rank") <= k, 1).otherwise(0)).alias("hits"), F.min("rank").alias("first"))
+    )
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_pos"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+    j = asked.join(hit, "qid", "left")
+    hits = F.coalesce(F.col("hits"), F.lit(0))
+    p, rec = hits / F.lit(float(k)), hits / F.col("n_pos")
+    return j.select(
+        "qid", F.coalesce(F.col("dcg") / ideal, F.lit(0.0)).alias("ndcg"), rec.alias("recall"), p.alias("precision"),
+        F.when(hits == 0, F.lit(0.0)).otherwise(2 * p * rec / (p + rec)).alias("f1"), F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)).alias("rr"),
+    )
+
+
+def means(per: DataFrame) -> DataFrame:
+    return per.agg(*[F.avg(c).alias(n) for c, n in (("ndcg", "ndcg"), ("recall", "recall"), ("precision", "precision"), ("f1", "f1"), ("rr", "mrr"))])
+
+
 def label_coverage(docs: DataFrame, label_col: str = "label", most_unlabelled: float = 0.5) -> DataFrame:
     """``labelled, unlabelled, distinct_labels, usable``; usable while no more than the share is unlabelled."""
     c = docs.agg(F.count(label_col).alias("labelled"), F.sum(F.when(F.col(label_col).isNull(), 1).otherwise(0)).alias("unlabelled"), F.countDistinct(label_col).alias("distinct_labels"))

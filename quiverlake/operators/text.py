@@ -42,13 +42,15 @@ def bm25(docs: DataFrame, query_terms: list[str], k: int, *, id_col: str = "id",
     t = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
     tf = [F.size(F.filter("t", _equals(q))).alias(f"tf{i}") for i, q in enumerate(query_terms)]
     counted = t.select("id", F.size("t").alias("len"), *tf)
-    stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(query_terms))])
-    both = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(query_terms)))).join(F.broadcast(stats))  # one row
+    stat = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(query_terms))]).first()  # one row
+    both = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(query_terms))))
+    if not stat.n:
+        return both.select("id", F.lit(0.0).alias("score")).limit(0)
     score = F.lit(0.0)
     for i in range(len(query_terms)):
-        f, df = F.col(f"tf{i}").cast("double"), F.col(f"df{i}").cast("double")
-        idf = F.log(F.lit(1.0) + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("len") / F.col("avg")))
+        f, df = F.col(f"tf{i}").cast("double"), float(stat[f"df{i}"])
+        idf = F.log(F.lit(1.0 + (stat.n - df + 0.5) / (df + 0.5)))
+        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("len") / F.lit(stat.avg)))
     return both.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
