@@ -72,7 +72,7 @@ def cut_points(text: str, most: int, overlap: int) -> list[tuple[int, int, bool]
     radius = core // 4
     out, s, start = [], 0, 0
     while n - start > most:
-        lo, hi = s + max(1, core // 3), start + most
+        lo, hi = max(s + max(1, core // 3), min(start + overlap + 1, start + most)), start + most
         a, b = np.searchsorted(natural, [lo, hi + 1])
         b = max(a, b)
         inner = natural[a:b]

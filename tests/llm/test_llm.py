@@ -202,7 +202,7 @@ def test_hits_take_the_live_vector(spark):
 texts = st.text(alphabet="ab .\n\t。é", max_size=400) | st.text(alphabet="ab ", min_size=50, max_size=300)
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(texts, st.integers(8, 60), st.integers(0, 7))
 def test_pieces(text, most, overlap):
     if len(text) <= most:
