@@ -92,5 +92,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
 
+P2_SQL = r"""WITH l AS (SELECT lower(trim(mime)) AS k, max_chars AS m FROM chunk_limits),
+a AS (SELECT id, mime, text, row_number() OVER (PARTITION BY id ORDER BY received_at DESC, batch_no DESC) AS r FROM ingest_docs WHERE id IS NOT NULL
+UNION ALL SELECT id, metadata['mime'], text, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC) FROM text_documents WHERE id IS NOT NULL),
+x AS (SELECT id, text, coalesce(l.m, (SELECT m FROM l WHERE k = '*/*')) AS m FROM a LEFT JOIN l ON l.k = lower(trim(split_part(mime, ';', 1))) WHERE r = 1)
+SELECT DISTINCT id AS item_id, CASE WHEN list_max([length(s) for s in string_split_regex(text, '[ \t\r\n。！？]')]) > m THEN 'forced' ELSE 'natural' END AS cut FROM x WHERE length(text) > m"""
+
+P4_SQL = """WITH runs AS (SELECT qid, retriever, list_id, row_number() OVER (PARTITION BY qid, retriever ORDER BY max(ran_at) DESC, list_id DESC) AS r FROM scored_ids WHERE qid IS NOT NULL AND retriever IS NOT NULL GROUP BY qid, retriever, list_id),
+s AS (SELECT qid, retriever AS l, id, CASE WHEN isnan(score) THEN NULL ELSE score::DOUBLE END AS score FROM scored_ids JOIN runs USING (qid, retriever, list_id) WHERE r = 1
+UNION ALL SELECT qid, ' hits', id, CASE WHEN isnan(score) THEN NULL ELSE score END FROM search_hits),
+t AS (SELECT qid, max(top_n) AS n FROM search_queries WHERE top_n IS NOT NULL GROUP BY qid), e AS (SELECT qid FROM scored_ids GROUP BY qid HAVING count(DISTINCT retriever) >= 3),
+o AS (SELECT qid, l, id, max(score) AS score FROM s JOIN t USING (qid) JOIN e USING (qid) WHERE id IS NOT NULL GROUP BY qid, l, id), c AS (SELECT qid, count(DISTINCT id) AS ids FROM o GROUP BY qid),
+r AS (SELECT qid, l, id, score, rank() OVER (PARTITION BY qid, l ORDER BY score DESC NULLS LAST) + (count(*) OVER (PARTITION BY qid, l, score) - 1) / 2.0 AS rk, count(score) OVER (PARTITION BY qid, l) AS ns FROM o),
+p AS (SELECT qid, id, round(sum(CASE WHEN score IS NULL THEN 0 ELSE (ns + 1 + ids) / 2.0 - rk END), 6) AS points FROM r JOIN c USING (qid) GROUP BY qid, id)
+SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY points DESC, id) AS place FROM p) JOIN t USING (qid) WHERE place <= n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say the whole query; the others are tested against brute force in tests/llm."""
+    return {"p2_found": P2_SQL, "p4_found": P4_SQL}

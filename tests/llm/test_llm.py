@@ -408,3 +408,10 @@ def test_queries_run_on_the_small_tables(spark, small, name):
 
 def test_live_vectors_ignores_clashing_columns(vector_docs):
     assert live_vectors(vector_docs, order=["received_at", "batch_no"], dim=64).columns == ["id", "vec"]
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_sql(spark, small, name):
+    import compare
+
+    assert compare.differences(spark, compare.connect(small), name, queries.queries()[name], queries.oracle_sql()[name], small) == ""
