@@ -133,10 +133,12 @@ def _block_candidates(s: np.ndarray, k: int, floor: float) -> tuple[np.ndarray,
     return flat // w, flat % w
 
 
-def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor: float, block: int) -> Iterator[pa.RecordBatch]:
+def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor: float, block: int, reach: int = 8, dense: float = 0.84) -> Iterator[pa.RecordBatch]:
     """Stream one or several sorted stretches; yields ``id, found: list<struct<s, id>>``.
 
-    Rows of a run of copies beyond the first k+1 ids point to the first k and take no further
+    A block is compared with itself and the one before; and, as long as a sample of the pairs shows that both lie
+    in one dense group (a twentieth reach ``dense``), with up to ``reach`` blocks before, since there the order along
+    the curve tells little. Rows of a run of copies beyond the first k+1 ids point to the first k and take no further
     part: the copies' smallest ids come first at equal similarity.
     """
     low = np.float32(floor - 1e-5)
@@ -178,25 +180,32 @@ def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor:
             if out.num_rows:
                 yield out
 
-    last = None  # the block before
+    recent: list[dict] = []  # the blocks before, oldest first
+
+    def one_group(a, b):
+        x, y = a["f"][:: max(1, len(a["f"]) // 64)], b["f"][:: max(1, len(b["f"]) // 64)]
+        return (x @ y.T >= dense).mean() >= 0.05
+
     pend_ids, pend_u, pend_n = [], [], 0
     head, head_ids, part = None, [], None
 
     def flush(final):
-        nonlocal last, pend_ids, pend_u, pend_n
+        nonlocal pend_ids, pend_u, pend_n
         while pend_n >= block or (final and pend_n):
             ids, u = np.concatenate(pend_ids), np.concatenate(pend_u)
             a = {"ids": ids[:block], "u": u[:block], "got": []}
             a["f"] = a["u"].astype(np.float32)
             pend_ids, pend_u, pend_n = [ids[block:]], [u[block:]], max(0, len(ids) - block)
             pairs(a, a, True)
-            if last is not None:
-                pairs(last, a, False)
-                yield from finish(last)
-            last = a
-        if final and last is not None:
-            yield from finish(last)
-            last = None
+            for back, b in enumerate(reversed(recent)):
+                if not back or one_group(a, b):
+                    pairs(b, a, False)
+            recent.append(a)
+            if len(recent) > reach:
+                yield from finish(recent.pop(0))
+        if final:
+            while recent:
+                yield from finish(recent.pop(0))
 
     for batch in batches:
         parts = batch.column("part").to_numpy()
@@ -241,7 +250,7 @@ def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor:
     yield from flush(True)
 
 
-def nearest(vectors: DataFrame, *, fit: np.ndarray, total: int, dim: int, k: int = 5, floor: float = -1.0, orderings: int = 3, block: int = 3072, rows_per_part: int = 40_000, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, *, fit: np.ndarray, total: int, dim: int, k: int = 5, floor: float = -1.0, orderings: int = 3, block: int = 2048, rows_per_part: int = 40_000, seed: int = 7) -> DataFrame:
     """The ``k`` most similar other ids of every id: ``id, found: array<struct<s: -cosine, id>>``.
 
     ``vectors``: ``id string, vec binary`` (float32 bytes), one row per id; ``total``: about how many.
