@@ -102,9 +102,12 @@ class Collection:
         out = self._fs.create(tmp, True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        self._fs.delete(self._p("CURRENT"), False)
-        if not self._fs.rename(tmp, self._p("CURRENT")):
-            raise OSError("the pointer could not be moved")
+        jvm = self.spark._jvm
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        # one step, so that no reader finds the pointer missing
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._hadoop.toUri(), self.spark._jsc.hadoopConfiguration()).rename(tmp, self._p("CURRENT"), how)
 
     @property
     def generation(self) -> int:
