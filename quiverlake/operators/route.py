@@ -10,7 +10,10 @@ from . import search
 DEFAULT_ROUTE_DISTANCE = 0.3
 DEFAULT_CACHE_SCORE = 0.92
 # fixed values: answers holding one of these are not cached
-REFUSAL_PHRASES = ["i cannot", "i can't", "i'm sorry", "i am sorry", "i apologize", "i'm unable", "i am unable", "as an ai", "as a language model", "i don't have access", "i do not have access"]
+REFUSAL_PHRASES = [
+    "unable to", "i can't", "i cannot", "please specify", "not available", "i don't have", "i'm sorry, but i can't",
+    "visual content is not available", "specify which", "which image", "which page",
+]
 
 
 def route(routes: DataFrame, queries: DataFrame, *, default: float = DEFAULT_ROUTE_DISTANCE) -> DataFrame:

@@ -54,18 +54,19 @@ def bm25(docs: DataFrame, query_terms: list[str], k: int, *, id_col: str = "id",
     return both.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def content_kind(mime: Column) -> Column:
-    """Kind of content by MIME type, its parameters ignored."""
-    m = F.lower(F.trim(F.substring_index(mime, ";", 1)))
+def content_kind(mime: Column, text: Column) -> Column:
+    """Kind of content: by the MIME type where that tells, else by the text (empty, json or text)."""
+    m = F.lower(mime)
     return (
-        F.when(m.startswith("image/"), "image").when(m.startswith("audio/"), "audio").when(m.startswith("video/"), "video").when(m == "application/pdf", "pdf")
-        .when(m.endswith("json"), "json").when(m == "text/markdown", "markdown").when(m == "text/html", "html").when(m.startswith("text/"), "text").otherwise("binary")
+        F.when(m.startswith("image/"), "image").when(m.startswith("audio/"), "audio").when((m == "application/json") | m.endswith("+json"), "json")
+        .when(m.startswith("text/"), "text").when(m.startswith("application/octet-stream"), "binary")
+        .when(text.isNull() | (text == ""), "empty").when(looks_like_json(text), "json").otherwise("text")
     )
 
 
 def looks_like_json(text: Column) -> Column:
-    t = F.trim(text)
-    return F.coalesce((t.startswith("{") & t.endswith("}")) | (t.startswith("[") & t.endswith("]")), F.lit(False)) & F.coalesce(F.get_json_object(t, "$").isNotNull(), F.lit(False))
+    """Whether the text, blanks aside, begins and ends with matching braces or brackets."""
+    return F.coalesce(text.rlike(r"(?s)^\s*(\{.*\}|\[.*\])\s*$"), F.lit(False))
 
 
 def export_text(text: Column, width: int = 120) -> Column:

@@ -197,5 +197,5 @@ def pca_projection(df: DataFrame, dims: int = 2, *, vec_col: str = "vector") ->
 
 
 def recommend_projection(n: Column, dim: Column, sparsity: Column) -> Column:
-    """Which projection suits a dataset."""
-    return F.when(sparsity > 0.5, "pca").when(n > 50_000, "pca").when((n < 5_000) & (dim > 50), "tsne").when(dim <= 3, "none").otherwise("umap")
+    """Which projection suits a dataset: PCA where dimensions outweigh rows, for sparse or large data; t-SNE under 5,000 rows; UMAP up to 100,000."""
+    return F.when((dim > 4 * n) | (sparsity > 0.8), "pca").when(n < 5_000, "tsne").when(n <= 100_000, "umap").otherwise("pca")

@@ -582,13 +582,11 @@ def hybrid_text(spark, d):
     return out(fusion.hybrid([search.search(emb(spark, d), vec(spark, d), 10), text.bm25(docs(spark, d), ["recall", "snapshot"], 30)], 10))
 
 
-_M = "lower(trim(split_part(mime, ';', 1)))"
-
-
-@query(f"""SELECT id, CASE WHEN mime IS NULL THEN 'binary' WHEN {_M} LIKE '%json' THEN 'json' WHEN {_M} = 'text/markdown' THEN 'markdown' WHEN {_M} = 'text/html' THEN 'html' WHEN {_M} LIKE 'text/%' THEN 'text' ELSE 'binary' END AS kind,
+@query("""SELECT id, CASE WHEN lower(mime) LIKE 'image/%' THEN 'image' WHEN lower(mime) LIKE 'audio/%' THEN 'audio' WHEN lower(mime) = 'application/json' OR lower(mime) LIKE '%+json' THEN 'json' WHEN lower(mime) LIKE 'text/%' THEN 'text'
+WHEN lower(mime) LIKE 'application/octet-stream%' THEN 'binary' WHEN text IS NULL OR text = '' THEN 'empty' WHEN regexp_full_match(text, '(?s)\\s*(\\{.*\\}|\\[.*\\])\\s*') THEN 'json' ELSE 'text' END AS kind,
 substr(regexp_replace(text, '[\\t\\r\\n]', ' ', 'g'), 1, 120) AS preview FROM ingest_docs""")
 def export_rows(spark, d):
-    return t(spark, d, "ingest_docs").select("id", text.content_kind(F.col("mime")).alias("kind"), text.export_text(F.col("text")).alias("preview"))
+    return t(spark, d, "ingest_docs").select("id", text.content_kind(F.col("mime"), F.col("text")).alias("kind"), text.export_text(F.col("text")).alias("preview"))
 
 
 # -- tables -----------------------------------------------------------------------------------------------
@@ -700,16 +698,15 @@ def pca_2d(spark, d):
     return tune.pca_projection(emb(spark, d)).select("id", F.transform("projected", lambda x: F.round(x, 4)).alias("projected"))
 
 
-@query("SELECT n, dim, CASE WHEN n > 50000 THEN 'pca' WHEN n < 5000 AND dim > 50 THEN 'tsne' WHEN dim <= 3 THEN 'none' ELSE 'umap' END AS projection FROM (SELECT unnest([100, 100000, 10000, 6000]) AS n, unnest([64, 64, 3, 128]) AS dim)")
+@query("SELECT n, dim, CASE WHEN dim > 4 * n THEN 'pca' WHEN n < 5000 THEN 'tsne' WHEN n <= 100000 THEN 'umap' ELSE 'pca' END AS projection FROM (SELECT unnest([10, 1000, 10000, 6000000]) AS n, unnest([64, 64, 3, 128]) AS dim)")
 def projection_recommender(spark, d):
-    return spark.createDataFrame([(100, 64), (100000, 64), (10000, 3), (6000, 128)], "n int, dim int").select("n", "dim", tune.recommend_projection(F.col("n"), F.col("dim"), F.lit(0.0)).alias("projection"))
+    return spark.createDataFrame([(10, 64), (1000, 64), (10000, 3), (6000000, 128)], "n int, dim int").select("n", "dim", tune.recommend_projection(F.col("n"), F.col("dim"), F.lit(0.0)).alias("projection"))
 
 
-@query("""WITH s AS (SELECT source, doc_id, coalesce(strlen(text), 0) AS b FROM documents WHERE source IS NOT NULL), w AS (SELECT *, count(*) OVER x - 1 AS n, sum(b) OVER x - b AS p FROM s WINDOW x AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING))
-SELECT source, greatest(n // 16, p::BIGINT // 8192) AS batch, count(*) AS docs FROM w GROUP BY ALL""")
+@query("SELECT source, (n - 1) // 16 AS batch, count(*) AS docs FROM (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE source IS NOT NULL) GROUP BY ALL")
 def batch_boundaries(spark, d):
     x = t(spark, d, "documents").where("source is not null").select("source", "doc_id", "text")
-    b = ingest.batch_numbers(x, "doc_id", max_docs=16, max_bytes=8192, size=F.coalesce(F.octet_length("text"), F.lit(0)), by=("source",))
+    b = ingest.batch_numbers(x, "doc_id", by="source", max_docs=16, size=F.coalesce(F.octet_length("text"), F.lit(0)))
     return b.groupBy("source", "batch").agg(F.count("*").alias("docs"))
 
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.runtime import latest_version
@@ -22,16 +22,34 @@ def payload_bytes() -> Column:
     return F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("blob"), F.lit(0))
 
 
-def batch_numbers(docs: DataFrame, order: str, *, max_docs: int = 1024, max_bytes: int = 32 << 20, size: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``batch``: the flush boundaries of a policy of at most ``max_docs`` documents a batch, in order.
+def batch_numbers(docs: DataFrame, order: str, *, by: str, max_docs: int = 1024, max_bytes: int = 32 << 20, size: Column | None = None) -> DataFrame:
+    """``by, order, batch``: the flush boundaries of a policy, per source partition ``by``, in ``order``.
 
-    A batch is closed once it reaches ``max_docs``; bytes open a new batch every ``max_bytes`` of the running sum.
-    Pass ``by`` (e.g. the source partition), so that ordering stays within a partition.
+    A batch is flushed by the document that makes it reach ``max_docs`` or ``max_bytes``. Where a boundary falls
+    depends on the one before, so the sorted rows of a partition are streamed once.
     """
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = size if size is not None else payload_bytes()
-    out = docs.withColumn("__n", F.count(F.lit(1)).over(w) - 1).withColumn("__b", F.sum(s).over(w) - s)
-    return out.withColumn("batch", F.greatest(F.floor(F.col("__n") / max_docs), F.floor(F.col("__b") / max_bytes))).drop("__n", "__b")
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    rows = docs.select(F.col(by).alias("by"), F.col(order).alias("pos"), (size if size is not None else payload_bytes()).cast("bigint").alias("size"))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("by", "pos")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, batch, n, total = object(), 0, 0, 0
+        for b in batches:
+            out = []
+            for key, s in zip(b.column("by").to_pylist(), b.column("size").to_pylist()):
+                if key != now:
+                    now, batch, n, total = key, 0, 0, 0
+                out.append(batch)
+                n, total = n + 1, total + (s or 0)
+                if n >= max_docs or total >= max_bytes:
+                    batch, n, total = batch + 1, 0, 0
+            yield pa.RecordBatch.from_arrays([b.column("by"), b.column("pos"), pa.array(out, pa.int64())], ["by", "pos", "batch"])
+
+    done = rows.repartition("by").sortWithinPartitions("by", "pos").mapInArrow(run, f"by {kinds['by']}, pos {kinds['pos']}, batch bigint")
+    return done.select(F.col("by").alias(by), F.col("pos").alias(order), "batch")
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[str], Column]:

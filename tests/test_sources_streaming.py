@@ -52,9 +52,13 @@ def test_tsv_matrix_and_hub(spark, tmp_path):
 
 
 def test_batch_policy(spark):
-    df = spark.range(7).select("id", F.lit("x").alias("text"), F.lit(None).cast("binary").alias("blob"))
-    got = ingest.batch_numbers(df, "id", max_docs=3).groupBy("batch").count().orderBy("batch").collect()
+    df = spark.range(7).select("id", F.lit("p").alias("part"), F.lit("x").alias("text"), F.lit(None).cast("binary").alias("blob"))
+    got = ingest.batch_numbers(df, "id", by="part", max_docs=3).groupBy("batch").count().orderBy("batch").collect()
     assert [r["count"] for r in got] == [3, 3, 1]
+    sizes = [5, 5, 1, 20, 1, 9, 1]
+    df = spark.createDataFrame([("p", i, n) for i, n in enumerate(sizes)], "part string, id int, n int")
+    got = ingest.batch_numbers(df, "id", by="part", max_bytes=10, size=F.col("n")).orderBy("id").collect()
+    assert [r.batch for r in got] == [0, 0, 1, 1, 2, 2, 3]
 
 
 def test_ingest_resumes_and_is_idempotent(spark, tmp_path):
