@@ -3,8 +3,10 @@
 Every vector is projected several times to a few dimensions and placed on a Hilbert curve of
 the projection. Each ordering is range-partitioned and sorted in Spark; a task streams along
 its stretch of the curve and compares each block of rows with itself and the blocks beside
-it. The candidates of all orderings merge by id and the best ``k`` remain. Work per row is a
-constant (orderings x window), whatever the number of rows.
+it. Inside a large dense group a curve tells little about who is nearest, so the members of such
+groups are also compared in full, cut into cells that many tasks share. The candidates of all
+merge by id and the best ``k`` remain. Work per row is a constant (orderings x window), whatever
+the number of rows, and inside a large dense group grows with the group.
 """
 
 from __future__ import annotations
@@ -93,6 +95,70 @@ class Curves:
         return np.searchsorted(self.cuts[o], keys, side="right")
 
 
+class DenseGroups:
+    """Balls (cosine to a centre at least ``dense``) that hold about ``least`` rows or more, cut into cells for full comparison.
+
+    The sample shows where the balls are and about how large; every row of the table is placed. A
+    ball of more than ``rows`` rows is cut into chunks by a hash of the direction, so that copies stay
+    together. A cell holds two chunks and compares them with each other; one cell of each chunk,
+    its owner, also compares it with itself.
+    """
+
+    def __init__(self, sample: np.ndarray, total: int, least: int, rows: int = 16_384, dense: float = 0.84, places: int = 4, seed: int = 5):
+        self.dense, self.places, self.chunks, self.cells, self.owned, centers = dense, places, [], [], [], []
+        if len(sample) and total >= least:
+            u = unit(sample).astype(np.float32)
+            near = np.concatenate([(u[i : i + 1024] @ u.T >= dense).sum(axis=1) for i in range(0, len(u), 1024)])
+            share = len(u) / total
+            left = near >= max(8, 0.8 * least * share)
+            while left.any():
+                pivot = int(np.where(left, near, -1).argmax())
+                c = u[pivot]
+                for _ in range(3):
+                    c = u[u @ c >= dense].sum(axis=0)
+                    c /= np.linalg.norm(c)
+                inside = u @ c >= dense
+                left &= ~inside
+                left[pivot] = False
+                centers.append(c)
+                self._cut(max(1, -int(-inside.sum() / share // rows)))
+        self.centers = np.array(centers, np.float32)
+        self.mix = np.random.default_rng(seed).integers(0, 2**63, sample.shape[1] if sample.ndim > 1 else 0, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def _cut(self, n: int) -> None:
+        """Cells of one more group with ``n`` chunks; ``chunks[group][chunk]`` are the cells of a chunk."""
+        pairs = [(0, 0)] if n == 1 else [(i, j) for j in range(n) for i in range(j)]
+        at = {p: len(self.cells) + i for i, p in enumerate(pairs)}
+        self.cells += [n] * len(pairs)
+        owner = [at[min(i, (i + 1) % n), max(i, (i + 1) % n)] for i in range(n)]
+        self.owned += [{i for i in p if owner[i] == at[p]} for p in pairs]
+        self.chunks.append([[c for p, c in at.items() if i in p] for i in range(n)])
+
+    def place(self, u: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(cell, rows, keys) of directions rounded to ``places`` decimals; keys order a cell by chunk."""
+        if not len(self.centers):
+            return
+        inside = u.astype(np.float32) @ self.centers.T >= self.dense
+        some = np.flatnonzero(inside.any(axis=1))
+        if not len(some):
+            return
+        whole = np.rint(u[some] * 10**self.places).astype(np.int64).astype(np.uint64)
+        keys = ((whole * self.mix).sum(axis=1, dtype=np.uint64) >> np.uint64(1)).astype(np.int64)
+        for g, cells in enumerate(self.chunks):
+            member = inside[some, g]
+            chunk = chunk_of(keys, len(cells))
+            for i, at in enumerate(cells):
+                rows = np.flatnonzero(member & (chunk == i))
+                if len(rows):
+                    for cell in at:
+                        yield cell, some[rows], keys[rows]
+
+
+def chunk_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """Chunk 0..n-1 of keys below 2**63, in the order of the keys."""
+    return (keys >> 32) * n >> 31
+
+
 def even_labels(n: int) -> list[int]:
     """``n`` ints of which hash partitioning into ``n`` partitions puts exactly one into each.
 
@@ -133,12 +199,13 @@ def _block_candidates(s: np.ndarray, k: int, floor: float) -> tuple[np.ndarray,
     return flat // w, flat % w
 
 
-def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor: float, block: int, reach: int = 8, dense: float = 0.84) -> Iterator[pa.RecordBatch]:
+def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor: float, block: int, reach: int = 8, dense: float = 0.84, cells: dict[int, tuple[int, set[int]]] | None = None, centers: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Stream one or several sorted stretches; yields ``id, found: list<struct<s, id>>``.
 
     A block is compared with itself and the one before; and, as long as a sample of the pairs shows that both lie
     in one dense group (a twentieth reach ``dense``), with up to ``reach`` blocks before, since there the order along
-    the curve tells little. Rows of a run of copies beyond the first k+1 ids point to the first k and take no further
+    the curve tells little. ``cells``: parts that are compared in full, with their group's number of chunks and the
+    chunks they own; ``centers``: of the groups, whose blocks need no comparison elsewhere. Rows of a run of copies beyond the first k+1 ids point to the first k and take no further
     part: the copies' smallest ids come first at equal similarity.
     """
     low = np.float32(floor - 1e-5)
@@ -186,22 +253,32 @@ def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor:
         x, y = a["f"][:: max(1, len(a["f"]) // 64)], b["f"][:: max(1, len(b["f"]) // 64)]
         return (x @ y.T >= dense).mean() >= 0.05
 
-    pend_ids, pend_u, pend_n = [], [], 0
+    def wanted(a, b, back, own):
+        """Whether a block is compared with itself or, at ``back``, an earlier one."""
+        if own is None:
+            return not (a["balls"] & b["balls"]).any() and (not back or one_group(a, b))
+        return b["chunks"][0] != a["chunks"][1] or a["chunks"][1] in own
+
+    pend_ids, pend_u, pend_keys, pend_n = [], [], [], 0
     head, head_ids, part = None, [], None
 
     def flush(final):
-        nonlocal pend_ids, pend_u, pend_n
+        nonlocal pend_ids, pend_u, pend_keys, pend_n
+        n, own = (cells or {}).get(int(part), (1, None)) if part is not None else (1, None)
         while pend_n >= block or (final and pend_n):
-            ids, u = np.concatenate(pend_ids), np.concatenate(pend_u)
+            ids, u, keys = np.concatenate(pend_ids), np.concatenate(pend_u), np.concatenate(pend_keys)
             a = {"ids": ids[:block], "u": u[:block], "got": []}
             a["f"] = a["u"].astype(np.float32)
-            pend_ids, pend_u, pend_n = [ids[block:]], [u[block:]], max(0, len(ids) - block)
-            pairs(a, a, True)
+            a["balls"] = (a["f"] @ centers.T >= dense + 1e-3).all(axis=0) if centers is not None and len(centers) else np.zeros(0, bool)  # wholly inside, whatever the rounding
+            a["chunks"] = chunk_of(keys[:block][[0, -1]], n).tolist()
+            pend_ids, pend_u, pend_keys, pend_n = [ids[block:]], [u[block:]], [keys[block:]], max(0, len(ids) - block)
+            if wanted(a, a, 0, own):
+                pairs(a, a, True)
             for back, b in enumerate(reversed(recent)):
-                if not back or one_group(a, b):
+                if wanted(a, b, back, own):
                     pairs(b, a, False)
             recent.append(a)
-            if len(recent) > reach:
+            if own is None and len(recent) > reach:
                 yield from finish(recent.pop(0))
         if final:
             while recent:
@@ -210,7 +287,7 @@ def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor:
     for batch in batches:
         parts = batch.column("part").to_numpy()
         edges = np.flatnonzero(np.diff(parts)) + 1
-        ids_all = batch.column("id").to_numpy(zero_copy_only=False)
+        ids_all, keys_all = batch.column("id").to_numpy(zero_copy_only=False), batch.column("key").to_numpy()
         u_all = unit(from_binary(batch.column("vec"), dim)) if batch.num_rows else None
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
             if a == b:
@@ -238,13 +315,14 @@ def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor:
                 if extra_rows:
                     rows = np.repeat(np.arange(len(extra_rows)), k)
                     yield emit(ids[extra_rows], rows, np.array(extra_ids, object), np.ones(len(rows)))
-                kept_ids, kept_u = ids[keep], u[keep]
+                kept_ids, kept_u, kept_keys = ids[keep], u[keep], keys_all[a:b][keep]
             else:
                 head_ids = [ids[-1]]
-                kept_ids, kept_u = ids, u
+                kept_ids, kept_u, kept_keys = ids, u, keys_all[a:b]
             head = u[-1:]
             pend_ids.append(kept_ids)
             pend_u.append(kept_u)
+            pend_keys.append(kept_keys)
             pend_n += len(kept_ids)
             yield from flush(False)
     yield from flush(True)
@@ -258,11 +336,14 @@ def nearest(vectors: DataFrame, *, fit: np.ndarray, total: int, dim: int, k: int
     are indexed and searched. ``found`` is sorted by cosine (double precision, 6 decimals) and
     then by id. Others under ``floor`` are not reported, and an id with none is left out.
     Results are approximate: a neighbour is found if it lies within the window of the row
-    in one of the orderings. Empty input gives an empty result.
+    in one of the orderings, or in one :class:`DenseGroups` ball with it. Empty input gives an empty result.
     """
     parts = max(1, -(-total // rows_per_part))
     curves = Curves(fit, dim, orderings, parts, seed=seed)
-    labels = np.array(even_labels(orderings * parts), np.int32)
+    groups = DenseGroups(fit, total, 2 * block, places=curves.places)
+    stretches_n = orderings * parts
+    labels = np.array(even_labels(stretches_n + len(groups.cells)), np.int32)
+    cells = {int(labels[stretches_n + i]): x for i, x in enumerate(zip(groups.cells, groups.owned))}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -272,10 +353,13 @@ def nearest(vectors: DataFrame, *, fit: np.ndarray, total: int, dim: int, k: int
             for o in range(orderings):
                 keys = curves.keys(u, o)
                 yield pa.RecordBatch.from_arrays([pa.array(labels[o * parts + curves.part(keys, o)]), pa.array(keys), b.column("id"), b.column("vec")], ["part", "key", "id", "vec"])
+            for cell, rows, keys in groups.place(u):
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), labels[stretches_n + cell], np.int32)), pa.array(keys), b.column("id").take(at), b.column("vec").take(at)], ["part", "key", "id", "vec"])
 
     placed = vectors.mapInArrow(place, "part int, key bigint, id string, vec binary")
-    stretches = placed.repartition(orderings * parts, "part").sortWithinPartitions("part", "key", "id")
-    found = stretches.mapInArrow(lambda it: _search_stretch(it, dim, k, floor, block), "id string, found array<struct<s: double, id: string>>")
+    stretches = placed.repartition(len(labels), "part").sortWithinPartitions("part", "key", "id")
+    found = stretches.mapInArrow(lambda it: _search_stretch(it, dim, k, floor, block, cells=cells, centers=groups.centers), "id string, found array<struct<s: double, id: string>>")
     merged = found.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
     return merged.select("id", F.slice("found", 1, k).alias("found"))
 

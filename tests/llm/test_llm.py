@@ -108,6 +108,35 @@ def test_nearest_equals_brute_force(spark, vector_docs):
     assert [j for j, _ in found["c19"]] == copies[:5]  # ties: the smaller ids
 
 
+def test_nearest_inside_a_large_dense_group(spark):
+    """A third of the rows are one group with even noise, far longer than the window and the stretches."""
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=64) + 0.2 * rng.normal(size=(6000, 64)), rng.normal(size=(12000, 64))]).astype(np.float32)
+    x[6:600:3] = x[3] * 2  # copies inside the group
+    ids = np.array([f"r{i:05d}" for i in rng.permutation(len(x))])
+    df = spark.createDataFrame([(i, v.tobytes()) for i, v in zip(ids, x)], "id string, vec binary")
+    found = {r.id: [f.id for f in r.found] for r in neighbours.nearest(df, fit=x[::2], total=len(x), dim=64, floor=0.84, rows_per_part=4000, block=64).collect()}
+    assert sum(len(c) > 1 for c in neighbours.DenseGroups(x[::2], len(x), 128, 1000).chunks) == 1
+    u = unit(x)[:6000]
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -1)
+    hit = sum(len({ids[j] for j in np.lexsort((ids[:6000], -s[i]))[:5]} & set(found[ids[i]])) for i in range(0, 6000, 7))
+    assert hit / (5 * len(range(0, 6000, 7))) >= 0.99
+
+
+@pytest.mark.parametrize("rows", [300, 700, 5000])
+def test_cells_of_a_dense_group_hold_every_pair_once(rows):
+    rng = np.random.default_rng(4)
+    u = unit(rng.normal(size=64) + 0.2 * rng.normal(size=(2000, 64)))
+    g = neighbours.DenseGroups(u, len(u), 1000, rows)
+    met = np.zeros((2000, 2000), int)
+    for cell in range(len(g.cells)):
+        at = np.concatenate([r for c, r, _ in g.place(u) if c == cell])
+        chunk = np.concatenate([neighbours.chunk_of(k, g.cells[cell]) for c, _, k in g.place(u) if c == cell])
+        met[np.ix_(at, at)] += (chunk[:, None] != chunk) | np.isin(chunk, list(g.owned[cell]))
+    assert (met == 1).all()
+
+
 def test_nearest_floor_pairs_and_empty(spark, vector_docs):
     vs = truth(vector_docs)
     got = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(neighbours.nearest_records(vector_docs, floor=0.84)).collect()}
