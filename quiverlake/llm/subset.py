@@ -3,7 +3,8 @@
 The kernel of two hits is the product of their qualities and their similarity; the greedy
 maximisation of its determinant keeps, by incremental Cholesky updates, for every hit the part
 of it that the chosen ones do not explain. Groups larger than ``part_rows`` are cut into parts;
-each part yields a core-set and the last pass selects from the united core-sets.
+their themes are found over all their hits first, then each part yields a core-set and the last
+pass selects from the united core-sets and the best hits of their themes.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.runtime import latest_version, sorted_groups
+from ..operators.components import connected_components
+from ..operators.runtime import latest_version, materialise, sorted_groups
 from .clusters import link_cell
 from .vectors import from_binary, to_binary, unit, usable
 
@@ -45,15 +47,15 @@ def greedy_map(quality: np.ndarray, u: np.ndarray, theme: np.ndarray, k: int) ->
     return chosen
 
 
-def select(ids: np.ndarray, u: np.ndarray, score: np.ndarray, k: int, alike: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def select(ids: np.ndarray, u: np.ndarray, score: np.ndarray, k: int, alike: float, theme: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows chosen, their themes, and which rows are the best of their theme.
 
     Qualities fall from 1.2 to 1.0 by score (missing scores last, ties by the smaller id), so that a
     new theme always outweighs a better score. Each choice of a theme is then moved to the
-    theme's best-scored hit.
+    theme's best-scored hit. Themes are found among the rows unless given.
     """
     order = np.lexsort((ids, -np.where(np.isnan(score), -np.inf, score)))
-    theme = link_cell(u[order], alike, np.random.default_rng(1))
+    theme = link_cell(u[order], alike, np.random.default_rng(1)) if theme is None else theme[order]
     n = len(order)
     quality = 1.2 - 0.2 * np.arange(n) / max(1, n - 1)
     chosen = greedy_map(quality, u[order], theme, k)
@@ -71,6 +73,38 @@ def select(ids: np.ndarray, u: np.ndarray, score: np.ndarray, k: int, alike: flo
     return order[out], theme[out] if len(out) else np.empty(0, int), lead
 
 
+def hit_themes(rows: DataFrame, *, dim: int, alike: float) -> DataFrame:
+    """``qid, id, theme, best`` of the hits of queries in several parts; ``best`` marks the theme's best-scored hit.
+
+    ``rows``: ``qid, id, score, vec, parts``, read several times. Every pair of parts of a query is a cell in which
+    links are exact, and components that share hits are merged: no link is lost, at a cost that
+    grows with the square of the query's hits.
+    """
+    part = F.pmod(F.xxhash64("id"), F.col("parts"))
+    paired = rows.select("qid", "id", "vec", part.alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b")).where("a <> b")
+    cells = paired.select(F.concat_ws("\x1f", "qid", F.least("a", "b").cast("string"), F.greatest("a", "b").cast("string")).alias("cell"), "qid", "id", "vec")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in sorted_groups(batches, "cell"):
+            g = g.combine_chunks()
+            ids = g.column("id").to_numpy(zero_copy_only=False)
+            labels = link_cell(unit(from_binary(g.column("vec"), dim)), alike, np.random.default_rng(1))
+            order = np.lexsort((ids, labels))
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(labels[order]) != 0]))
+            names = np.repeat(ids[order[cuts]], np.diff(np.concatenate([cuts, [len(order)]])))
+            yield pa.RecordBatch.from_arrays([g.column("qid").combine_chunks().take(pa.array(order)), pa.array(ids[order], pa.string()), pa.array(names, pa.string())], ["qid", "id", "comp"])
+
+    linked = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(link, "qid string, id string, comp string")
+    comp = F.concat_ws("\x1f", "qid", "comp")
+    member = materialise(linked.groupBy("qid", "id").agg(F.min(comp).alias("comp"), F.collect_set(comp).alias("comps")), "hits")
+    roots = connected_components(member.where(F.size("comps") > 1).select(F.col("comp").alias("a"), F.explode("comps").alias("b")))
+    themed = member.join(roots, member.comp == roots.node, "left").select("qid", "id", F.coalesce("root", "comp").alias("theme"))
+    s = F.col("score")
+    place = F.struct(F.coalesce(-F.when(~F.isnan(s), s), F.lit(float("inf"))).alias("s"), "id")
+    first = themed.join(rows.select("qid", "id", "score"), ["qid", "id"]).groupBy("qid", "theme").agg(F.min(place)["id"].alias("best_id"))
+    return themed.join(first, ["qid", "theme"]).select("qid", "id", "theme", (F.col("id") == F.col("best_id")).alias("best"))
+
+
 def varied_subset(hits: DataFrame, sizes: DataFrame, *, dim: int = 64, alike: float = 0.84, part_rows: int = 4096, one_per_theme: bool = False) -> DataFrame:
     """``qid, id, place, leads``: at most ``subset_size`` hits of each query, in order of choice.
 
@@ -79,13 +113,15 @@ def varied_subset(hits: DataFrame, sizes: DataFrame, *, dim: int = 64, alike: fl
     best-scored hit of its theme, and ``one_per_theme`` keeps only those. A null or NaN score comes
     last. Queries without a positive size give nothing; hits without a vector cannot be chosen.
     A query with more than ``part_rows`` hits is selected from the core-sets of its parts, each of
-    ``subset_size`` hits, so no task holds an unbounded group.
+    ``subset_size`` hits, and the best hits of their themes, so no task holds an unbounded group.
+    Its themes are those of all its hits.
     """
     wanted = sizes.where("qid is not null and subset_size > 0").groupBy("qid").agg(F.max("subset_size").cast("int").alias("k"))
     counted = hits.groupBy("qid").agg(F.count("*").alias("n")).join(wanted, "qid").select("qid", "k", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"))
     rows = hits.join(counted, "qid").select("qid", "id", F.col("score").cast("double").alias("score"), "vec", "k", "parts")
     cut = rows.withColumn("part", F.concat_ws("\x1f", "qid", F.pmod(F.xxhash64("id"), F.col("parts")).cast("string")))
-    schema = "qid string, id string, score double, vec binary, k int, parts int, part string, place int, leads boolean"
+    columns = ["qid", "id", "score", "vec", "k", "parts", "part", "theme"]
+    schema = "qid string, id string, score double, vec binary, k int, parts int, part string, theme string, place int, leads boolean"
 
     def run(key: str, final: bool):
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,10 +131,11 @@ def varied_subset(hits: DataFrame, sizes: DataFrame, *, dim: int = 64, alike: fl
                 split = g.column("parts")[0].as_py() > 1
                 ids = g.column("id").to_numpy(zero_copy_only=False)
                 score = g.column("score").to_numpy(zero_copy_only=False).astype(float)
-                at, theme, lead = select(ids, unit(from_binary(g.column("vec"), dim)), score, g.column("k")[0].as_py(), alike)
+                known = np.unique(g.column("theme").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1] if split else None
+                at, _, lead = select(ids, unit(from_binary(g.column("vec"), dim)), score, g.column("k")[0].as_py(), alike, known)
                 if (final or not split) and one_per_theme:
                     at, lead = at[lead], lead[lead]
-                t = g.select(["qid", "id", "score", "vec", "k", "parts", "part"]).take(pa.array(at))
+                t = g.select(columns).take(pa.array(at))
                 kept.append(t.append_column("place", pa.array(np.arange(1, len(at) + 1, dtype=np.int32))).append_column("leads", pa.array(lead)))
                 size += len(at)
                 if size > 4096:
@@ -109,12 +146,19 @@ def varied_subset(hits: DataFrame, sizes: DataFrame, *, dim: int = 64, alike: fl
 
         return go
 
-    core = cut.repartition("part").sortWithinPartitions("part").mapInArrow(run("part", False), schema)
+    def chosen(df: DataFrame, key: str, final: bool) -> DataFrame:
+        return df.select(columns).repartition(key).sortWithinPartitions(key).mapInArrow(run(key, final), schema)
+
     out = ["qid", "id", "place", "leads"]
+    no_theme = F.lit(None).cast("string").alias("theme")
     if counted.where("parts > 1").isEmpty():
-        return core.select(out)
-    merged = core.where("parts > 1").repartition("qid").sortWithinPartitions("qid").mapInArrow(run("qid", True), schema)
-    return core.where("parts = 1").select(out).union(merged.select(out))
+        return chosen(cut.select("*", no_theme), "part", False).select(out)
+    large = materialise(cut.where("parts > 1"), "large")
+    themed = materialise(large.join(hit_themes(large, dim=dim, alike=alike), ["qid", "id"]), "themed")
+    core = materialise(chosen(themed, "part", False).select(columns), "core")
+    best = themed.where("best").join(core.select("qid", "theme").distinct(), ["qid", "theme"], "left_semi").join(core.select("qid", "id"), ["qid", "id"], "left_anti")
+    merged = chosen(core.union(best.select(columns)), "qid", True)
+    return chosen(cut.where("parts = 1").select("*", no_theme), "part", False).select(out).union(merged.select(out))
 
 
 def hits_with_vectors(hits: DataFrame, docs: DataFrame, *, dim: int = 64, order: tuple[str, ...] = ("received_at", "batch_no")) -> DataFrame:

@@ -207,6 +207,27 @@ def test_subset_takes_the_best_of_every_theme(spark, part_rows):
     assert subset.varied_subset(hits_frame(spark, rows), sizes.limit(0)).count() == 0
 
 
+def test_subset_finds_a_chained_theme_over_all_parts(spark):
+    """Neighbours of the chain are alike, all others are not, and they lie in different parts."""
+    turns = np.deg2rad(30 * np.arange(60))
+    x = np.zeros((80, 64))
+    for i, t in enumerate(turns):
+        at, t = divmod(t + 1e-9, np.pi / 2)
+        x[i, int(at)], x[i, int(at) + 1] = np.cos(t), np.sin(t)
+    x[60:70, 40] = x[70:, 50] = 1
+    x += 0.002 * np.random.default_rng(6).normal(size=x.shape)
+    score = np.random.default_rng(7).permutation(80) / 80
+    score[:60] += 1  # a splinter of the chain outscores the other themes
+    want = {f"h{a + int(score[a:b].argmax()):03d}" for a, b in ((0, 60), (60, 70), (70, 80))}
+    rows = [(q, f"h{i:03d}", float(score[i]), x[i].astype(np.float32).tobytes(), "t") for q in ("q", "r") for i in range(80)]
+    rows += [("few", f"h{i:03d}", 1.0, x[0].astype(np.float32).tobytes(), "t") for i in range(4)]
+    sizes = spark.createDataFrame([("q", 3), ("r", 3), ("few", 3)], "qid string, subset_size int")
+    for part_rows in (8, 1000):
+        got = subset.varied_subset(hits_frame(spark, rows), sizes, part_rows=part_rows, one_per_theme=True).collect()
+        assert sorted((r.qid, r.id) for r in got) == sorted([("few", "h000"), *[(q, i) for q in ("q", "r") for i in want]])
+        assert all(r.leads for r in got)
+
+
 def test_greedy_map_matches_determinants():
     rng = np.random.default_rng(1)
     u = unit(rng.normal(size=(12, 5)).astype(np.float32))
