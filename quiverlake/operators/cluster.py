@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -120,6 +120,25 @@ def probes(queries: DataFrame, centroids: DataFrame, nprobe: int, *, spill: Data
     return near.unionByName(extra).groupBy("qid", "cluster_id").agg(F.min("d2").alias("d2"))
 
 
+def enough_probes(assigned: DataFrame, queries: DataFrame, truth: DataFrame, centroids: DataFrame, target: float) -> int:
+    """The fewest nearest clusters of a query that hold at least ``target`` of its true neighbours, over all ``queries``.
+
+    ``assigned``: ``id, cluster_id`` of all rows; ``truth``: ``qid, id``. That share is the recall of :func:`ivf_search`
+    with so many probes, since a true neighbour in a probed cluster is always found. No truth: all clusters.
+    """
+    lists = centroids.count()
+    order = Window.partitionBy("qid").orderBy("d2", "cluster_id")
+    near = probes(queries, centroids, lists).withColumn("nth", F.row_number().over(order)).select("qid", "cluster_id", "nth")
+    held = truth.select("qid", "id").join(assigned.select("id", "cluster_id"), "id").join(near, ["qid", "cluster_id"])
+    count = {r.nth: r["count"] for r in held.groupBy("nth").count().collect()}
+    upto, total = 0, sum(count.values())
+    for n in range(1, lists):
+        upto += count.get(n, 0)
+        if total and upto >= target * total:
+            return n
+    return lists
+
+
 def ivf_search(table: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, *, nprobe: int, metric: str = "l2", raw: bool = False, id_col: str = "id", vec_col: str = "vector") -> DataFrame:
     """Search of the probed clusters: ``qid, id, score, rank``. ``table`` carries ``cluster_id`` (partition by it on disk, so
     that the probe list prunes the scan); an equi-join on the cluster brings queries and rows together."""

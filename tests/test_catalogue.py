@@ -32,6 +32,11 @@ def test_ivf_recall(spark, small):
     assert catalogue.queries()["ivf_trained_recall"](spark, small).first()[0] >= 0.5
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_ivf_recall_reaches_the_target(spark, small, size):
+    assert catalogue.queries()["ivf_trained_recall"](spark, small.replace("sf0.001", size)).first()[0] >= 0.9
+
+
 def test_metadata_filter_is_pushed_into_the_scan(spark, small):
     import io
     from contextlib import redirect_stdout
