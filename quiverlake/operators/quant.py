@@ -412,6 +412,49 @@ def two_pass_search(table: DataFrame, encoded: DataFrame, codec, query, k: int,
     return rescore(coarse.withColumnRenamed("id", id_col), table, query, k, metric=metric, id_col=id_col, vec_col=vec_col)
 
 
+def coarse_places(encoded: DataFrame, codec, queries: DataFrame, truth: DataFrame) -> np.ndarray:
+    """Place, from 1, of every true neighbour when all codes are ordered by the codec's score for its query, then by id.
+
+    ``queries``: ``qid, qvec``; ``truth``: ``qid, id``; both bounded, they go to every task. The share of places up to n
+    is the recall of a candidate cut of n.
+    """
+    from .runtime import bounded_rows
+
+    vectors = {r.qid: np.array(r.qvec, np.float64) for r in bounded_rows(queries.select("qid", "qvec"), 4096, "the queries")}
+    wanted = {}
+    for r in bounded_rows(truth.select("qid", "id"), 100_000, "the truth"):
+        wanted.setdefault(r.qid, []).append(r.id)
+    if not wanted:
+        return np.empty(0, np.int64)
+    names = sorted(wanted)
+    ids = pa.array(sorted({i for n in names for i in wanted[n]}))
+    near = encoded.where(F.col("id").isin(ids.to_pylist())).select("id", "code").collect()
+    codes = {r.id: np.frombuffer(r.code, np.uint8) for r in near}
+    marks = {n: (np.asarray(codec.scores(vectors[n], np.stack([codes[i] for i in wanted[n]])), np.float64), np.array(wanted[n])) for n in names}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = [np.zeros(len(wanted[n]), np.int64) for n in names]
+        for b in batches:
+            if b.num_rows:
+                rows = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                own = b.column("id").to_numpy(zero_copy_only=False)
+                for at, n in zip(before, names):
+                    s, (mark, who) = np.asarray(codec.scores(vectors[n], rows), np.float64)[:, None], marks[n]
+                    tied = np.abs(s - mark) <= 1e-9 * np.maximum(1, np.abs(mark))  # rounding differs with the batch
+                    at += ((s > mark) & ~tied | tied & (own[:, None] <= who)).sum(axis=0)
+        flat = np.concatenate(before)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["i", "n"])
+
+    got = encoded.select("id", "code").mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    return got.column("n").to_numpy()
+
+
+def enough_over(encoded: DataFrame, codec, queries: DataFrame, truth: DataFrame, k: int, target: float, least: float = 4.0) -> float:
+    """The oversampling factor, at least ``least``, with which two passes find ``target`` of the true neighbours of ``queries``."""
+    places = np.sort(coarse_places(encoded, codec, queries, truth))
+    return max(least, float(places[int(np.ceil(target * len(places))) - 1]) / k) if len(places) else least
+
+
 # -- expressions for given bounds, inside the JVM --------------------------------------------------
 
 def scalar_levels(vec: Column, low: float, high: float, bits: int = 7) -> Column:

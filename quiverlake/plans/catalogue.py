@@ -295,11 +295,19 @@ def sign_bit_scores(spark, d):
     return emb(spark, d).select("id", h.alias("h")).select("id", r6(1 - F.col("h") / 64).alias("dot_like"), r6(F.lit(1.0) / (1 + 4 * F.col("h"))).alias("l2_like"), r6((64 - 2 * F.col("h")) / 64).alias("ip_like"))
 
 
+def quantized(spark, d, kind: str):
+    """A codec, the codes and the oversampling that finds 0.93 of the true neighbours of up to 200 ids not divisible by 20."""
+    e = emb(spark, d)
+    codec = quant.train(kind, e)
+    codes = quant.encode(e, codec)
+    tried = table.stable_sample(e.where("id % 20 <> 0"), "id", 200).select(F.col("id").alias("qid"), F.col("vector").alias("qvec"))
+    return codec, codes, quant.enough_over(codes, codec, tried, search.search_batch(e, tried, 10), 10, 0.93)
+
+
 def _two_pass(kind):
     def run(spark, d):
-        e = emb(spark, d)
-        codec = quant.train(kind, e)
-        return out(quant.two_pass_search(e, quant.encode(e, codec), codec, vec(spark, d), 10))
+        codec, codes, over = quantized(spark, d, kind)
+        return out(quant.two_pass_search(emb(spark, d), codes, codec, vec(spark, d), 10, over=over))
 
     run.__name__ = f"quantized_{kind}"
     return run

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 import compare
@@ -37,6 +39,19 @@ def test_ivf_recall_reaches_the_target(spark, small, size):
     assert catalogue.queries()["ivf_trained_recall"](spark, small.replace("sf0.001", size)).first()[0] >= 0.9
 
 
+def quantized_recall(spark, d, kind):
+    codec, codes, over = catalogue.quantized(spark, d, kind)
+    e = catalogue.emb(spark, d)
+    q = e.where("id % 20 = 0").selectExpr("id as qid", "vector as qvec")
+    places = catalogue.quant.coarse_places(codes, codec, q, catalogue.search.search_batch(e, q, 10))
+    return over, float((places <= max(10, math.ceil(10 * over))).mean()), float((places <= 40).mean())
+
+
+@pytest.mark.parametrize("kind", ["sign", "pq"])
+def test_quantized_recall_reaches_the_target(spark, small, kind):
+    assert quantized_recall(spark, small.replace("sf0.001", "sf0.01"), kind)[1] >= 0.9
+
+
 def test_metadata_filter_is_pushed_into_the_scan(spark, small):
     import io
     from contextlib import redirect_stdout
