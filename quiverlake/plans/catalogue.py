@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -103,8 +104,8 @@ def batch(spark, d, which: str, k: int, **more) -> DataFrame:
 
 
 @query(BATCH.format(which="id < 20", where="true") + "SELECT qid, id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
-def knn_batch(spark, d):
-    return batch(spark, d, "id < 20", 5).withColumn("score", r6("score"))
+def knn_batch(spark, d, which="id < 20"):
+    return batch(spark, d, which, 5).withColumn("score", r6("score"))
 
 
 @query(BATCH.format(which="id % 20 = 0", where="id <> qid") + "SELECT qid, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
@@ -192,15 +193,15 @@ def staged_read_your_writes(spark, d):
 @query(BATCH.format(which="id < 50", where="id <> qid") + """, h AS (SELECT r.qid, e1.label = e2.label AS ok FROM r JOIN embeddings e1 ON e1.vec_id = r.qid JOIN embeddings e2 ON e2.vec_id = r.id WHERE rank <= 10),
 n AS (SELECT label, count(*) - 1 AS n FROM embeddings GROUP BY label)
 SELECT h.qid, round(sum(CASE WHEN ok THEN 1 ELSE 0 END) / max(n.n), 6) AS recall FROM h JOIN embeddings e ON e.vec_id = h.qid JOIN n ON n.label = e.label GROUP BY h.qid""")
-def knn_label_recall(spark, d):
-    run = batch(spark, d, "id < 50", 10, exclude_self=True).select("qid", F.col("id").alias("doc"), "rank")
+def knn_label_recall(spark, d, which="id < 50"):
+    run = batch(spark, d, which, 10, exclude_self=True).select("qid", F.col("id").alias("doc"), "rank")
     h = metrics.label_hits(run, emb(spark, d), 10)
-    return h.where("qid < 50").select("qid", r6(F.col("hits") / F.col("n_pos")).alias("recall"))
+    return h.where(which.replace("id", "qid")).select("qid", r6(F.col("hits") / F.col("n_pos")).alias("recall"))
 
 
 @query(BATCH.format(which="id % 50 = 0", where="id <> qid") + ", g AS (SELECT * FROM r WHERE rank <= 10) SELECT a.qid, round(count(b.id) / 10.0, 6) AS recall FROM g a LEFT JOIN (SELECT * FROM g WHERE rank <= 7) b ON a.qid = b.qid AND a.id = b.id GROUP BY a.qid")
-def recall_vs_truth(spark, d):
-    truth = batch(spark, d, "id % 50 = 0", 10, exclude_self=True)
+def recall_vs_truth(spark, d, which="id % 50 = 0"):
+    truth = batch(spark, d, which, 10, exclude_self=True)
     return search.recall_at(truth.where("rank <= 7"), truth, 10).withColumn("recall", r6("recall"))
 
 
@@ -356,18 +357,18 @@ def quantization_error(spark, d):
 
 
 @query(f"WITH {CENT} SELECT id AS qid, cluster_id, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, cluster_id) AS r FROM a WHERE id < 20) WHERE r <= 3")
-def ivf_probe_fixed(spark, d):
-    q = emb(spark, d).where("id < 20").select(F.col("id").alias("qid"), F.col("vector").alias("qvec"))
+def ivf_probe_fixed(spark, d, which="id < 20"):
+    q = emb(spark, d).where(which).select(F.col("id").alias("qid"), F.col("vector").alias("qvec"))
     return cluster.probes(q, label_centroids(spark, d), 3).withColumn("d2", r6("d2"))
 
 
 @query(f"""WITH {CENT}, b AS (SELECT id AS qid, v AS qv, cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, cluster_id) AS r FROM a WHERE id < 20) WHERE r <= 3),
 s AS (SELECT qid, n.id, 1.0 / (1 + {D2}) AS score FROM n JOIN b ON n.cluster_id = b.cluster_id)
 SELECT qid, id, round(score, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM s) WHERE r <= 5""")
-def ivf_flat_fixed(spark, d):
+def ivf_flat_fixed(spark, d, which="id < 20"):
     e, c = emb(spark, d), label_centroids(spark, d)
     rows = e.join(cluster.assign(e, c).select("id", "cluster_id"), "id")
-    q = e.where("id < 20").select(F.col("id").alias("qid"), F.col("vector").alias("qvec"))
+    q = e.where(which).select(F.col("id").alias("qid"), F.col("vector").alias("qvec"))
     return cluster.ivf_search(rows, q, c, 5, nprobe=3).withColumn("score", r6("score"))
 
 
@@ -411,10 +412,10 @@ for _kind in ("hnsw", "vamana"):
 
 
 @query(BATCH.format(which="id < 10", where="label = 3") + "SELECT qid, id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
-def graph_filtered(spark, d):
+def graph_filtered(spark, d, which="id < 10"):
     """Wide-beamed search of the graphs that collects only rows of a label while it walks through all."""
     e = emb(spark, d)
-    q = e.where("id < 10").select(F.col("id").alias("qid"), F.col("vector").alias("qvec"))
+    q = e.where(which).select(F.col("id").alias("qid"), F.col("vector").alias("qvec"))
     index = graph.build(e, "hnsw")
     return graph.search(index, q, 5, width=4000, allowed=e.where("label = 3").select("id")).withColumn("score", r6("score"))
 
@@ -531,19 +532,30 @@ f AS (SELECT *, CASE WHEN recall + precision = 0 THEN 0 ELSE 2 * recall * precis
 """
 
 
-def _run(spark, d):
-    return batch(spark, d, "id % 25 = 0", 10, exclude_self=True).select("qid", F.col("id").alias("doc"), "rank")
+def _run(spark, d, which):
+    return batch(spark, d, which, 10, exclude_self=True).select("qid", F.col("id").alias("doc"), "rank")
 
 
 @query(RUN + "SELECT qid, round(ndcg, 6) AS ndcg, round(recall, 6) AS recall, round(precision, 6) AS precision, round(f1, 6) AS f1, round(rr, 6) AS rr FROM f")
-def metrics_per_query(spark, d):
-    qrels = metrics.qrels_from_labels(emb(spark, d), emb(spark, d).where("id % 25 = 0").select(F.col("id").alias("qid")))
-    return metrics.per_query(_run(spark, d), qrels, 10).select("qid", *[r6(c).alias(c) for c in ("ndcg", "recall", "precision", "f1", "rr")])
+def metrics_per_query(spark, d, which="id % 25 = 0"):
+    qrels = metrics.qrels_from_labels(emb(spark, d), emb(spark, d).where(which).select(F.col("id").alias("qid")))
+    return metrics.per_query(_run(spark, d, which), qrels, 10).select("qid", *[r6(c).alias(c) for c in ("ndcg", "recall", "precision", "f1", "rr")])
 
 
 @query(RUN + "SELECT round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(f1), 6) AS f1, round(avg(rr), 6) AS mrr FROM f")
-def metrics_summary(spark, d):
-    return metrics.means(metrics.per_query_by_label(_run(spark, d), emb(spark, d), 10)).select(*[r6(c).alias(c) for c in ("ndcg", "recall", "precision", "f1", "mrr")])
+def metrics_summary(spark, d, which="id % 25 = 0"):
+    return metrics.means(metrics.per_query_by_label(_run(spark, d, which), emb(spark, d), 10)).select(*[r6(c).alias(c) for c in ("ndcg", "recall", "precision", "f1", "mrr")])
+
+
+def _over_the_set(f, old: str):
+    """``<name>_set``: the query over every id divisible by 20, which grows with the data, beside the one over fewer ids."""
+    name, new = f.__name__ + "_set", "id % 20 = 0"
+    QUERIES[name] = functools.wraps(f)(lambda spark, d: f(spark, d, new))
+    SQL[name] = SQL[f.__name__].replace(old, new)
+
+
+for _f, _old in ((knn_batch, "id < 20"), (knn_label_recall, "id < 50"), (recall_vs_truth, "id % 50 = 0"), (ivf_probe_fixed, "id < 20"), (ivf_flat_fixed, "id < 20"), (graph_filtered, "id < 10"), (metrics_per_query, "id % 25 = 0"), (metrics_summary, "id % 25 = 0")):
+    _over_the_set(_f, _old)
 
 
 @query("SELECT a.vec_id AS qid, b.vec_id AS doc, 1 AS grade FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0")

@@ -52,6 +52,12 @@ def test_quantized_recall_reaches_the_target(spark, small, kind):
     assert quantized_recall(spark, small.replace("sf0.001", "sf0.01"), kind)[1] >= 0.9
 
 
+@pytest.mark.parametrize("name", ["knn_batch", "knn_label_recall", "recall_vs_truth", "ivf_probe_fixed", "ivf_flat_fixed", "graph_filtered", "metrics_per_query"])
+def test_sets_hold_every_id_divisible_by_20(spark, small, name):
+    want = {r[0] for r in catalogue.emb(spark, small).where("id % 20 = 0").select("id").collect()}
+    assert {r.qid for r in catalogue.queries()[f"{name}_set"](spark, small).collect()} == want
+
+
 def test_metadata_filter_is_pushed_into_the_scan(spark, small):
     import io
     from contextlib import redirect_stdout
