@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import bounded_rows
 from .search import rank_by
 
 
@@ -172,15 +173,16 @@ def build(df: DataFrame, kind: str = "hnsw", *, id_col: str = "id", vec_col: str
     return rows.repartition(parts, "part").sortWithinPartitions("part", "id").mapInArrow(run, "part int, graph binary")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, *, width: int = 100, id_type: str = "bigint", allowed: DataFrame | None = None, most_queries: int = 4096) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int, *, width: int = 100, id_type: str = "bigint", allowed: DataFrame | None = None, most_queries: int = 4096, most_allowed: int = 1_000_000) -> DataFrame:
     """``qid, id, score, rank`` by beam search of every graph. ``allowed`` (a bounded list of ids) filters inside the walk.
 
-    Queries are at most ``most_queries`` a call; larger sets are split by the caller.
+    Queries are at most ``most_queries`` a call; larger sets are split by the caller. More than ``most_allowed`` allowed
+    ids are an error.
     """
     rows = queries.select("qid", F.col("qvec").cast("array<double>").alias("v")).where("v is not null").limit(most_queries + 1).collect()
     if len(rows) > most_queries:
         raise ValueError(f"more than {most_queries} queries in a call")
-    kept = None if allowed is None else {r[0] for r in allowed.limit(1_000_001).collect()}
+    kept = None if allowed is None else {r[0] for r in bounded_rows(allowed, most_allowed, "the list of allowed ids")}
     sent = index.sparkSession.sparkContext.broadcast(([r.qid for r in rows], [np.array(r.v) for r in rows], kept))
     q_type = queries.schema["qid"].dataType.simpleString()
 

@@ -212,3 +212,12 @@ def test_graph_recall(make, metric):
     keep = [n % 5 == 0 for n in range(500)]
     assert all(n % 5 == 0 for _, n in g.search(x[0], 10, 50, keep))
     assert make(x[:0], metric).search(x[0], 3, 10) == [] and [n for _, n in make(x[:1], metric).search(x[0], 3, 10)] == [0]
+
+
+def test_graph_search_refuses_more_allowed_ids_than_it_holds(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id bigint, vector array<float>")
+    q = rows.where("id = 19").selectExpr("id as qid", "vector as qvec")
+    index = graph.build(rows)
+    assert graph.search(index, q, 20, allowed=rows.select("id"), most_allowed=20).count() == 20
+    with pytest.raises(ValueError, match="allowed"):
+        graph.search(index, q, 20, allowed=rows.select("id"), most_allowed=19)
