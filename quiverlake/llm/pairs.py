@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -66,6 +67,16 @@ def _letters(text: str) -> str:
     return "".join(words(text))
 
 
+def _in_common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit of one number for each letter of ``b``."""
+    at = {c: int("".join("1" if x == c else "0" for x in reversed(b)), 2) for c in set(b)}
+    full = open_bits = (1 << len(b)) - 1
+    for c in a:
+        hit = open_bits & at.get(c, 0)
+        open_bits = (open_bits + hit | open_bits - hit) & full
+    return len(b) - open_bits.bit_count()
+
+
 def is_copy(prompt: str | None, answer: str) -> bool:
     """The answer gives back the prompt or its question, once or several times, and nothing else.
 
@@ -86,9 +97,11 @@ def is_copy(prompt: str | None, answer: str) -> bool:
             continue
         if a == q or (len(a) % len(q) == 0 and a == q * (len(a) // len(q))):
             return True
-        if len(a) < 5000 and 0.85 <= len(a) / len(q) <= 1.15:
-            m = difflib.SequenceMatcher(None, a, q, autojunk=False)
-            if m.real_quick_ratio() >= 0.93 and m.quick_ratio() >= 0.93 and m.ratio() >= 0.93:
+        if 0.85 <= len(a) / len(q) <= 1.15:
+            m = difflib.SequenceMatcher(None, a, q, autojunk=False) if len(a) < 5000 else None
+            if m and m.real_quick_ratio() >= 0.93 and m.quick_ratio() >= 0.93 and m.ratio() >= 0.93:
+                return True
+            if not m and 2 * (Counter(a) & Counter(q)).total() >= 0.93 * (len(a) + len(q)) and 2 * _in_common(a, q) >= 0.93 * (len(a) + len(q)):
                 return True
     # the question cut out, hardly anything is left
     q = _letters(question)

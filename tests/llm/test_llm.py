@@ -342,6 +342,17 @@ def test_defects(prompt, answer, want):
     assert pairs.defects(prompt, answer) == want
 
 
+def test_a_long_prompt_given_back_with_slips_is_a_copy():
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(2000))
+    prompt = text()
+    slips = list(prompt)
+    for i in range(0, len(slips), 150):
+        slips[i] = "z"
+    assert len(prompt) > 8000 and pairs.is_copy(prompt, "".join(slips)) and not pairs.is_copy(prompt, text())
+    assert pairs._in_common("abcbdab", "bdcaba") == 4
+
+
 def test_session_pairs(spark):
     import datetime as dt
 
