@@ -1,4 +1,4 @@
-"""Broken prompt and response pairs: ordered rules that flag each defect of an answer."""
+"""Broken prompt and response pairs: ordered rules, of which the first that fits flags the answer."""
 
 from __future__ import annotations
 
@@ -276,10 +276,10 @@ def is_truncated(answer: str) -> bool:
 # -- the operator ------------------------------------------------------------------------------
 
 def defects(prompt: str | None, answer: str | None) -> list[str]:
-    """Every defect the rules trigger, in the order of the rules.
+    """The first defect the rules trigger, in the order of the rules; at most one.
 
     An empty answer or a copy has nothing further to judge; a refusal is not judged for
-    completeness, and an answer in another language is a defect of its own.
+    completeness, nor is an answer in another language.
     """
     if is_empty(answer):
         return ["empty"]
@@ -296,7 +296,7 @@ def defects(prompt: str | None, answer: str | None) -> list[str]:
 
 
 def flag_pairs(pairs: DataFrame) -> DataFrame:
-    """``pair_source, pair_key, defect``: a row for every defect of every pair.
+    """``pair_source, pair_key, defect``: a row for every pair with a defect, the first by the rules.
 
     ``pairs``: ``pair_source, pair_key, prompt, answer``, others are ignored. A null prompt leaves only what the answer
     itself tells; a null answer is ``empty``. Whole texts are read. Repeated rows give one row.

@@ -353,6 +353,12 @@ def test_a_long_prompt_given_back_with_slips_is_a_copy():
     assert pairs._in_common("abcbdab", "bdcaba") == 4
 
 
+def test_at_most_one_defect():
+    """A refusal that breaks off is a refusal, as the docstring says."""
+    assert pairs.defects("How do I bake bread?", "I cannot help with that because the") == ["refusal"]
+    assert "at most one" in pairs.defects.__doc__
+
+
 def test_session_pairs(spark):
     import datetime as dt
 
