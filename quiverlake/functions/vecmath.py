@@ -1,6 +1,6 @@
 """Vector expressions: Column builders that stay inside the JVM, in double precision.
 
-A null vector gives null. Vectors of different lengths give null (``zip_with`` pads with null).
+A null vector gives null. Embeddings of different lengths give null (``zip_with`` pads with null).
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ def raw_score(a: Column, b: Column, metric: str) -> Column:
 
 
 def byte_dot_score(a: Column, b: Column) -> Column:
-    """Dot similarity of int8 vectors: 0.5 + dot / (2 n 127^2)."""
+    """Dot similarity of int8 embeddings: 0.5 + dot / (2 n 127^2)."""
     return F.lit(0.5) + dot(a, b) / (F.lit(2.0) * F.size(a) * 127 * 127)
 
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
+from ..functions import vecmath as V
 from .search import rank_by
 
 
@@ -26,13 +26,13 @@ def dimension_variance(df: DataFrame, vec_col: str) -> DataFrame:
 
 
 def sparsity(df: DataFrame, vec_col: str) -> DataFrame:
-    """Share of zero entries over all vectors."""
+    """Share of zero entries over all embeddings."""
     zeros = F.sum(F.size(F.filter(vec_col, lambda x: x == 0)))
     return df.agg((zeros / F.sum(F.size(vec_col))).alias("sparsity"))
 
 
 def intrinsic_dimension(df: DataFrame, vec_col: str, *, rows: int = 1024, share: float = 0.9, seed: int = 42) -> int:
-    """Principal components that hold ``share`` of the variance, on a documented sample of at most ``rows`` vectors."""
+    """Principal components that hold ``share`` of the variance, on a documented sample of at most ``rows`` embeddings."""
     x = np.array([r[0] for r in df.select(vec_col).where(F.col(vec_col).isNotNull()).orderBy(F.rand(seed)).limit(rows).collect()], float)
     if len(x) < 2:
         return 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise
+from .runtime import discard, materialise
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
 
     Null ends and loops are ignored; an empty edge table gives an empty result. Each round is
     two aggregations that halve the depth of the trees; the edge table is written to the
-    shared folder after each round, and nothing but one count reaches the driver.
+    shared folder after each round, the one before is deleted, and nothing but one count reaches the driver.
     """
     x, y = F.col(a), F.col(b)
     e = (
@@ -40,6 +40,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         nxt = materialise(small, "cc")
         n_new, n_old = nxt.count(), e.count()
         same = n_new == n_old and nxt.join(e, ["u", "v"], "left_anti").isEmpty()
+        discard(e)
         e = nxt
         if same or not n_new:
             break

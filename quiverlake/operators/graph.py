@@ -1,6 +1,6 @@
 """Proximity-graph indexes, one graph per Spark partition: HNSW and Vamana.
 
-``build`` turns a table into index rows, each holding the graph of at most ``rows_per_graph`` vectors;
+``build`` turns a table into index rows, each holding the graph of at most ``rows_per_graph`` embeddings;
 ``search`` runs a beam search in every graph and merges the results. Rebuilding the rows of changed partitions
 replaces graph compaction.
 """
@@ -154,7 +154,7 @@ class Vamana:
 def build(df: DataFrame, kind: str = "hnsw", *, id_col: str = "id", vec_col: str = "vector", metric: str = "cosine", rows_per_graph: int = 10_000, total: int | None = None, **options) -> DataFrame:
     """``part int, graph binary``: one row per graph of about ``rows_per_graph`` rows, spread by a hash of the id.
 
-    Null vectors are left out; all vectors must have one length.
+    Null embeddings are left out; all embeddings must have one length.
     """
     total = df.count() if total is None else total
     parts = max(1, -(-total // rows_per_graph))
@@ -187,12 +187,12 @@ def search(index: DataFrame, queries: DataFrame, k: int, *, width: int = 100, id
     q_type = queries.schema["qid"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, vectors, kept = sent.value
+        names, embeddings, kept = sent.value
         for b in batches:
             for blob in b.column("graph").to_pylist():
                 ids, graph = pickle.loads(blob)
                 keep = None if kept is None else [i in kept for i in ids]
-                out = [(q, ids[n], s) for q, v in zip(names, vectors) for s, n in graph.search(v, k, width, keep)]
+                out = [(q, ids[n], s) for q, v in zip(names, embeddings) for s, n in graph.search(v, k, width, keep)]
                 if out:
                     a, i, s = zip(*out)
                     yield pa.RecordBatch.from_arrays([pc.cast(pa.array(a), _arrow(q_type)), pc.cast(pa.array(i), _arrow(id_type)), pa.array(s, pa.float64())], ["qid", "id", "score"])

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = 25_000
 
 
-def sample_vectors(df: DataFrame, vec_col: str = "vector", rows: int = SAMPLE_ROWS, seed: int = 42) -> np.ndarray:
-    """At most ``rows`` vectors, uniformly and reproducibly (smallest hashes), for training."""
+def sample_embeddings(df: DataFrame, vec_col: str = "vector", rows: int = SAMPLE_ROWS, seed: int = 42) -> np.ndarray:
+    """At most ``rows`` embeddings, uniformly and reproducibly (smallest hashes), for training."""
     picked = df.where(F.col(vec_col).isNotNull()).select(F.col(vec_col).cast("array<float>").alias("v"))
     return np.array([r.v for r in picked.orderBy(F.xxhash64("v", F.lit(seed))).limit(rows).collect()], np.float32)
 
@@ -239,9 +239,9 @@ class NonUniform:
         self.center, self.cuts = center, cuts
 
     @classmethod
-    def train(cls, x, subvectors: int | None = None) -> NonUniform:
+    def train(cls, x, sub_parts: int | None = None) -> NonUniform:
         dim = x.shape[1]
-        m = subvectors or max(1, dim // 4)
+        m = sub_parts or max(1, dim // 4)
         return cls(x.mean(0).astype(np.float64), np.concatenate([[0], np.cumsum([dim // m + (i < dim % m) for i in range(m)])]))
 
     @staticmethod
@@ -365,8 +365,8 @@ KINDS = {
 
 
 def train(kind: str, df: DataFrame, vec_col: str = "vector"):
-    """A codec of ``kind``, trained on at most SAMPLE_ROWS vectors."""
-    return KINDS[kind](sample_vectors(df, vec_col))
+    """A codec of ``kind``, trained on at most SAMPLE_ROWS embeddings."""
+    return KINDS[kind](sample_embeddings(df, vec_col))
 
 
 def _rows(column, dim=None):
@@ -420,7 +420,7 @@ def coarse_places(encoded: DataFrame, codec, queries: DataFrame, truth: DataFram
     """
     from .runtime import bounded_rows
 
-    vectors = {r.qid: np.array(r.qvec, np.float64) for r in bounded_rows(queries.select("qid", "qvec"), 4096, "the queries")}
+    embeddings = {r.qid: np.array(r.qvec, np.float64) for r in bounded_rows(queries.select("qid", "qvec"), 4096, "the queries")}
     wanted = {}
     for r in bounded_rows(truth.select("qid", "id"), 100_000, "the truth"):
         wanted.setdefault(r.qid, []).append(r.id)
@@ -430,7 +430,7 @@ def coarse_places(encoded: DataFrame, codec, queries: DataFrame, truth: DataFram
     ids = pa.array(sorted({i for n in names for i in wanted[n]}))
     near = encoded.where(F.col("id").isin(ids.to_pylist())).select("id", "code").collect()
     codes = {r.id: np.frombuffer(r.code, np.uint8) for r in near}
-    marks = {n: (np.asarray(codec.scores(vectors[n], np.stack([codes[i] for i in wanted[n]])), np.float64), np.array(wanted[n])) for n in names}
+    marks = {n: (np.asarray(codec.scores(embeddings[n], np.stack([codes[i] for i in wanted[n]])), np.float64), np.array(wanted[n])) for n in names}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = [np.zeros(len(wanted[n]), np.int64) for n in names]
@@ -439,7 +439,7 @@ def coarse_places(encoded: DataFrame, codec, queries: DataFrame, truth: DataFram
                 rows = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)
                 own = b.column("id").to_numpy(zero_copy_only=False)
                 for at, n in zip(before, names):
-                    s, (mark, who) = np.asarray(codec.scores(vectors[n], rows), np.float64)[:, None], marks[n]
+                    s, (mark, who) = np.asarray(codec.scores(embeddings[n], rows), np.float64)[:, None], marks[n]
                     tied = np.abs(s - mark) <= 1e-9 * np.maximum(1, np.abs(mark))  # rounding differs with the batch
                     at += ((s > mark) & ~tied | tied & (own[:, None] <= who)).sum(axis=0)
         flat = np.concatenate(before)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,29 +13,62 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_roots: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.
+    """The folder all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) is a folder of our own chosen and set.
+    Where it is unset a folder of our own is chosen and set, but only if Spark runs in one process
+    (tests); on a cluster a machine-local folder would be lost on the executors, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="quiverlake-")
-    spark.sparkContext.setCheckpointDir(own)
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quiverlake-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def stage_root(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables; the JVM deletes it when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        root = f"{shared_dir(spark)}/quiverlake/{app}"
+        fs, p = _hadoop_path(spark, root)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _roots[app] = root
+    return _roots[app]
+
+
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as parquet into the shared folder and read it back.
 
-    Cuts the lineage in a way that survives the loss of any executor.
+    Cuts the lineage in a way that survives the loss of any executor. The table goes with the
+    application, or before with :func:`discard`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quiverlake/{label}-{uuid.uuid4().hex}"
+    path = f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again."""
+    for t in tables:
+        path = getattr(t, "_stage_path", None)
+        if path:
+            fs, p = _hadoop_path(t.sparkSession, path)
+            fs.delete(p, True)
 
 
 def latest_version(df: DataFrame, key: str, order: list[str]) -> DataFrame:

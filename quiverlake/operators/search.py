@@ -15,7 +15,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute in the tasks)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
+from ..functions import vecmath as V
 from . import filters
 
 QUERIES_PER_PASS = 4096

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
+from ..functions import vecmath as V
 
 
 # -- axes and samplers ------------------------------------------------------------------------------
@@ -174,11 +174,11 @@ def threshold_sweep(scored: DataFrame, thresholds: list[float], *, value: str =
 
 
 def index_bytes(kind: str, n: Column, dim: Column, m: Column | None = None, quantizer: str = "none") -> Column:
-    """Estimated memory of an index: its vectors or codes plus its links or lists."""
+    """Estimated memory of an index: its embeddings or codes plus its links or lists."""
     code = {"none": dim * 4, "fp16": dim * 2, "sq8": dim + 4, "sq4": F.ceil(dim / 2) + 4, "pq": F.greatest(F.floor(dim / 8), F.lit(1)), "bq": F.ceil(dim / 8)}[quantizer]
-    vectors = n * (code if quantizer == "none" else code + dim * 4)
+    embeddings = n * (code if quantizer == "none" else code + dim * 4)
     links = {"flat": F.lit(0), "hnsw": n * (m if m is not None else F.lit(16)) * 2 * 4 * F.lit(1.1), "vamana": n * (m if m is not None else F.lit(32)) * 4, "ivf": n * 4}[kind]
-    return (vectors + links).cast("bigint")
+    return (embeddings + links).cast("bigint")
 
 
 # -- projections ------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
+from ..functions import vecmath as V
 from ..operators import cluster, filters, fusion, graph, metrics, quant, route, search, table, text, tune
 from ..streaming import ingest
 

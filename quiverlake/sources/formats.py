@@ -1,4 +1,4 @@
-"""Readers and writers: JSONL, directories, Arrow IPC, TexMex vectors, TSV and raw matrices; HDF5 where h5py is present."""
+"""Readers and writers: JSONL, directories, Arrow IPC, TexMex embeddings, TSV and raw matrices; HDF5 where h5py is present."""
 
 from __future__ import annotations
 

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quiverlake.functions import vectors as V
+from quiverlake.functions import vecmath as V
 from quiverlake.operators import cluster, components, filters, fusion, graph, metrics, quant, route, search, table, tune
 
 META = "id string, vector array<float>, color string, size double, active boolean, tags array<string>"
