@@ -50,7 +50,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def live_vectors(df: DataFrame, *, id_col: str = "id", vec_col: str = "precomputed_vector", order: list[str], dim: int) -> DataFrame:
+def live_embeddings(df: DataFrame, *, id_col: str = "id", vec_col: str = "precomputed_vector", order: list[str], dim: int) -> DataFrame:
     """``(id string, vec binary)`` of the live rows whose vector is usable.
 
     The live row of an id is the greatest by ``order``; when its vector is unusable the id is

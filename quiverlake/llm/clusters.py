@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..operators.runtime import materialise, sorted_groups
-from .vectors import from_binary, live_vectors, to_binary, unit
+from .arrays import from_binary, live_embeddings, to_binary, unit
 
 MOST_CENTROIDS = 4096  # bounds what is sent to every task: 4096 x 64 floats are 1 MB
 SPLIT_ABOVE = 6144  # members of a cell beyond which big groups are peeled off before all pairs are compared
@@ -29,7 +29,7 @@ def hashed_features(texts: list[str | None], dim: int = 64, weights: dict[str, f
     """Texts as hashed weighted word features, for records that have no vector of their own.
 
     Each word adds its weight (default 1 + log of its count) with a hashed sign at a hashed
-    place. Null and wordless texts give zero vectors, which are not usable.
+    place. Null and wordless texts give zero embeddings, which are not usable.
     """
     out = np.zeros((len(texts), dim), np.float32)
     for i, text in enumerate(texts):
@@ -405,4 +405,4 @@ def describe_groups(groups: DataFrame, points: DataFrame, *, dim: int, typical:
 
 
 def live_points(docs: DataFrame, *, vec_col: str = "precomputed_vector", order: tuple[str, ...] = ("received_at", "batch_no"), dim: int = 64) -> DataFrame:
-    return materialise(live_vectors(docs, vec_col=vec_col, order=list(order), dim=dim), "points")
+    return materialise(live_embeddings(docs, vec_col=vec_col, order=list(order), dim=dim), "points")

@@ -1,4 +1,4 @@
-"""Most similar vectors for every vector, by shifted space-filling curves.
+"""Most similar embeddings for every vector, by shifted space-filling curves.
 
 Every vector is projected several times to a few dimensions and placed on a Hilbert curve of
 the projection. Each ordering is range-partitioned and sorted in Spark; a task streams along
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import from_binary, live_vectors, to_binary, unit, usable
+from .arrays import from_binary, live_embeddings, to_binary, unit, usable
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -52,7 +52,7 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curves:
-    """Projections, shifts and partition bounds, fitted on a bounded sample of the vectors.
+    """Projections, shifts and partition bounds, fitted on a bounded sample of the embeddings.
 
     The sample sets only directions, scales and where to cut the ranges; every row is placed
     and searched. Keys are taken of directions rounded to ``places`` decimals, so copies of a
@@ -328,11 +328,11 @@ def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor:
     yield from flush(True)
 
 
-def nearest(vectors: DataFrame, *, fit: np.ndarray, total: int, dim: int, k: int = 5, floor: float = -1.0, orderings: int = 3, block: int = 2048, rows_per_part: int = 40_000, seed: int = 7) -> DataFrame:
+def nearest(embeddings: DataFrame, *, fit: np.ndarray, total: int, dim: int, k: int = 5, floor: float = -1.0, orderings: int = 3, block: int = 2048, rows_per_part: int = 40_000, seed: int = 7) -> DataFrame:
     """The ``k`` most similar other ids of every id: ``id, found: array<struct<s: -cosine, id>>``.
 
-    ``vectors``: ``id string, vec binary`` (float32 bytes), one row per id; ``total``: about how many.
-    ``fit``: a bounded sample of vectors for the curves' directions and range bounds; all rows
+    ``embeddings``: ``id string, vec binary`` (float32 bytes), one row per id; ``total``: about how many.
+    ``fit``: a bounded sample of embeddings for the curves' directions and range bounds; all rows
     are indexed and searched. ``found`` is sorted by cosine (double precision, 6 decimals) and
     then by id. Others under ``floor`` are not reported, and an id with none is left out.
     Results are approximate: a neighbour is found if it lies within the window of the row
@@ -357,7 +357,7 @@ def nearest(vectors: DataFrame, *, fit: np.ndarray, total: int, dim: int, k: int
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), labels[stretches_n + cell], np.int32)), pa.array(keys), b.column("id").take(at), b.column("vec").take(at)], ["part", "key", "id", "vec"])
 
-    placed = vectors.mapInArrow(place, "part int, key bigint, id string, vec binary")
+    placed = embeddings.mapInArrow(place, "part int, key bigint, id string, vec binary")
     stretches = placed.repartition(len(labels), "part").sortWithinPartitions("part", "key", "id")
     found = stretches.mapInArrow(lambda it: _search_stretch(it, dim, k, floor, block, cells=cells, centers=groups.centers), "id string, found array<struct<s: double, id: string>>")
     merged = found.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
@@ -371,7 +371,7 @@ def similar_pairs(found: DataFrame) -> DataFrame:
 
 
 def fit_sample(df: DataFrame, *, vec_col: str, dim: int, fit_rows: int, total: int, seed: int = 11) -> np.ndarray:
-    """About ``fit_rows`` usable vectors of a table, live or not, for fitting; at most twice as many."""
+    """About ``fit_rows`` usable embeddings of a table, live or not, for fitting; at most twice as many."""
 
     def pack(batches):
         for b in batches:
@@ -386,10 +386,10 @@ def fit_sample(df: DataFrame, *, vec_col: str, dim: int, fit_rows: int, total: i
 def nearest_records(docs: DataFrame, *, dim: int = 64, k: int = 5, floor: float = -1.0, vec_col: str = "precomputed_vector", order: tuple[str, ...] = ("received_at", "batch_no"), fit_rows: int = 20_000, **more) -> DataFrame:
     """:func:`nearest` over the live rows of a versioned table.
 
-    Nulls, wrong lengths, NaN and zero vectors have no neighbours and are no one's neighbour.
+    Nulls, wrong lengths, NaN and zero embeddings have no neighbours and are no one's neighbour.
     The curves are fitted on a row sample of about ``fit_rows`` of the raw table.
     """
     total = docs.count()
     fit = fit_sample(docs, vec_col=vec_col, dim=dim, fit_rows=fit_rows, total=total)
-    vectors = live_vectors(docs, vec_col=vec_col, order=list(order), dim=dim)
-    return nearest(vectors, fit=fit, total=total, dim=dim, k=k, floor=floor, **more)
+    embeddings = live_embeddings(docs, vec_col=vec_col, order=list(order), dim=dim)
+    return nearest(embeddings, fit=fit, total=total, dim=dim, k=k, floor=floor, **more)

@@ -24,7 +24,7 @@ def p1_subset(spark: SparkSession, d: str, one_per_theme: bool = False) -> DataF
     """The whole selection with its order; may hold several hits of a theme once all themes are shown."""
     sizes = table(spark, d, "search_queries").where("subset_size is not null").select("qid", "subset_size")
     asked = table(spark, d, "search_hits").join(sizes.select("qid").distinct(), "qid", "left_semi")
-    hits = subset.hits_with_vectors(asked, table(spark, d, "ingest_docs"))
+    hits = subset.hits_with_embeddings(asked, table(spark, d, "ingest_docs"))
     return subset.varied_subset(hits, sizes, alike=ALIKE, one_per_theme=one_per_theme)
 
 

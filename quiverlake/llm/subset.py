@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..operators.runtime import latest_version, materialise, sorted_groups
 from .clusters import link_cell
-from .vectors import from_binary, to_binary, unit, usable
+from .arrays import from_binary, to_binary, unit, usable
 
 THEME_SHARE = 0.9  # share of the kernel's similarity that says "same theme"; the rest is the cosine
 
@@ -161,7 +161,7 @@ def varied_subset(hits: DataFrame, sizes: DataFrame, *, dim: int = 64, alike: fl
     return chosen(cut.where("parts = 1").select("*", no_theme), "part", False).select(out).union(merged.select(out))
 
 
-def hits_with_vectors(hits: DataFrame, docs: DataFrame, *, dim: int = 64, order: tuple[str, ...] = ("received_at", "batch_no")) -> DataFrame:
+def hits_with_embeddings(hits: DataFrame, docs: DataFrame, *, dim: int = 64, order: tuple[str, ...] = ("received_at", "batch_no")) -> DataFrame:
     """``qid, id, score, vec binary``, one row per (qid, id): a hit's own vector or, where it is null, that of the live record.
 
     Of repeated hits the best score counts and any usable vector (they repeat it). Hits that have

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quiverlake.llm import areas, chunks, clusters, fuse_ranks, leaks, neighbours, pairs, queries, subset, tokens
-from quiverlake.llm.vectors import from_binary, live_vectors, to_binary, unit, usable
+from quiverlake.llm.arrays import from_binary, live_embeddings, to_binary, unit, usable
 from quiverlake.llm.words import words
 
 DOC = "id string, precomputed_vector array<float>, received_at timestamp, batch_no bigint, vec string, score string"
@@ -21,7 +21,7 @@ def docs_frame(spark, rows):
     return spark.createDataFrame([(i, v, t0 + dt.timedelta(seconds=s), 0, "x", "y") for i, v, s in rows], DOC)
 
 
-def grouped_vectors(seed=0, n=240, dim=64, groups=12, noise=0.03):
+def grouped_embeddings(seed=0, n=240, dim=64, groups=12, noise=0.03):
     rng = np.random.default_rng(seed)
     centers = rng.normal(size=(groups, dim))
     centers /= np.linalg.norm(centers, axis=1, keepdims=True)
@@ -32,7 +32,7 @@ def grouped_vectors(seed=0, n=240, dim=64, groups=12, noise=0.03):
 
 @pytest.fixture(scope="module")
 def vector_docs(spark):
-    x = grouped_vectors()
+    x = grouped_embeddings()
     rows = [(f"r{i:04d}", v.tolist(), 10) for i, v in enumerate(x)]
     rows += [(f"c{i:02d}", (x[100] * (1 + i % 3)).tolist(), 10) for i in range(20)]  # scaled copies
     rows += [("r0001", [0.0] * 64, 5), ("r0002", x[2].tolist(), 10), (None, x[3].tolist(), 1)]  # stale, repeated, no id
@@ -67,7 +67,7 @@ def same_groups(vs, alike=0.84):
     return {ids[i]: ids[g] for i, g in label.items()}
 
 
-# -- vectors, neighbours, clusters ---------------------------------------------------------------------
+# -- embeddings, neighbours, clusters ---------------------------------------------------------------------
 
 def test_usable_and_bytes():
     import pyarrow as pa
@@ -165,7 +165,7 @@ def test_groups_of_nothing(spark, vector_docs):
 @pytest.mark.parametrize("limit", [10, 60, 100_000])
 def test_link_cell_paths_agree(monkeypatch, limit):
     monkeypatch.setattr(clusters, "SPLIT_ABOVE", limit)
-    x = grouped_vectors(4, 300)
+    x = grouped_embeddings(4, 300)
     chain = np.array([[np.cos(a), np.sin(a)] + [0] * 62 for a in np.arange(0, 3, 0.5)])  # linked only through others
     u = unit(np.vstack([x, chain]).astype(np.float32))
     labels = clusters.link_cell(u, 0.84, np.random.default_rng(0))
@@ -189,7 +189,7 @@ def hits_frame(spark, rows):
 
 @pytest.mark.parametrize("part_rows", [10_000, 30])
 def test_subset_takes_the_best_of_every_theme(spark, part_rows):
-    x = grouped_vectors(5, 200)
+    x = grouped_embeddings(5, 200)
     rng = np.random.default_rng(0)
     score = rng.random(200).round(2)  # with ties
     score[::17] = np.nan
@@ -243,7 +243,7 @@ def test_greedy_map_matches_determinants():
 def test_hits_take_the_live_vector(spark):
     docs = docs_frame(spark, [("a", [1.0] * 64, 1), ("a", [2.0] * 64, 2), ("b", None, 1)])
     hits = spark.createDataFrame([("q", "a", float("nan"), None), ("q", "a", 0.5, None), ("q", "b", 0.4, None), ("q", "c", 0.3, [3.0] * 64), (None, "a", 1.0, None)], "qid string, id string, score double, vector array<float>")
-    got = {r.id: (r.score, from_binary(__import__("pyarrow").array([bytes(r.vec)]), 64)[0, 0]) for r in subset.hits_with_vectors(hits, docs).collect()}
+    got = {r.id: (r.score, from_binary(__import__("pyarrow").array([bytes(r.vec)]), 64)[0, 0]) for r in subset.hits_with_embeddings(hits, docs).collect()}
     assert got == {"a": (0.5, 2.0), "c": (0.3, 3.0)}
 
 
@@ -473,8 +473,8 @@ def test_queries_run_on_the_small_tables(spark, small, name):
     assert queries.queries()[name](spark, small).count() > 0
 
 
-def test_live_vectors_ignores_clashing_columns(vector_docs):
-    assert live_vectors(vector_docs, order=["received_at", "batch_no"], dim=64).columns == ["id", "vec"]
+def test_live_embeddings_ignores_clashing_columns(vector_docs):
+    assert live_embeddings(vector_docs, order=["received_at", "batch_no"], dim=64).columns == ["id", "vec"]
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
