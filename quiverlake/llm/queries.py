@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.runtime import materialise
 from . import areas, chunks, clusters, fuse_ranks, leaks, neighbours, pairs, subset, tokens
 
 ALIKE = 0.84  # cosine from which two records count as alike
@@ -21,10 +22,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_subset(spark: SparkSession, d: str, one_per_theme: bool = False) -> DataFrame:
-    """The whole selection with its order; may hold several hits of a theme once all themes are shown."""
+    """The determinantal choice with its order; a theme may be shown by a hit that isn't its best, or twice."""
     sizes = table(spark, d, "search_queries").where("subset_size is not null").select("qid", "subset_size")
     asked = table(spark, d, "search_hits").join(sizes.select("qid").distinct(), "qid", "left_semi")
-    hits = subset.hits_with_embeddings(asked, table(spark, d, "ingest_docs"))
+    hits = materialise(subset.hits_with_embeddings(asked, table(spark, d, "ingest_docs")), "hits")
     return subset.varied_subset(hits, sizes, alike=ALIKE, one_per_theme=one_per_theme)
 
 
@@ -65,6 +66,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The first defect of every defective pair."""
+    return p6_defects(spark, d).where("place = 1").select("pair_source", "pair_key", "defect")
+
+
+def p6_defects(spark: SparkSession, d: str) -> DataFrame:
+    """Every triggered defect."""
     calls = table(spark, d, "cassette_chats").select(F.lit("cassette_chats").alias("pair_source"), F.col("cassette_key").alias("pair_key"), "prompt", F.col("response_text").alias("answer"))
     chats = pairs.session_pairs(table(spark, d, "chat_messages")).select(F.lit("chat_messages").alias("pair_source"), "pair_key", "prompt", "answer")
     return pairs.flag_pairs(calls.unionByName(chats))

@@ -1,10 +1,10 @@
 """Choosing a varied subset: greedy determinantal selection over composable core-sets.
 
-The kernel of two hits is the product of their qualities and their similarity; the greedy
-maximisation of its determinant keeps, by incremental Cholesky updates, for every hit the part
-of it that the chosen ones do not explain. Groups larger than ``part_rows`` are cut into parts;
-their themes are found over all their hits first, then each part yields a core-set and the last
-pass selects from the united core-sets and the best hits of their themes.
+The kernel of two hits is the product of their qualities and their cosine; the greedy maximisation
+of its determinant keeps, by incremental Cholesky updates, for every hit the part of it that the
+chosen ones do not explain. Groups larger than ``part_rows`` are cut into parts; each part yields a
+core-set, united core-sets are cut again while they are too large, and the last pass selects from
+what is left. An exact last step may follow, which shows each theme once, by its best hit.
 """
 
 from __future__ import annotations
@@ -18,63 +18,66 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..operators.runtime import latest_version, materialise, sorted_groups
-from .clusters import link_cell
 from .arrays import from_binary, to_binary, unit, usable
+from .clusters import link_cell
 
-THEME_SHARE = 0.9  # share of the kernel's similarity that says "same theme"; the rest is the cosine
+RIDGE = 0.01  # share of the kernel on its diagonal alone, so that more hits than dimensions can be chosen
+QUALITY = 1.7  # of the best-scored hit; the worst has 1, so that a hit unlike the chosen ones outweighs a better score
 
 
-def greedy_map(quality: np.ndarray, u: np.ndarray, theme: np.ndarray, k: int) -> list[int]:
-    """Indices, in order of choice, of at most ``k`` rows that greedily maximise the kernel's determinant.
+def greedy_map(quality: np.ndarray, u: np.ndarray) -> Iterator[int]:
+    """Rows in the order in which they greedily maximise the determinant of the kernel of the chosen ones.
 
-    L = q q' (a [same theme] + (1 - a) cosine), positive semidefinite as a sum of such. Ties take
-    the first row, so callers order rows by preference.
+    L = q q' ((1 - ridge) cosine + ridge [same row]). Ties take the first row, so callers order rows
+    by preference.
     """
     n = len(quality)
     rest = quality**2
-    basis = np.zeros((min(k, n), n))
-    chosen: list[int] = []
-    for t in range(min(k, n)):
+    basis = np.empty((min(16, n), n))
+    for t in range(n):
         j = int(rest.argmax())
-        if rest[j] <= 1e-12:
-            break
-        chosen.append(j)
-        row = quality[j] * quality * (THEME_SHARE * (theme == theme[j]) + (1 - THEME_SHARE) * np.clip(u @ u[j], -1, 1))
-        e = (row - basis[:t].T @ basis[:t, j]) / np.sqrt(rest[j])
+        yield j
+        if t == len(basis):
+            basis = np.vstack([basis, np.empty((min(t, n - t), n))])
+        row = quality[j] * quality * (1 - RIDGE) * np.clip(u @ u[j], -1, 1)
+        row[j] = quality[j] ** 2
+        e = (row - basis[:t].T @ basis[:t, j]) / np.sqrt(max(rest[j], 1e-12))
         basis[t] = e
         rest = rest - e**2
-        rest[j] = -1
-    return chosen
+        rest[j] = -np.inf
 
 
-def select(ids: np.ndarray, u: np.ndarray, score: np.ndarray, k: int, alike: float, theme: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows chosen, their themes, and which rows are the best of their theme.
+def select(ids: np.ndarray, u: np.ndarray, score: np.ndarray, k: int, theme: np.ndarray | None = None) -> np.ndarray:
+    """The first ``k`` rows of the greedy choice; with ``theme`` as many more as it takes to meet ``k`` themes, or all.
 
-    Qualities fall from 1.2 to 1.0 by score (missing scores last, ties by the smaller id), so that a
-    new theme always outweighs a better score. Each choice of a theme is then moved to the
-    theme's best-scored hit. Themes are found among the rows unless given.
+    Qualities fall from ``QUALITY`` to 1 by score: missing scores last, ties by the smaller id.
     """
     order = np.lexsort((ids, -np.where(np.isnan(score), -np.inf, score)))
-    theme = link_cell(u[order], alike, np.random.default_rng(1)) if theme is None else theme[order]
     n = len(order)
-    quality = 1.2 - 0.2 * np.arange(n) / max(1, n - 1)
-    chosen = greedy_map(quality, u[order], theme, k)
-    first: dict[int, int] = {}
-    for i, t in enumerate(theme):
-        first.setdefault(int(t), i)
-    out, seen = [], set()
-    for j in chosen:
-        t = int(theme[j])
-        best = first[t] if t not in seen else j
-        seen.add(t)
-        if best not in out:
-            out.append(best)
-    lead = np.array([first[int(theme[j])] == j for j in out], bool)
-    return order[out], theme[out] if len(out) else np.empty(0, int), lead
+    quality = QUALITY - (QUALITY - 1) * np.arange(n) / max(1, n - 1)
+    own = None if theme is None else theme[order]
+    most = 0 if own is None else len(np.unique(own))
+    out, met = [], set()
+    for j in greedy_map(quality, u[order]):
+        if len(out) >= k and (own is None or len(met) >= min(k, most)):
+            break
+        out.append(j)
+        if own is not None:
+            met.add(own[j])
+    return order[out]
+
+
+def leads(ids: np.ndarray, score: np.ndarray, theme: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The exact last step: for the first ``k`` themes met by the choice ``at``, in that order, the best-scored row of each."""
+    order = np.lexsort((ids, -np.where(np.isnan(score), -np.inf, score)))
+    first: dict = {}
+    for i in order:
+        first.setdefault(theme[i], i)
+    return np.array([first[t] for t in list(dict.fromkeys(theme[at].tolist()))[:k]], np.int64)
 
 
 def hit_themes(rows: DataFrame, *, dim: int, alike: float) -> DataFrame:
-    """``qid, id, theme, best`` of the hits of queries in several parts; ``best`` marks the theme's best-scored hit.
+    """``qid, id, theme, best_id`` of the hits of queries in several parts; ``best_id`` is the theme's best-scored hit.
 
     ``rows``: ``qid, id, score, vec, parts``, read several times. Every pair of parts of a query is a cell in which
     links are exact, and components that share hits are merged: no link is lost, at a cost that
@@ -102,42 +105,50 @@ def hit_themes(rows: DataFrame, *, dim: int, alike: float) -> DataFrame:
     s = F.col("score")
     place = F.struct(F.coalesce(-F.when(~F.isnan(s), s), F.lit(float("inf"))).alias("s"), "id")
     first = themed.join(rows.select("qid", "id", "score"), ["qid", "id"]).groupBy("qid", "theme").agg(F.min(place)["id"].alias("best_id"))
-    return themed.join(first, ["qid", "theme"]).select("qid", "id", "theme", (F.col("id") == F.col("best_id")).alias("best"))
+    # a theme may be most of a query's hits
+    spread = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    return themed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")).join(spread, ["qid", "theme", "salt"]).select("qid", "id", "theme", "best_id")
 
 
 def varied_subset(hits: DataFrame, sizes: DataFrame, *, dim: int = 64, alike: float = 0.84, part_rows: int = 4096, one_per_theme: bool = False) -> DataFrame:
-    """``qid, id, place, leads``: at most ``subset_size`` hits of each query, in order of choice.
-
-    ``hits``: ``qid, id, score, vec`` (float32 bytes), one row per (qid, id); ``sizes``: ``qid, subset_size``. Hits alike
-    (cosine >= ``alike``) directly or through others of the query are a theme; ``leads`` marks the
-    best-scored hit of its theme, and ``one_per_theme`` keeps only those. A null or NaN score comes
-    last. Queries without a positive size give nothing; hits without a vector cannot be chosen.
-    A query with more than ``part_rows`` hits is selected from the core-sets of its parts, each of
-    ``subset_size`` hits, and the best hits of their themes, so no task holds an unbounded group.
-    Its themes are those of all its hits.
+    """``qid, id, place``: at most ``subset_size`` hits of each query, in order of choice.
+
+    ``hits``: ``qid, id, score, vec`` (float32 bytes), one row per (qid, id), read several times (pass a written table);
+    ``sizes``: ``qid, subset_size``. The choice is the greedy determinantal one. With ``one_per_theme`` it goes on
+    until it has met ``subset_size`` themes (hits alike, with a cosine of at least ``alike``, directly or
+    through others of the query), and each theme it met is shown once, by its best-scored hit. A null or
+    NaN score comes last. Queries without a positive size give nothing; hits without a vector cannot
+    be chosen. A query with more than ``part_rows`` hits is selected from the core-sets of its parts, level by level,
+    so no task holds an unbounded group; its themes are those of all its hits.
     """
     wanted = sizes.where("qid is not null and subset_size > 0").groupBy("qid").agg(F.max("subset_size").cast("int").alias("k"))
-    counted = hits.groupBy("qid").agg(F.count("*").alias("n")).join(wanted, "qid").select("qid", "k", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"))
-    rows = hits.join(counted, "qid").select("qid", "id", F.col("score").cast("double").alias("score"), "vec", "k", "parts")
-    cut = rows.withColumn("part", F.concat_ws("\x1f", "qid", F.pmod(F.xxhash64("id"), F.col("parts")).cast("string")))
-    columns = ["qid", "id", "score", "vec", "k", "parts", "part", "theme"]
-    schema = "qid string, id string, score double, vec binary, k int, parts int, part string, theme string, place int, leads boolean"
-
-    def run(key: str, final: bool):
+    counted = hits.groupBy("qid").agg(F.count("*").alias("n")).join(wanted, "qid")
+    top = counted.agg(F.max("n").alias("n"), F.max("k").alias("k")).first()
+    # a query's hits may be most of the rows, so the join on the query is salted
+    salts = max(16, -(-(top.n or 0) // 1_000_000))
+    salted = counted.select("qid", "k", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    rows = hits.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(salted, ["qid", "salt"]).select("qid", "id", F.col("score").cast("double").alias("score"), "vec", "k", "parts")
+    columns = ["qid", "id", "score", "vec", "k", "parts", "theme", "best_id"]
+    schema = "qid string, id string, score double, vec binary, k int, parts int, theme string, best_id string, place int"
+
+    def run(final: bool):
         def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept, size = [], 0
-            for g in sorted_groups(batches, key):
+            for g in sorted_groups(batches, "part"):
                 g = g.combine_chunks()
-                split = g.column("parts")[0].as_py() > 1
-                ids = g.column("id").to_numpy(zero_copy_only=False)
-                score = g.column("score").to_numpy(zero_copy_only=False).astype(float)
-                known = np.unique(g.column("theme").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1] if split else None
-                at, _, lead = select(ids, unit(from_binary(g.column("vec"), dim)), score, g.column("k")[0].as_py(), alike, known)
-                if (final or not split) and one_per_theme:
-                    at, lead = at[lead], lead[lead]
+                k, ids = g.column("k")[0].as_py(), g.column("id").to_numpy(zero_copy_only=False)
+                score, u = g.column("score").to_numpy(zero_copy_only=False).astype(float), unit(from_binary(g.column("vec"), dim))
+                known, theme = g.column("theme").null_count == 0, None
+                if one_per_theme:
+                    theme = g.column("theme").to_numpy(zero_copy_only=False).astype(str) if known else link_cell(u, alike, np.random.default_rng(1)).astype(str)
+                at = select(ids, u, score, k, theme)
+                if one_per_theme and final:
+                    at = at[np.sort(np.unique(theme[at], return_index=True)[1])[:k]] if known else leads(ids, score, theme, at, k)
                 t = g.select(columns).take(pa.array(at))
-                kept.append(t.append_column("place", pa.array(np.arange(1, len(at) + 1, dtype=np.int32))).append_column("leads", pa.array(lead)))
-                size += len(at)
+                if one_per_theme and final and known:  # the best hit may lie in no core-set; its id goes with the theme
+                    t = t.set_column(columns.index("id"), "id", t.column("best_id"))
+                kept.append(t.append_column("place", pa.array(np.arange(1, t.num_rows + 1, dtype=np.int32))))
+                size += t.num_rows
                 if size > 4096:
                     yield from pa.concat_tables(kept).combine_chunks().to_batches()
                     kept, size = [], 0
@@ -146,19 +157,27 @@ def varied_subset(hits: DataFrame, sizes: DataFrame, *, dim: int = 64, alike: fl
 
         return go
 
-    def chosen(df: DataFrame, key: str, final: bool) -> DataFrame:
-        return df.select(columns).repartition(key).sortWithinPartitions(key).mapInArrow(run(key, final), schema)
-
-    out = ["qid", "id", "place", "leads"]
-    no_theme = F.lit(None).cast("string").alias("theme")
-    if counted.where("parts > 1").isEmpty():
-        return chosen(cut.select("*", no_theme), "part", False).select(out)
-    large = materialise(cut.where("parts > 1"), "large")
-    themed = materialise(large.join(hit_themes(large, dim=dim, alike=alike), ["qid", "id"]), "themed")
-    core = materialise(chosen(themed, "part", False).select(columns), "core")
-    best = themed.where("best").join(core.select("qid", "theme").distinct(), ["qid", "theme"], "left_semi").join(core.select("qid", "id"), ["qid", "id"], "left_anti")
-    merged = chosen(core.union(best.select(columns)), "qid", True)
-    return chosen(cut.where("parts = 1").select("*", no_theme), "part", False).select(out).union(merged.select(out))
+    def chosen(df: DataFrame, final: bool) -> DataFrame:
+        part = F.concat_ws("\x1f", "qid", F.pmod(F.xxhash64("id"), F.col("parts")).cast("string")).alias("part")
+        return df.select(*columns, part).repartition("part").sortWithinPartitions("part").mapInArrow(run(final), schema)
+
+    out = ["qid", "id", "place"]
+    bare = [F.lit(None).cast("string").alias("theme"), F.lit(None).cast("string").alias("best_id")]
+    small = chosen(rows.where("parts = 1").select("*", *bare), True).select(out)
+    if (top.n or 0) <= part_rows:
+        return small
+    large = materialise(rows.where("parts > 1"), "large")
+    core = materialise(large.join(hit_themes(large, dim=dim, alike=alike), ["qid", "id"]) if one_per_theme else large.select("*", *bare), "themed")
+    n = top.n
+    while n > part_rows:
+        core = materialise(chosen(core, False).drop("place"), "core")
+        # a core-set may go beyond k where the greedy choice needs more to meet k themes
+        sizes_now = core.groupBy("qid").agg(F.count("*").alias("n"))
+        now = sizes_now.agg(F.max("n")).first()[0]
+        parts = 1 if now <= part_rows or now >= n else -(-now // part_rows)
+        core = core.withColumn("parts", F.lit(int(parts)))
+        n = now if parts > 1 else 0
+    return small.union(chosen(core, True).select(out))
 
 
 def hits_with_embeddings(hits: DataFrame, docs: DataFrame, *, dim: int = 64, order: tuple[str, ...] = ("received_at", "batch_no")) -> DataFrame:
