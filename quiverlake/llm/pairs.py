@@ -1,13 +1,16 @@
-"""Broken prompt and response pairs: ordered rules, of which the first that fits flags the answer."""
+"""Broken prompt and response pairs: ordered rules, each of which flags its type of defect."""
 
 from __future__ import annotations
 
 import difflib
+import functools
 import re
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,9 +31,18 @@ _LIST = re.compile(r"^\s*(?:[-*+•–]|\(?\d{1,3}[.)]|[a-z][.)])\s+")
 _SENTENCE = re.compile(r"(?<=[.!?。！？…])[\"'”’»)*_]*(?:\s+|$)|(?<=[。！？])|\n+")
 
 
+_COMBINING = re.compile("[" + "".join(map(chr, (c for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c))))) + "]+")
+
+
+@functools.lru_cache(4096)
 def _fold(text: str) -> str:
-    text = unicodedata.normalize("NFKD", text.replace("’", "'").replace("‘", "'").replace("ʼ", "'"))
-    return "".join(c for c in text if not unicodedata.combining(c)).casefold()
+    if text.isascii():
+        return text.lower()
+    return _COMBINING.sub("", unicodedata.normalize("NFKD", text.replace("’", "'").replace("‘", "'").replace("ʼ", "'"))).casefold()
+
+
+_NOT_LATIN = re.compile("[Ͱ-ϿЀ-ӿ֐-׿؀-ۿऀ-ॿ฀-๿぀-ヿ一-鿿가-힯ᄀ-ᇿ]")
+_SAID = re.compile(r"[^\W_]+")
 
 
 # -- emptiness ---------------------------------------------------------------------------------
@@ -38,6 +50,8 @@ def _fold(text: str) -> str:
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
+    if "<" not in answer and len(_SAID.findall(answer[:256])) > 8:
+        return False  # more words than any placeholder has
     bare = re.sub(r"^\s*(?:```|~~~)[a-z]*\s*$", " ", _TAGS.sub(" ", answer), flags=re.M | re.I)
     kept = [c for c in bare if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) in ("So", "Sm", "Sc")]
     if not kept:
@@ -55,6 +69,7 @@ _ECHO = re.compile(
 )
 
 
+@functools.lru_cache(4096)
 def _question(prompt: str) -> str:
     """The part of a prompt that asks: what follows the last label of a question, else the last paragraph."""
     for block in reversed(re.split(r"\n\s*\n|\n", prompt)):
@@ -67,6 +82,23 @@ def _letters(text: str) -> str:
     return "".join(words(text))
 
 
+_ALNUM = re.compile(r"[a-z0-9]+")
+
+
+@functools.lru_cache(4096)
+def _prompt_words(prompt: str) -> frozenset[str]:
+    return frozenset(_ALNUM.findall(_fold(prompt)))
+
+
+@functools.lru_cache(4096)
+def _askings(prompt: str) -> tuple[frozenset[str], str]:
+    """Letters of what may be given back: the prompt, its paragraphs, its question and the ends of that from any sentence on; and of the question."""
+    paragraphs = [_letters(p) for p in re.split(r"\n\s*\n", prompt)]
+    parts = [_letters(s) for s in re.split(r"(?<=[.!?。])\s+", _question(prompt)) if s.strip()]
+    ends = ["".join(parts[i:]) for i in range(len(parts))]
+    return frozenset(x for x in ("".join(paragraphs), *paragraphs, *ends) if len(x) >= 8), ends[0] if ends else ""
+
+
 def _in_common(a: str, b: str) -> int:
     """Length of the longest common subsequence, a bit of one number for each letter of ``b``."""
     at = {c: int("".join("1" if x == c else "0" for x in reversed(b)), 2) for c in set(b)}
@@ -84,55 +116,95 @@ def is_copy(prompt: str | None, answer: str) -> bool:
     """
     if not prompt:
         return False
-    said = _ECHO.sub("", _fold(answer).strip(" \t\r\n\"'>*_«“„"))
+    folded = _fold(answer)
+    if folded.isascii():  # a copy shares most of its words, however a tenth of its letters lie
+        ws = _ALNUM.findall(folded)
+        if len(ws) >= 8 and sum(map(_prompt_words(prompt).__contains__, ws)) < 0.4 * len(ws):
+            return False
+    said = _ECHO.sub("", folded.strip(" \t\r\n\"'>*_«“„"))
     a = _letters(said)
     if len(a) < 8:
         return False
-    question = _question(prompt)
-    parts = [s for s in re.split(r"(?<=[.!?。])\s+", question) if s.strip()]
-    asked = {_letters(prompt), _letters(question)} | {_letters(" ".join(parts[i:])) for i in range(len(parts))}
-    asked |= {_letters(p) for p in re.split(r"\n\s*\n", prompt)}
-    for q in asked:
-        if len(q) < 8:
-            continue
-        if a == q or (len(a) % len(q) == 0 and a == q * (len(a) // len(q))):
+    asked, q = _askings(prompt)
+    for p in asked:
+        if a == p or (len(a) % len(p) == 0 and a == p * (len(a) // len(p))):
             return True
-        if 0.85 <= len(a) / len(q) <= 1.15:
-            m = difflib.SequenceMatcher(None, a, q, autojunk=False) if len(a) < 5000 else None
+        if 0.85 <= len(a) / len(p) <= 1.15:
+            m = difflib.SequenceMatcher(None, a, p, autojunk=False) if len(a) < 5000 else None
             if m and m.real_quick_ratio() >= 0.93 and m.quick_ratio() >= 0.93 and m.ratio() >= 0.93:
                 return True
-            if not m and 2 * (Counter(a) & Counter(q)).total() >= 0.93 * (len(a) + len(q)) and 2 * _in_common(a, q) >= 0.93 * (len(a) + len(q)):
+            if not m and 2 * (Counter(a) & Counter(p)).total() >= 0.93 * (len(a) + len(p)) and 2 * _in_common(a, p) >= 0.93 * (len(a) + len(p)):
                 return True
     # the question cut out, hardly anything is left
-    q = _letters(question)
     return len(q) >= 20 and q in a and len(a.replace(q, "")) <= max(6, len(q) // 10)
 
 
 # -- refusals ----------------------------------------------------------------------------------
 
-_HELP = r"(?:help|assist|answer|respond|reply|comment|discuss|provide|do that|do this|talk about|go into|fulfil|fulfill|comply|complete|share|offer|give|support|engage|speak|weigh in|address)"
-REFUSALS = [re.compile(p) for p in (
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]")
+_HELP = r"(?:help|assist|answer|respond|reply|comment|discuss|provide|do that|do this|do so|talk about|go into|fulfil|fulfill|comply|complete|share|offer|give|support|engage|speak|weigh in|address|write|produce|generate|create|process|continue|accommodate|participate|take part|advise|recommend|be of help|be assisting|be helping|be answering|be providing|be doing)"
+REFUSALS = [re.compile(_fold(p) if _NOT_ASCII.search(p) else p) for p in (  # folded, as the answers are
     # English
-    rf"\b(?:i|we) (?:can ?not|can't|won't|will not|am not able to|'m not able to|'m unable to|am unable to|'m not allowed to|am not allowed to|must not|may not|shouldn't|couldn't|do not wish to|don't want to|prefer not to|would prefer not to) (?:be able to )?(?:really |actually )?{_HELP}",
+    rf"\b(?:i|we) (?:(?:am |'m )?(?:afraid|sorry)(?: but| that)? (?:i|we) )?(?:can ?not|can't|won't|will not|am not able to|'m not able to|'m unable to|am unable to|'m not allowed to|am not allowed to|must not|may not|shouldn't|couldn't|do not wish to|don't want to|prefer not to|would prefer not to) (?:be able to )?(?:really |actually |in good conscience )?{_HELP}",
+    rf"\bi(?:'m| am) not (?:able|allowed|permitted|authori[sz]ed|comfortable|willing|going|prepared|in a position)(?: to| with)? ",
     r"\bnot able to (?:answer|help|assist|respond|discuss|comment|provide|fulfil)", r"\bunable to (?:answer|help|assist|respond|discuss|comment|provide|fulfil)",
-    r"\b(?:must|have to|need to|will|am going to) (?:respectfully |politely )?(?:decline|refuse)\b", r"\b(?:decline|refuse) to (?:answer|respond|comment|help|discuss)", r"\bhave to pass on\b", r"\b(?:pass|sit) (?:on )?this one\b",
-    r"\b(?:would|'d) rather not\b", r"\bwould not be (?:appropriate|right|proper)\b|\bwouldn't be (?:appropriate|right|proper)\b", r"\bno (?:answer|response|reply) (?:will|can) be given\b",
+    r"\b(?:must|have to|need to|will|am going to) (?:respectfully |politely )?(?:decline|refuse)\b", r"\b(?:decline|refuse) to (?:answer|respond|comment|help|discuss)", r"\bi(?:'m| am)? (?:respectfully |politely )?(?:declin(?:e|ing)|refus(?:e|ing))\b", r"\bhave to pass on\b", r"\b(?:pass|sit) (?:on )?this one\b",
+    r"\b(?:would|'d) rather not\b", r"\bwould not be (?:appropriate|right|proper)\b|\bwouldn't be (?:appropriate|right|proper)\b", r"\bno (?:answer|response|reply) (?:will|can) be given\b", r"\bthat(?:'s| is) (?:a request|something) (?:that )?i (?:can't|cannot|won't|will not|must)\b", r"^(?:sorry,? )?no,? (?:i|we) (?:can't|cannot|won't|will not)\b",
     r"\b(?:falls?|is|lies?) (?:well )?outside (?:of )?what i\b", r"\boutside (?:of )?(?:my|the) (?:scope|remit|guidelines)\b", r"\bguidelines (?:don't|do not|won't|prevent|prohibit|forbid)", r"\bagainst (?:the|my) (?:rules|guidelines|policy|policies)\b",
     r"\bleave (?:it |that |this |them )?unanswered\b", r"\bnot (?:something|a topic|a subject) (?:that )?i (?:can|may|will|am)\b", r"\blet's (?:talk|speak|move on|turn|focus) (?:about|to|on)? ?(?:\w+ ){0,2}(?:else|different|other)\b|\btalk about something else\b", r"\bnot permitted to\b|\bnot allowed to (?:answer|discuss|help|talk)",
     # German
-    r"\b(?:kann|koennte|konnte|darf|mochte|will|werde) (?:ich|wir) (?:\w+ ){0,6}?(?:nicht|leider nicht|keine)\b", r"\bich (?:kann|darf|mochte|will|werde) (?:\w+ ){0,7}?(?:nicht|keine)\b", r"\b(?:muss|mussen) ich (?:\w+ ){0,5}?ablehnen\b|\bmuss ich ablehnen\b|\bich muss (?:\w+ ){0,5}?ablehnen\b", r"\bspreche ich nicht\b|\bich spreche (?:\w+ ){0,4}nicht\b", r"\bmochte ich mich nicht aussern\b", r"\bbleib(?:t|en) (?:\w+ ){0,5}unbeantwortet\b|\bunbeantwortet\b", r"\bnicht erlaubt\b|\bnicht gestattet\b|\bist mir untersagt\b", r"\blehne ich ab\b|\bich lehne (?:\w+ ){0,5}ab\b", r"\bmuss (?:\w+ ){0,6}offen bleiben\b|\blasse ich offen\b|\bmuss ich offen lassen\b", r"\bkeine (?:antwort|auskunft) geben\b",
+    r"\b(?:kann|koennte|konnte|darf|mochte|will|werde) (?:ich|wir) (?:\w+ ){0,6}?(?:nicht|leider nicht|keine)\b", r"\bich (?:kann|darf|mochte|will|werde) (?:\w+ ){0,7}?(?:nicht|keine)\b", r"\b(?:muss|mussen) ich (?:\w+ ){0,5}?ablehnen\b|\bmuss ich ablehnen\b|\bich muss (?:\w+ ){0,5}?ablehnen\b", r"\bspreche ich nicht\b|\bich spreche (?:\w+ ){0,4}nicht\b", r"\bmochte ich mich nicht aussern\b", r"\bbleib(?:t|en) (?:\w+ ){0,5}unbeantwortet\b|\bunbeantwortet\b", r"\bnicht erlaubt\b|\bnicht gestattet\b|\bist mir untersagt\b", r"\blehne ich ab\b|\bich lehne (?:\w+ ){0,5}ab\b", r"\bmuss (?:\w+ ){0,6}offen bleiben\b|\blasse ich offen\b|\bmuss ich offen lassen\b", r"\bkeine (?:antwort|auskunft) geben\b", r"\b(?:nicht in der lage|nicht befugt|ausserstande)\b", r"\bdabei (?:\w+ ){0,4}nicht (?:helfen|behilflich)",
     # French
-    r"\bje (?:ne|n') ?(?:peux|puis|suis|veux|souhaite|dois|saurais) (?:pas|malheureusement pas)\b", r"\bje ne suis pas (?:en mesure|autorise|capable)", r"\bje (?:dois|prefere|vais|me vois|suis oblige de) (?:\w+ ){0,4}?(?:decliner|refuser|m'abstenir|ne pas)\b", r"\bil ne m'est pas (?:permis|possible)\b", r"\b(?:rester|reste|restera|laisser|laisse) sans reponse\b", r"\bje decline\b|\bje refuse\b", r"\bje ne parle pas\b|\bje n'aborde pas\b",
+    r"\b(?:je|nous) (?:ne |n')(?:\w+ )?(?:peux|puis|suis|veux|souhaite|dois|saurais|pouvons|sommes) (?:malheureusement )?(?:pas\b)?", r"\bje (?:dois|prefere|vais|me vois|suis oblige de) (?:\w+ ){0,4}?(?:decliner|refuser|m'abstenir|ne pas)\b", r"\bil ne m'est pas (?:permis|possible)\b|\bil m'est impossible\b|\bje suis (?:dans l'incapacite|incapable)\b", r"\b(?:rester|reste|restera|laisser|laisse) sans reponse\b", r"\bje decline\b|\bje refuse\b", r"\bje ne parle pas\b|\bje n'aborde pas\b",
     # Spanish
-    r"\bno (?:me )?(?:puedo|podre|podria|debo|quiero|deseo|voy a) (?:\w+ ){0,3}?(?:ayudar|responder|contestar|hablar|comentar|hacer|dar|opinar|atender)\w*", r"\b(?:debo|tengo que|he de) (?:\w+ ){0,3}?(?:rechazar|declinar|negarme)\b", r"\bprefiero no\b", r"\bno me (?:esta|es|resulta) (?:permitido|posible)\b", r"\b(?:queda|quedan|quedara|dejar|dejo) sin (?:respuesta|responder|contestar)\b", r"\brechazo (?:esta|la) peticion\b", r"\bno hablo de\b", r"\bno estoy autorizad",
-    # Portuguese, Italian
-    r"\bnao posso (?:\w+ ){0,3}?(?:ajudar|responder|comentar)", r"\btenho que recusar\b|\bprefiro nao\b", r"\bnon posso (?:\w+ ){0,3}?(?:aiutar|rispondere|commentare)", r"\bdevo rifiutare\b|\bpreferisco non\b",
+    r"\bno (?:me |te |le |os |les )?(?:puedo|podre|podria|podemos|debo|quiero|deseo|voy a|es posible) (?:\w+ ){0,3}?(?:ayudar|responder|contestar|hablar|comentar|hacer|dar|opinar|atender|cumplir|proporcionar|ofrecer|facilitar)\w*", r"\b(?:debo|tengo que|he de) (?:\w+ ){0,3}?(?:rechazar|declinar|negarme)\b", r"\bprefiero no\b", r"\bno me (?:esta|es|resulta) (?:permitido|posible)\b", r"\b(?:queda|quedan|quedara|dejar|dejo) sin (?:respuesta|responder|contestar)\b", r"\brechazo (?:esta|la) peticion\b", r"\bno hablo de\b", r"\bno estoy (?:autorizad|en condiciones|capacitad)",
+    # Portuguese
+    r"\bnao (?:posso|podemos|consigo|devo|estou autorizad\w|me e permitido) (?:\w+ ){0,3}?\w", r"\b(?:tenho que|tenho de|devo|preciso) (?:\w+ ){0,2}?(?:recusar|declinar)\b|\bprefiro nao\b|\brecuso(?:-me)?\b",
+    # Italian
+    r"\bnon (?:(?:mi|ti|vi|le) )?(?:posso|possiamo|sono in grado|sono autorizzat\w|e possibile|riesco) ", r"\b(?:devo|sono costrett\w a) (?:\w+ ){0,2}?(?:rifiutare|declinare)\b|\bpreferisco non\b|\bmi rifiuto\b",
+    # Dutch
+    r"\b(?:ik|we|wij) (?:kan|mag|wil|zal|kunnen|mogen) (?:\w+ ){0,7}?(?:niet|geen)\b|\b(?:kan|mag|wil|zal) ik (?:\w+ ){0,7}?(?:niet|geen)\b", r"\bik (?:moet|weiger)(?: \w+){0,5}? ?(?:weigeren|afwijzen|bedanken)?\b(?<=n)|\bik weiger\b", r"\bniet in staat\b|\bniet toegestaan\b",
+    # Swedish
+    r"\b(?:jag|vi) (?:kan|far|vill|kommer) (?:\w+ ){0,4}?(?:inte|ej)\b|\b(?:kan|far|vill) jag (?:\w+ ){0,4}?inte\b", r"\bjag (?:maste avboja|avbojer|avstar|vagrar)\b",
+    # Polish
+    r"\bnie (?:moge|mozemy|jestem w stanie|wolno mi|chce|bede)\b", r"\bmusze odmowic\b|\bodmawiam\b|\bwole nie\b",
+    # Turkish
+    r"\b(?:yard[iı]mc[iı] olamam|yard[iı]m edemem|cevap veremem|yan[iı]tlayamam|cevaplayamam|bunu yapamam|sa[gğ]layamam|reddetmek zorundayim)\b",
+    # Russian
+    r"\bне (?:могу|можем|могу вам|буду|имею права|в состоянии|вправе|хочу)\b", r"\b(?:вынужден\w*|должен|должна|приходится) отказать\w*\b|\bотказываюсь\b|\bпредпочитаю не\b|\bоставлю .{0,40}без ответа\b",
+    # Chinese, Japanese, Korean (no spaces between words)
+    r"(?:无法|不能|不便|不可以|没法|拒绝)(?:\w{0,8})?(?:回答|提供|帮助|协助|帮忙|讨论|满足|完成|处理|回应|评论)|無法(?:\w{0,8})?(?:回答|提供|協助|討論|完成)|(?:恕|抱歉，?)我?(?:不能|无法|無法)|我(?:必须|只能)?拒绝",
+    r"(?:お答え|回答|お手伝い|対応|お応え|提供|お話|協力|支援|お受け)\w{0,6}?(?:できません|できない|致しかね|いたしかね|しかね|することはできません|控え)|お断り|(?:て|で)は?いけません.{0,10}ので",
+    r"(?:도와|도움|답변|대답|제공|응답|응할|처리|말씀|알려)\w{0,6}\s?(?:드릴|줄|할|해|될)?\s?\w{0,4}\s?수\s?(?:가\s?)?없|거절|거부",
+    # Arabic
+    r"لا (?:استطيع|أستطيع|يمكنني|يمكننا|اقدر|أقدر)|لن (?:اتمكن|أتمكن)|اعتذر عن|أعتذر عن",
 )]
-COURTESY = [re.compile(p) for p in (
-    r"^(?:i(?: am|'m) )?(?:very |so |really )?sorry\b", r"^i (?:hope|trust) (?:you|this|that)", r"^i (?:appreciate|understand|apologi[sz]e)", r"^thank(?:s| you)\b", r"^(?:please )?feel free\b", r"^(?:is|are) there (?:any|some)", r"^(?:please |you may want to |you should )?(?:consult|contact|ask|reach out|turn to|see) ", r"^(?:sure|of course|certainly|good question|unfortunately|however|as an assistant)\W*$", r"^let me know\b", r"^what else\b|^can i help", r"^perhaps\b", r"^as an? (?:ai|assistant|language)\b",
-    r"^(?:es )?tut mir leid\b", r"^bitte (?:wende|wenden|frag|fragen|sprich|hab|haben)", r"^(?:danke|vielen dank)\b", r"^ich (?:hoffe|verstehe|bitte)", r"^gibt es (?:etwas|sonst)", r"^(?:leider|gerne|naturlich|gute frage)\W*$", r"^kann ich (?:sonst|dir|ihnen)",
-    r"^(?:je suis )?(?:desole|navre)", r"^(?:veuillez|merci|n'hesitez|avez-vous|puis-je|j'espere|je comprends)", r"^(?:malheureusement|bien sur|bonne question)\W*$", r"^y a-t-il",
+# a text without any of these (words stand between blanks) holds no refusal, but for those in scripts without letters of Latin
+_TRIGGERS = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+for _t in (
+    "cannot|can not|can't|won't|will not|not able|not allowed|not permitted|not comfortable|not willing|not going|not prepared|not in a|not auth|not some|not a topic|not a subj|unable|must not|may not|shouldn't|couldn't|wish to|want to|prefer|declin|refus|pass on|sit this one|pass this one|rather not|would not|wouldn't|be given|outside|guidelines|against the|against my|unanswered|let's|something else| no, | no i "
+    "|nicht|keine|ablehn|unbeantwortet|untersagt| ab | ab.| ab,|offen|ausserstande"
+    "| je | nous |m'est|sans reponse"
+    "| no |rechaz|declinar|negarme|prefiero|sin respuesta|sin responder|sin contestar"
+    "| nao |recus| non |rifiut|preferisco| niet| geen|weiger|afwijzen|bedanken| inte| ej |avboj|avstar|vagrar| nie |odmow|odmaw|wole nie|amam|emem|zorunday"
+).split("|"):
+    _TRIGGERS.add_word(_t)
+_TRIGGERS.make_automaton()
+
+
+def _may_refuse(folded: str) -> bool:
+    if not folded.isascii() and _NOT_LATIN.search(folded):
+        return True
+    return next(_TRIGGERS.iter(" " + folded.replace("\n", " ") + " "), None) is not None
+
+
+COURTESY = [re.compile(_fold(p) if _NOT_ASCII.search(p) else p) for p in (
+    r"^(?:i(?: am|'m) )?(?:very |so |really |truly )?sorry\b", r"^i (?:hope|trust) (?:you|this|that)", r"^i (?:appreciate|understand|apologi[sz]e)", r"^(?:my )?apologies\b", r"^thank(?:s| you)\b", r"^(?:please )?feel free\b", r"^(?:is|are) there (?:any|some)", r"^(?:please |you may want to |you should |i (?:suggest|recommend|advise)(?: that)? (?:you )?)?(?:consult|contact|ask|reach out|turn to|see|speak|talk|seek)\w* ", r"^(?:sure|of course|certainly|good question|unfortunately|however|as an assistant|no|sorry)\W*$", r"^let me know\b", r"^what else\b|^can i help|^i(?:'d| would) be (?:happy|glad)", r"^perhaps\b", r"^as an? (?:ai|assistant|language)\b", r"^(?:that|this|it) (?:could|might|may|would) (?:be|cause) (?:harmful|unsafe|dangerous|harm|misuse|illegal)", r"\b(?:qualified|licensed) (?:professional|doctor|lawyer|expert)\b",
+    r"^(?:es )?tut mir leid\b", r"^bitte (?:wende|wenden|frag|fragen|sprich|hab|haben)", r"^(?:danke|vielen dank)\b", r"^ich (?:hoffe|verstehe|bitte)", r"^gibt es (?:etwas|sonst)", r"^(?:leider|gerne|naturlich|gute frage|nein)\W*$", r"^kann ich (?:sonst|dir|ihnen)", r"^entschuldig",
+    r"^(?:je suis )?(?:desole|navre)", r"^(?:veuillez|merci|n'hesitez|avez-vous|puis-je|j'espere|je comprends|consultez)", r"^(?:malheureusement|bien sur|bonne question)\W*$", r"^y a-t-il",
     r"^(?:lo siento|lo lamento|gracias|por favor|consulte|consulta|espero|entiendo|hay (?:otra|algo)|puedo ayudar|le ruego|te ruego)", r"^(?:por desgracia|claro|buena pregunta)\W*$", r"^dirigete|^dirijase|^pregunta(?:le)? a",
+    r"^(?:desculpe|sinto muito|lamento|obrigad\w|por favor|consulte|entendo|espero)", r"^(?:mi dispiace|mi scuso|scusa|grazie|la prego|ti prego|consulti|capisco|spero|rivolgiti|si rivolga)", r"^(?:het spijt me|sorry|bedankt|dank|neem contact|raadpleeg|ik begrijp|vraag het|helaas)", r"^(?:tyvarr|forlat|ursakta|tack|jag beklagar|jag forstar|kontakta)", r"^(?:przykro mi|przepraszam|niestety|dziekuje|prosze|rozumiem|skontaktuj)", r"^(?:uzgunum|maalesef|tesekkur|lutfen)",
+    r"^(?:к сожалению|извините|простите|прошу прощения|мне жаль|спасибо|пожалуйста|обратитесь|понимаю|я понимаю)", r"^(?:抱歉|对不起|很抱歉|非常抱歉|请咨询|感谢|谢谢|建议|對不起)", r"^(?:申し訳|すみません|恐れ入り|ごめん|ありがとう|専門)", r"^(?:죄송|미안|감사|전문)", r"^(?:عذرا|اسف|آسف|شكرا)",
 )]
 
 
@@ -142,15 +214,18 @@ def _sentences(text: str) -> list[str]:
 
 def is_refusal(answer: str) -> bool:
     """Says it declines and says nothing else of substance: every sentence is a refusal or a courtesy."""
-    folded = _fold(_QUOTED.sub(" ", _FENCED.sub(" \n```\n ", answer)))
-    if "```" in folded:
+    if "```" in answer or "~~~" in answer:
         return False
+    folded = _fold(answer)
+    if not _may_refuse(folded):
+        return False
+    folded = _fold(_QUOTED.sub(" ", answer))
     declines = False
     for s in _sentences(folded):
         s = s.strip("*_>- \t\"'¿¡")
         if not re.search(r"\w", s):
             continue
-        if any(p.search(s) for p in REFUSALS):
+        if _may_refuse(s) and any(p.search(s) for p in REFUSALS):
             declines = True
         elif not any(p.search(s) for p in COURTESY):
             return False
@@ -181,22 +256,51 @@ _TRANSLATE = re.compile(r"\b(?:translat\w+|ubersetz\w*|tradu\w+|in which languag
 
 
 def _prose(text: str) -> str:
-    text = _QUOTED.sub(" ", _URL.sub(" ", _INLINE_CODE.sub(" ", _FENCED.sub("\n", text))))
-    return "\n".join(line for line in text.split("\n") if not line.lstrip().startswith("|"))
+    if "`" in text or "~~~" in text:
+        text = _INLINE_CODE.sub(" ", _FENCED.sub("\n", text))
+    if "http" in text or "www." in text:
+        text = _URL.sub(" ", text)
+    if _QUOTE.search(text):
+        text = _QUOTED.sub(" ", text)
+    return "\n".join(line for line in text.split("\n") if not line.lstrip().startswith("|")) if "|" in text else text
+
+
+_QUOTE = re.compile("[\"“„«‹]")
+_LIST_AFTER_STOP = re.compile(r"[.!?。！？…][\"'”’»)*_]*\s*(?:[-*+•–]|\(?\d{1,3}[.)]|[a-z][.)])\s")
+_ANY_LIST = re.compile(_LIST.pattern, re.M)
+
 
+_LANGS = list(STOPWORDS)
+_OF_WORD = {}
+for _i, _k in enumerate(_LANGS):
+    for _w in STOPWORDS[_k]:
+        _OF_WORD.setdefault(_w, []).append(_i)
+_LATIN_WORD = re.compile(r"[a-z]+")
 
+
+def _word_scores(ws: list[str]) -> dict[str, int]:
+    """By language, how many of the words are its function words."""
+    score, count = [0] * len(_LANGS), Counter(ws)
+    for w in count.keys() & _OF_WORD.keys():
+        for i in _OF_WORD[w]:
+            score[i] += count[w]
+    return dict(zip(_LANGS, score))
+
+
+@functools.lru_cache(4096)
 def language(text: str) -> str | None:
     """Language of prose by script and function words; None where too little tells."""
-    letters = sum(c.isalpha() for c in text)
-    if letters < 4:
-        return None
-    for name, p in SCRIPTS:
-        if len(p.findall(text)) * (2 if name == "ja" else 1) >= 0.25 * letters:
-            return name
-    ws = re.findall(r"[a-z]+", _fold(text))
+    if _NOT_LATIN.search(text):
+        letters = sum(map(str.isalpha, text))
+        if letters < 4:
+            return None
+        for name, p in SCRIPTS:
+            if len(p.findall(text)) * (2 if name == "ja" else 1) >= 0.25 * letters:
+                return name
+    ws = _LATIN_WORD.findall(_fold(text))
     if len(ws) < 4:
         return None
-    score = {k: sum(w in s for w in ws) for k, s in STOPWORDS.items()}
+    score = _word_scores(ws)
     order = sorted(score, key=lambda k: -score[k])
     best, second = order[0], order[1]
     if score[best] < 2 or score[best] < 0.12 * len(ws) or score[best] < 1.15 * score[second]:
@@ -204,22 +308,35 @@ def language(text: str) -> str | None:
     return best
 
 
+_ANY_NAME = re.compile("|".join(p.pattern for p in NAMES.values()))
+
+
+@functools.lru_cache(4096)
+def _asks_language(question: str) -> bool:
+    folded = _fold(question)
+    return bool(_TRANSLATE.search(folded) or _ANY_NAME.search(folded))
+
+
+@functools.lru_cache(4096)
+def _prompt_language(prompt: str) -> str | None:
+    return language(_prose(_question(prompt))) or language(_prose(prompt))
+
+
 def is_other_language(prompt: str | None, answer: str) -> bool:
     if not prompt:
         return False
     question = _question(prompt)
-    folded = _fold(question)
-    if _TRANSLATE.search(folded) or any(p.search(folded) for p in NAMES.values()):
+    if _asks_language(question):
         return False
-    prose = _prose(answer)
-    sentences = [s for s in _sentences(prose) if not _LIST.match(s) or len(s.split()) >= 5]
-    text = " ".join(sentences)
-    said, asked = language(text), language(_prose(question)) or language(_prose(prompt))
+    text = _prose(answer)
+    if _ANY_LIST.search(text) or _LIST_AFTER_STOP.search(text):  # short items tell nothing
+        text = " ".join(s for s in _sentences(text) if not _LIST.match(s) or len(s.split()) >= 5)
+    said, asked = language(text), _prompt_language(prompt)
     if not asked or said == asked:
         return False
     if said is None and asked in STOPWORDS:  # too short to name its language: is it at least not the question's?
-        ws = re.findall(r"[a-z]+", _fold(text))
-        score = {k: sum(w in s for w in ws) for k, s in STOPWORDS.items() if k in ("en", "de", "fr", "es")}
+        ws = _LATIN_WORD.findall(_fold(text))
+        score = {k: n for k, n in _word_scores(ws).items() if k in ("en", "de", "fr", "es")}
         return len(ws) >= 6 and not score.pop(asked, 0) and max(score.values(), default=0) >= 2
     return said is not None
 
@@ -276,27 +393,25 @@ def is_truncated(answer: str) -> bool:
 # -- the operator ------------------------------------------------------------------------------
 
 def defects(prompt: str | None, answer: str | None) -> list[str]:
-    """The first defect the rules trigger, in the order of the rules; at most one.
+    """Every defect that is triggered, in the order of the rules.
 
-    An empty answer or a copy has nothing further to judge; a refusal is not judged for
-    completeness, nor is an answer in another language.
+    An empty answer has nothing further to judge; a copy can only be truncated besides.
     """
     if is_empty(answer):
         return ["empty"]
-    if is_copy(prompt, answer):
-        return ["copy"]
-    out = []
-    if is_refusal(answer):
-        out.append("refusal")
-    if not out and is_other_language(prompt, answer):
-        out.append("other_language")
-    if not out and is_truncated(answer):
+    out = ["copy"] if is_copy(prompt, answer) else []
+    if not out:
+        if is_refusal(answer):
+            out.append("refusal")
+        if is_other_language(prompt, answer):
+            out.append("other_language")
+    if is_truncated(answer):
         out.append("truncated")
     return out
 
 
 def flag_pairs(pairs: DataFrame) -> DataFrame:
-    """``pair_source, pair_key, defect``: a row for every pair with a defect, the first by the rules.
+    """``pair_source, pair_key, defect, place``: a row for every triggered defect; ``place`` counts a pair's, from 1.
 
     ``pairs``: ``pair_source, pair_key, prompt, answer``, others are ignored. A null prompt leaves only what the answer
     itself tells; a null answer is ``empty``. Whole texts are read. Repeated rows give one row.
@@ -306,11 +421,12 @@ def flag_pairs(pairs: DataFrame) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for s, k, p, a in zip(*(b.column(c).to_pylist() for c in ("pair_source", "pair_key", "prompt", "answer"))):
-                out += [(s, k, d) for d in defects(p, a)]
+                out += [(s, k, d, i) for i, d in enumerate(defects(p, a), 1)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], ["pair_source", "pair_key", "defect"])
+                s, k, d, i = zip(*out)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in (s, k, d)), pa.array(i, pa.int32())], ["pair_source", "pair_key", "defect", "place"])
 
-    return pairs.select("pair_source", "pair_key", "prompt", "answer").mapInArrow(flag, "pair_source string, pair_key string, defect string").distinct()
+    return pairs.select("pair_source", "pair_key", "prompt", "answer").mapInArrow(flag, "pair_source string, pair_key string, defect string, place int").distinct()
 
 
 def session_pairs(messages: DataFrame, *, slice_seconds: int = 3600) -> DataFrame:
