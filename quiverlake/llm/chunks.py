@@ -141,7 +141,7 @@ def oversized_pieces(docs: DataFrame, limits: DataFrame, *, with_text: bool = Tr
     long = F.length("text") > F.col("rule.m")
     slim = sized.select("source", "id", F.struct("source", "id").alias("key"), "version", "tie", F.when(long, F.col("rule.m")).alias("most"), F.when(long, F.col("rule.o")).alias("overlap"), F.when(long, F.col("text")).alias("text")).where("id is not null")
     live = latest_version(slim, "key", ["version", "tie"]).where("text is not null")
-    # long texts come in few ids; spread them evenly over the tasks that cut
+    # the shuffle that chose the live rows has spread the long texts over the tasks that cut
     live = live.select("source", "id", "most", "overlap", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

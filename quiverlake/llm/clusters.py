@@ -1,14 +1,15 @@
 """Grouping records into similarity clusters.
 
-Distributed k-means, seeded by parallel oversampling, cuts the records into cells; every
-record goes to its three nearest centroids. Inside a cell the links between records (cosine at
-least ``alike``) are found exactly, and components that share records across cells are merged.
-So the centroids decide only who is compared, not who is alike.
+Distributed k-means, seeded by parallel oversampling, cuts the records into cells; beyond
+``MOST_CENTROIDS`` cells each coarse cell is cut again by k-means of its own, and a cell that is
+still large once more. Every record goes to its nearest cells. Inside a cell the links between
+records (cosine at least ``alike``) are found exactly, and components that share records across
+cells are merged. So the centroids decide only who is compared, not who is alike.
 """
 
 from __future__ import annotations
 
-import re
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -18,30 +19,74 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..operators.runtime import materialise, sorted_groups
+from ..operators.runtime import discard, materialise, sorted_groups
 from .arrays import from_binary, live_embeddings, to_binary, unit
+from .words import words
 
-MOST_CENTROIDS = 4096  # bounds what is sent to every task: 4096 x 64 floats are 1 MB
+MOST_CENTROIDS = 4096  # of one k-means on the driver: 4096 x 64 floats are 1 MB
+MOST_CELLS = 262_144  # leaves of the centroid tree sent to every task: 64 MB at 64 dimensions
+MOST_ROWS = 32_768  # members of a cell beyond which it is cut again
 SPLIT_ABOVE = 6144  # members of a cell beyond which big groups are peeled off before all pairs are compared
+BUCKETS = 1 << 18  # hashed words whose document frequency is counted
 
 
-def hashed_features(texts: list[str | None], dim: int = 64, weights: dict[str, float] | None = None) -> np.ndarray:
+def _hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, hash of a word, its count in the row)`` of every different word of every row."""
+    rows, known, at = [], {}, []
+    for i, text in enumerate(texts):
+        ws = words(text)
+        rows.append(np.full(len(ws), i))
+        at.extend(known.setdefault(w, len(known)) for w in ws)
+    if not at:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    pairs, counts = np.unique(np.concatenate(rows) * len(known) + np.array(at), return_counts=True)
+    h = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in known), np.int64, len(known))
+    return pairs // len(known), h[pairs % len(known)], counts
+
+
+def hashed_features(texts: list[str | None], dim: int = 64, weight: np.ndarray | None = None) -> np.ndarray:
     """Texts as hashed weighted word features, for records that have no vector of their own.
 
-    Each word adds its weight (default 1 + log of its count) with a hashed sign at a hashed
-    place. Null and wordless texts give zero embeddings, which are not usable.
+    Each different word adds 1 + log of its count, times ``weight`` of its bucket, with a hashed sign at a hashed
+    place. Null and wordless texts give zeros, which are not usable.
     """
     out = np.zeros((len(texts), dim), np.float32)
-    for i, text in enumerate(texts):
-        counts: dict[str, int] = {}
-        for w in re.findall(r"\w+", (text or "").lower()):
-            counts[w] = counts.get(w, 0) + 1
-        for w, c in counts.items():
-            h = zlib.crc32(w.encode())
-            out[i, h % dim] += (1 if h >> 31 else -1) * (1 + np.log(c)) * (weights or {}).get(w, 1.0)
+    row, h, n = _hashed_words(texts)
+    value = (1 + np.log(n)) * (1.0 if weight is None else weight[h % BUCKETS]) * np.where(h >> 31, 1, -1)
+    np.add.at(out, (row, h % dim), value)
     return out
 
 
+def text_points(docs: DataFrame, *, id_col: str = "id", text_col: str = "text", dim: int = 256) -> DataFrame:
+    """``id, vec`` of one row per id by :func:`hashed_features`, words weighted by their rarity over all documents.
+
+    Null, blank and wordless texts give no row. What reaches the driver is one count for each of at most ``BUCKETS``.
+    """
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+
+    def count(batches):
+        df = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            row, h, _ = _hashed_words(b.column("text").to_pylist())
+            for bucket in np.unique(row * BUCKETS + h % BUCKETS) % BUCKETS:
+                df[bucket] += 1
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["bucket", "n"])
+
+    got = rows.select("text").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    total = max(1, rows.count())
+    weight = np.full(BUCKETS, math.log(total + 1))
+    weight[got.column("bucket").to_numpy()] = np.log((total + 1) / got.column("n").to_numpy())
+
+    def features(batches):
+        for b in batches:
+            x = hashed_features(b.column("text").to_pylist(), dim, weight)
+            at = np.flatnonzero((x != 0).any(axis=1))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), to_binary(np.ascontiguousarray(x[at]))], ["id", "vec"])
+
+    return rows.mapInArrow(features, "id string, vec binary")
+
+
 def _best(u: np.ndarray, centers: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices and cosines of the ``want`` nearest centers, nearest first."""
     s = u @ centers.T
@@ -148,23 +193,82 @@ def _recluster(points: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.
     return centers
 
 
-def kmeans_centroids(points: DataFrame, *, dim: int, k: int, rounds: int = 2, steps: int = 1, seed: int = 3) -> np.ndarray:
-    """Spherical k-means over ``id, vec``: seeding in ``rounds`` oversampled draws, then ``steps`` Lloyd steps.
+def kmeans_centroids(points: DataFrame, *, dim: int, k: int, rounds: int = 2, steps: int = 2, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of spherical k-means over ``id, vec`` and the records nearest to each before the last step.
 
-    Every pass reads all records; the driver holds the candidates (at most 3/2 k) and centroids.
+    Seeding draws ``k / 2`` records and, in ``rounds`` rounds, ``k`` more each, weighted by squared distance to those
+    drawn; they are weighted by the records nearest to them and reclustered. ``steps`` Lloyd steps follow. Every
+    draw and step is a pass over all records; the driver holds the candidates (at most 5/2 k) and centroids.
     """
     k = min(k, MOST_CENTROIDS)
     some = _draw(points, None, max(1, k // 2), dim, seed)
     for r in range(rounds):
-        more = _draw(points, some if len(some) else None, max(1, k // 2), dim, seed + r + 1)
+        more = _draw(points, some if len(some) else None, k, dim, seed + r + 1)
         some = np.unique(np.vstack([some, more]), axis=0)
     if not len(some):
-        return np.zeros((1, dim), np.float32)
+        return np.zeros((1, dim), np.float32), np.zeros(1, np.int64)
     count, mean = _sums(points, some, dim)
     centers = _recluster(mean, np.maximum(count, 0.5).astype(np.float64), k, seed)
-    for _ in range(steps - 1):
-        centers = _sums(points, centers, dim)[1]
-    return centers
+    for _ in range(steps):
+        count, centers = _sums(points, centers, dim)
+    return centers, count
+
+
+class CellTree:
+    """Centroids in one or two levels; ``nearest`` gives the cells of records."""
+
+    def __init__(self, coarse: np.ndarray, leaves: np.ndarray | None = None, owner: np.ndarray | None = None):
+        self.coarse = coarse
+        self.leaves = None if leaves is None else [(np.flatnonzero(owner == c), leaves[owner == c]) for c in range(len(coarse))]
+
+    def nearest(self, u: np.ndarray, cells: int) -> np.ndarray:
+        """Rows x ``cells`` numbers of cells, nearest first; -1 where there are fewer. In a tree: of the leaves below the nearest ``cells`` coarse ones."""
+        coarse, _ = _best(u, self.coarse, cells)
+        if self.leaves is None:
+            return coarse
+        out, score = np.full((len(u), cells * coarse.shape[1]), -1), np.full((len(u), cells * coarse.shape[1]), -2.0)
+        for j in range(coarse.shape[1]):
+            order = np.argsort(coarse[:, j], kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(coarse[order, j]) != 0, [True]]))
+            for a, b in zip(edges, edges[1:]):
+                rows = order[a:b]
+                names, x = self.leaves[coarse[rows[0], j]]
+                if len(names):
+                    which, s = _best(u[rows], x, cells)
+                    at = slice(j * cells, j * cells + which.shape[1])
+                    out[rows, at], score[rows, at] = names[which], s
+        first = np.argsort(-score, axis=1, kind="stable")[:, :cells]
+        return np.take_along_axis(out, first, axis=1)
+
+
+def cell_tree(points: DataFrame, *, dim: int, total: int, rows_per_cell: int, seed: int = 3, sample_per_leaf: int = 16, most_flat: int = MOST_CENTROIDS) -> CellTree:
+    """Cells of about ``rows_per_cell`` records, at most ``MOST_CELLS`` of them.
+
+    Up to ``most_flat`` cells they are one k-means over all records. Beyond, its centroids are the square root of the
+    cells, and inside each coarse cell the leaves are fitted, in the tasks, on about ``sample_per_leaf`` records a leaf.
+    """
+    k = min(MOST_CELLS, max(1, total // rows_per_cell))
+    if k <= most_flat:
+        return CellTree(kmeans_centroids(points, dim=dim, k=k, seed=seed)[0])
+    coarse, _ = kmeans_centroids(points, dim=dim, k=math.ceil(math.sqrt(k)), seed=seed)
+    share, most = min(1.0, sample_per_leaf * k / total), 4 * sample_per_leaf * math.ceil(math.sqrt(k))
+
+    def assign(batches):
+        for part, u in _each(batches, dim):
+            yield pa.RecordBatch.from_arrays([pa.array(_best(u, coarse, 1)[0][:, 0].astype(np.int32)), part.column("vec")], ["cell", "vec"])
+
+    def fit(batches):
+        for g in sorted_groups(batches, "cell"):
+            g = g.combine_chunks()
+            u = unit(from_binary(g.column("vec"), dim)).astype(np.float32)
+            x = _recluster(u, np.ones(len(u)), max(1, len(u) // sample_per_leaf), seed)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), g.column("cell")[0].as_py(), np.int32)), to_binary(np.ascontiguousarray(x))], ["cell", "vec"])
+
+    drawn = points.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).mapInArrow(assign, "cell int, vec binary")
+    # a coarse cell may hold a third of the records: its sample is thinned before it reaches a task
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("vec")))
+    got = drawn.withColumn("r", rank).where(F.col("r") <= most).select("cell", "vec").sortWithinPartitions("cell").mapInArrow(fit, "cell int, vec binary").toArrow()
+    return CellTree(coarse, from_binary(got.column("vec"), dim), got.column("cell").to_numpy())
 
 
 def _expand(adj: np.ndarray, labels: np.ndarray, at: np.ndarray) -> None:
@@ -294,27 +398,77 @@ def _same_direction(points: DataFrame, dim: int, salts: int = 16) -> DataFrame:
     return keyed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(salted, ["h1", "h2", "salt"]).select("id", "rep")
 
 
-def similarity_groups(points: DataFrame, *, dim: int, alike: float = 0.84, rows_per_cell: int = 512, cells: int = 3, at_least: int = 2, total: int | None = None, seed: int = 3) -> DataFrame:
+def _cut_again(placed: DataFrame, dim: int, most_rows: int, seed: int, levels: int = 8) -> DataFrame:
+    """Cut cells of more than ``most_rows`` members by a k-means of their own, their members going to the two nearest children.
+
+    The children's centroids are fitted on a bounded sample of the cell and travel with its rows, before them in
+    the order of a partition; a cell is spread over salted partitions, so one may hold a third of all rows. A cell
+    that cutting no longer makes smaller stays as it is: :func:`link_cell` takes any size.
+    """
+    done: list[DataFrame] = []
+    for level in range(levels):
+        placed = materialise(placed, "cells")
+        sizes = materialise(placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > most_rows), "sizes")
+        top = sizes.agg(F.max("n")).first()[0]
+        if top is None:
+            break
+        done.append(placed.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "cell", "left_anti"))
+        large = placed.join(sizes, "cell")
+        children, salts = 64, max(4, -(-top // 500_000))
+        wanted = 32 * children
+        part = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) < F.ceil((1 << 30) * F.lit(1.0) * wanted / F.col("n"))
+
+        def fit(batches):
+            for g in sorted_groups(batches, "cell"):
+                g = g.combine_chunks()
+                u = unit(from_binary(g.column("vec"), dim)).astype(np.float32)
+                x = _recluster(u, np.ones(len(u)), children, seed)
+                yield pa.RecordBatch.from_arrays([g.column("cell").combine_chunks().slice(0, 1), pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())], ["cell", "vec"])
+
+        centers = large.where(part).select("cell", "vec").repartition("cell").sortWithinPartitions("cell").mapInArrow(fit, "cell string, vec binary")
+        heads = centers.select("cell", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("string").alias("id"), "vec")
+        rows = large.select("cell", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), "id", "vec")
+
+        def assign(batches):
+            now, x = None, None
+            for b in batches:
+                cells, ids = b.column("cell").to_pylist(), b.column("id")
+                edges = [0, *(i for i in range(1, len(cells)) if cells[i] != cells[i - 1] or not ids[i].is_valid), len(cells)]
+                for i, j in zip(edges, edges[1:]):
+                    if i < j and not ids[i].is_valid:
+                        now, x = cells[i], np.frombuffer(b.column("vec")[i].as_py(), np.float32).reshape(-1, dim)
+                        i += 1
+                    if i < j:
+                        g = b.slice(i, j - i)
+                        which, _ = _best(unit(from_binary(g.column("vec"), dim)).astype(np.float32), x, 2)
+                        for c in which.T:
+                            yield pa.RecordBatch.from_arrays([pa.array([f"{now}/{n}" for n in c]), g.column("id"), g.column("vec")], ["cell", "id", "vec"])
+
+        cut = heads.unionByName(rows).repartition("cell", "salt").sortWithinPartitions("cell", "salt", F.col("id").asc_nulls_first()).mapInArrow(assign, "cell string, id string, vec binary")
+        before, placed = top, materialise(cut, "cells")
+        now = placed.groupBy("cell").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if now > 0.8 * before:
+            break
+    for d in done:
+        placed = placed.unionByName(d.select("cell", "id", "vec"))
+    return placed
+
+
+def similarity_groups(points: DataFrame, *, dim: int, alike: float = 0.84, rows_per_cell: int = 512, cells: int = 3, at_least: int = 2, total: int | None = None, seed: int = 3, exact: bool = False, most_rows: int = MOST_ROWS) -> DataFrame:
     """``cluster_id, id`` of the groups with at least ``at_least`` records.
 
     ``points``: ``id string, vec binary``, one row per id, read several times (pass a written table).
     Records belong together if their cosine is at least ``alike``, directly or through others;
     ``cluster_id`` is the smallest id of the group. Links are exact among records that share one
-    of their ``cells`` nearest centroids. Records of the same direction are compared once, through
-    the smallest id among them, and all belong to its group, so no cell fills up with copies.
-    Empty input gives an empty result; records alike to none are in no group.
+    of their ``cells`` nearest cells; with ``exact`` every record is compared with every other, in pairs of
+    blocks that are spread over the tasks, at a cost that grows with the square of their number. Records of
+    the same direction are compared once, through the smallest id among them, and all belong to its group, so
+    no cell fills up with copies. Empty input gives an empty result; records alike to none are in no group.
     """
     total = points.count() if total is None else total
     copies = materialise(_same_direction(points, dim), "copies")
     if not copies.isEmpty():
         points = materialise(points.join(copies.where("id <> rep"), "id", "left_anti").select("id", "vec"), "distinct")
-    centers = kmeans_centroids(points, dim=dim, k=max(1, total // rows_per_cell), seed=seed)
-
-    def assign(batches):
-        for part, u in _each(batches, dim):
-            which, _ = _best(u, centers, cells)
-            for j in range(which.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(which[:, j].astype(np.int32)), part.column("id"), part.column("vec")], ["cell", "id", "vec"])
 
     def link(batches):
         for group in sorted_groups(batches, "cell"):
@@ -329,9 +483,33 @@ def similarity_groups(points: DataFrame, *, dim: int, alike: float = 0.84, rows_
             names = np.repeat(ids[order[cuts]], sizes)
             yield pa.RecordBatch.from_arrays([pa.array(ids[order][keep], pa.string()), pa.array(names[keep], pa.string())], ["id", "comp"])
 
-    placed = points.mapInArrow(assign, "cell int, id string, vec binary").repartition("cell").sortWithinPartitions("cell")
-    linked = placed.mapInArrow(link, "id string, comp string")
-    # a record has at most ``cells`` components
+    # about 6 MB a task, whatever the number of records
+    tasks = lambda copies: max(1, math.ceil(total * copies * (4 * dim + 48) / 6e6))
+    if exact:
+        blocks = max(2, math.ceil(total / 8192))
+        block = F.pmod(F.xxhash64("id"), F.lit(blocks))
+        pairs = points.select("id", "vec", block.alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")).where("a <> b")
+        placed = pairs.select(F.concat_ws("/", F.least("a", "b").cast("string"), F.greatest("a", "b").cast("string")).alias("cell"), "id", "vec")
+        placed = placed.repartition(tasks(blocks - 1), "cell")
+    else:
+        tree = cell_tree(points, dim=dim, total=total, rows_per_cell=rows_per_cell, seed=seed)
+        sent = points.sparkSession.sparkContext.broadcast(tree)
+
+        def assign(batches):
+            for part, u in _each(batches, dim):
+                for c in sent.value.nearest(u, cells).T:
+                    some = pa.array(np.flatnonzero(c >= 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)).take(some), part.column("id").take(some), part.column("vec").take(some)], ["cell", "id", "vec"])
+
+        placed = points.mapInArrow(assign, "cell int, id string, vec binary")
+        # the largest cell, from so many records that one of ``most_rows`` shows by about 64 of its members
+        share = min(1.0, 64 / most_rows)
+        few = points.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).mapInArrow(assign, "cell int, id string, vec binary")
+        if (few.groupBy("cell").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) / share > 0.75 * most_rows:
+            placed = _cut_again(placed.withColumn("cell", F.col("cell").cast("string")), dim, most_rows, seed)
+        placed = placed.repartition(tasks(cells), "cell")
+    linked = placed.sortWithinPartitions("cell").mapInArrow(link, "id string, comp string")
+    # a record has at most as many components as cells
     member = materialise(linked.groupBy("id").agg(F.min("comp").alias("comp"), F.collect_set("comp").alias("comps")), "member")
     edges = member.where(F.size("comps") > 1).select(F.col("comp").alias("a"), F.explode("comps").alias("b"))
     if edges.isEmpty():

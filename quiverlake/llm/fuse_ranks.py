@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.runtime import materialise
+
 
 def borda(scores: DataFrame, top: DataFrame, *, weights: dict[str, float] | None = None) -> DataFrame:
     """The best ``top_n`` ids of every query: ``qid, id, points, place``.
@@ -21,8 +23,8 @@ def borda(scores: DataFrame, top: DataFrame, *, weights: dict[str, float] | None
     wanted = top.where("qid is not null and top_n is not null").groupBy("qid").agg(F.max("top_n").alias("top_n"))
     s = F.col("score")
     clean = scores.where("qid is not null and list is not null and id is not null").select("qid", "list", "id", F.when(~F.isnan(s), s.cast("double")).alias("score"))
-    one = clean.join(wanted.select("qid"), "qid", "left_semi").groupBy("qid", "list", "id").agg(F.max("score").alias("score"))
-    n_ids = one.groupBy("qid").agg(F.countDistinct("id").alias("n_ids"))
+    # read three times below, so written once
+    one = materialise(clean.join(wanted.select("qid"), "qid", "left_semi").groupBy("qid", "list", "id").agg(F.max("score").alias("score")), "scores")
     # ranks come from the distinct scores of a list, counted before the shuffle
     levels = one.where("score is not null").groupBy("qid", "list", "score").agg(F.count("*").alias("same"))
     w = Window.partitionBy("qid", "list")
@@ -34,11 +36,11 @@ def borda(scores: DataFrame, top: DataFrame, *, weights: dict[str, float] | None
     weight = F.lit(1.0)
     for name, v in sorted((weights or {}).items()):
         weight = F.when(F.col("list") == name, F.lit(float(v))).otherwise(weight)
-    gains = (
-        one.join(placed, ["qid", "list", "score"], "left").join(n_ids, "qid")
-        .select("qid", "id", F.when(F.col("rank").isNotNull(), weight * ((F.col("n_scored") + 1 + F.col("n_ids")) / 2 - F.col("rank"))).otherwise(F.lit(0.0)).alias("gain"))
-    )
-    points = gains.groupBy("qid", "id").agg(F.round(F.sum("gain"), 6).alias("points"))
+    # the ids of a query add half their number to every place; it is known once the ids are rows
+    gains = one.join(placed, ["qid", "list", "score"], "left").select("qid", "id", weight.alias("w"), ((F.col("n_scored") + 1) / 2 - F.col("rank")).alias("ahead"))
+    scored = F.col("ahead").isNotNull()
+    sums = gains.groupBy("qid", "id").agg(F.coalesce(F.sum(F.when(scored, F.col("w") * F.col("ahead"))), F.lit(0.0)).alias("ahead"), F.coalesce(F.sum(F.when(scored, F.col("w"))), F.lit(0.0)).alias("w"))
+    points = sums.select("qid", "id", F.round(F.col("ahead") + F.col("w") * F.count("*").over(Window.partitionBy("qid")) / 2, 6).alias("points"))
     best = points.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("points"), "id")))
     return best.join(wanted, "qid").where(F.col("place") <= F.col("top_n")).select("qid", "id", "points", "place")
 

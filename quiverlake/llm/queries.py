@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.runtime import materialise
+from ..operators.runtime import latest_version, materialise
 from . import areas, chunks, clusters, fuse_ranks, leaks, neighbours, pairs, subset, tokens
 
 ALIKE = 0.84  # cosine from which two records count as alike
@@ -51,6 +51,14 @@ def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.describe_groups(groups, points, dim=64)
 
 
+def p3_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of live texts that use the same words, by hashed weighted features."""
+    docs = table(spark, d, "text_documents").select("id", "text", "indexed_at")
+    points = materialise(clusters.text_points(latest_version(docs, "id", ["indexed_at"])), "points")
+    groups = clusters.similarity_groups(points, dim=256, alike=ALIKE)
+    return clusters.describe_groups(groups, points, dim=256)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     lists = table(spark, d, "scored_ids")
     hits = table(spark, d, "search_hits").select("qid", F.lit(" hits").alias("list"), "id", "score")
