@@ -95,6 +95,18 @@ def train_kmeans(df: DataFrame, k: int, *, vec_col: str = "vector", steps: int =
     return df.sparkSession.createDataFrame(rows, "cluster_id bigint, centroid array<double>")
 
 
+def fit_kmeans(df: DataFrame, k: int, *, vec_col: str = "vector", rows_per_list: int = 256, most_rows: int = 262_144, steps: int = 50, seed: int = 42) -> DataFrame:
+    """``cluster_id, centroid`` by k-means on a bounded sample: ``rows_per_list`` rows a list, at most ``most_rows`` in all.
+
+    For indexes, whose lists decide only what a search visits: one scan, then numpy on the driver.
+    """
+    from .quant import _lloyd, sample_embeddings
+
+    x = sample_embeddings(df, vec_col, min(most_rows, rows_per_list * k), seed).astype(np.float64)
+    c = _lloyd(x, k, np.random.default_rng(seed), steps) if len(x) else np.empty((0, 0))
+    return df.sparkSession.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "cluster_id bigint, centroid array<double>")
+
+
 def split_cluster(df: DataFrame, *, vec_col: str = "vector", least: int = 64, leaves: int = 2, seed: int = 42) -> DataFrame:
     """Bisecting k-means over one oversized cluster: adds ``child``; a cluster under ``least`` rows stays whole."""
     from pyspark.ml.clustering import BisectingKMeans

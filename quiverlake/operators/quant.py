@@ -18,9 +18,19 @@ SAMPLE_ROWS = 25_000
 
 
 def sample_embeddings(df: DataFrame, vec_col: str = "vector", rows: int = SAMPLE_ROWS, seed: int = 42) -> np.ndarray:
-    """At most ``rows`` embeddings, uniformly and reproducibly (smallest hashes), for training."""
+    """About ``rows`` of the rows (all of a smaller table), uniformly and reproducibly, for training.
+
+    A filter on a hash in the scan leaves a share of ``rows`` over their number; no sort of the table.
+    """
     picked = df.where(F.col(vec_col).isNotNull()).select(F.col(vec_col).cast("array<float>").alias("v"))
-    return np.array([r.v for r in picked.orderBy(F.xxhash64("v", F.lit(seed))).limit(rows).collect()], np.float32)
+    total = picked.count()
+    if total > rows:
+        picked = picked.where(F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * rows / total))
+    column = picked.limit(2 * rows).toArrow().column("v").combine_chunks()
+    if not len(column):
+        return np.empty((0, 0), np.float32)
+    fit, x = _rows(column)
+    return x[np.lexsort(x.T[:4])].astype(np.float32)
 
 
 # -- rotations ------------------------------------------------------------------------------------
@@ -90,19 +100,28 @@ class Scalar:
 
 
 def _lloyd(x, k, rng, steps=12, weight=None):
-    k = min(k, len(x))
-    c = x[rng.choice(len(x), 1)]
+    """k-means++ seeds, then Lloyd steps until nothing moves."""
+    k, x = min(k, len(x)), np.asarray(x, np.float64)
+    norm = (x**2).sum(1)
+    c = np.empty((k, x.shape[1]))
+    c[0] = x[rng.choice(len(x))]
     near = ((x - c[0]) ** 2).sum(1)
-    for _ in range(k - 1):
-        p = near / near.sum() if near.sum() > 0 else None
-        c = np.vstack([c, x[rng.choice(len(x), p=p)]])
-        near = np.minimum(near, ((x - c[-1]) ** 2).sum(1))
+    for i in range(1, k):
+        total = near.sum()
+        c[i] = x[rng.choice(len(x), p=near / total if total > 0 else None)]
+        near = np.minimum(near, np.maximum(norm - 2 * x @ c[i] + c[i] @ c[i], 0))
+    w, before = np.ones(len(x)) if weight is None else weight, None
     for _ in range(steps):
-        a = ((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)).argmin(1)
-        for j in range(k):
-            m = a == j
-            if m.any():
-                c[j] = np.average(x[m], axis=0, weights=None if weight is None else weight[m])
+        a = np.concatenate([((c**2).sum(1) - 2 * x[i : i + 16384] @ c.T).argmin(1) for i in range(0, len(x), 16384)])
+        if before is not None and (a == before).all():
+            break
+        before = a
+        order = np.argsort(a, kind="stable")
+        some, start = np.unique(a[order], return_index=True)
+        mass = np.add.reduceat(w[order], start)
+        sums = np.add.reduceat(x[order] * w[order, None], start, axis=0)
+        good = mass > 0
+        c[some[good]] = sums[good] / mass[good, None]
     return c
 
 
@@ -215,12 +234,21 @@ class RaBit:
         c = self._codes(u)
         cos = (c * u).sum(1) / np.linalg.norm(c, axis=1)
         extra = np.stack([norm, np.where(cos == 0, 1, cos)], 1).astype(np.float32)
-        return np.hstack([c.astype(np.int8).view(np.uint8) if self.bits > 1 else np.packbits(c > 0, axis=1), extra.view(np.uint8).reshape(len(x), -1)])
+        return np.hstack([self._pack(c), extra.view(np.uint8).reshape(len(x), -1)])
+
+    def _pack(self, c):
+        """``bits`` bits a dimension, one after another: odd levels -top..top as 0..top."""
+        v = ((c + (1 << self.bits) - 1) / 2).astype(np.uint8)
+        return np.packbits((v[:, :, None] >> np.arange(self.bits, dtype=np.uint8) & 1).reshape(len(c), -1), axis=1)
+
+    def _unpack(self, body, dim):
+        b = np.unpackbits(body, axis=1)[:, : dim * self.bits].reshape(len(body), dim, self.bits)
+        return (b @ (1 << np.arange(self.bits))) * 2.0 - ((1 << self.bits) - 1)
 
     def _split(self, codes, dim):
         extra = np.ascontiguousarray(codes[:, -8:]).view(np.float32)
         body = codes[:, :-8]
-        c = np.ascontiguousarray(body).view(np.int8).astype(np.float64) if self.bits > 1 else np.unpackbits(body, axis=1)[:, :dim] * 2.0 - 1
+        c = self._unpack(body, dim)
         return c / np.linalg.norm(c, axis=1, keepdims=True), extra[:, 0].astype(float), extra[:, 1].astype(float)
 
     def decode(self, codes, dim=None):

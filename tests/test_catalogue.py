@@ -31,12 +31,12 @@ def test_entry(spark):
 
 
 def test_ivf_recall(spark, small):
-    assert catalogue.queries()["ivf_trained_recall"](spark, small).first()[0] >= 0.5
+    assert catalogue.ivf_recall(spark, small).first()[0] >= 0.5
 
 
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
 def test_ivf_recall_reaches_the_target(spark, small, size):
-    assert catalogue.queries()["ivf_trained_recall"](spark, small.replace("sf0.001", size)).first()[0] >= 0.9
+    assert catalogue.ivf_recall(spark, small.replace("sf0.001", size)).first()[0] >= 0.9
 
 
 def quantized_recall(spark, d, kind):
