@@ -349,6 +349,26 @@ def split_tree(df: DataFrame, *, id_col: str = "id", vec_col: str = "vector", le
     return now.select("id", "node")
 
 
+def search_with_log(index: StoredIndex, log, queries: DataFrame, k: int, *, nprobe: int, metric: str = "l2", id_col: str = "id", vec_col: str = "vector") -> DataFrame:
+    """The index's hits and those among the rows of ``log`` (a WriteAheadLog) that it does not hold yet, which are scanned exactly.
+
+    A logged row stands in for the indexed one of its id, the last segment for earlier ones.
+    """
+    from .runtime import latest_version
+    from .search import search_batch
+
+    fresh = log.replay()
+    if fresh is None:
+        return index.search(queries, k, nprobe=nprobe, metric=metric)
+    rows = latest_version(fresh, id_col, ["segment"]).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vector"))
+    # as many more hits as logged ids could take away
+    old = index.search(queries, k + rows.count(), nprobe=nprobe, metric=metric).select("qid", "id", "score").join(rows.select("id"), "id", "left_anti")
+    new = search_batch(rows, queries, k, metric="dot" if metric == "mip" else metric)
+    s = F.col("score")
+    raw = {"l2": 1 - 1 / s, "cosine": 2 * s - 1}.get(metric, 2 * s - 1)
+    return rank_by(old.select("qid", "id", "score").unionByName(new.select("qid", "id", raw.alias("score"))), ["qid"], "score", "id", k)
+
+
 class Tiered:
     """A cluster index with a hot tier: codes of the often probed lists are kept apart and scanned in place of their rows.
 

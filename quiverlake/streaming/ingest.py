@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.runtime import latest_version
-from ..operators.table import Collection, apply_events
+from ..operators.table import Collection
 
 DOC_SCHEMA = "id string, text string, blob binary, mime string, attrs map<string,string>, precomputedVector array<float>"
 
@@ -121,8 +121,8 @@ def follow_events(stream: DataFrame, target: Collection, checkpoint: str, *, onc
 
     def write(batch: DataFrame, number: int) -> None:
         columns = [c for c in batch.columns if c not in ("op", "seq")]
-        base = target.read() if target.generation else batch.select(*columns).limit(0)
-        target.commit(apply_events(base.select(*columns), batch, target.key), number)
+        last = latest_version(batch.where("op <> 'Commit'"), target.key, ["seq"])
+        target.apply(last.where("op <> 'Delete'").select(*columns), last.where("op = 'Delete'").select(target.key), number)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()

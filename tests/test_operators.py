@@ -176,8 +176,63 @@ def test_collection(spark, tmp_path):
     assert [tuple(r) for r in c.read().collect()] == [("3", 3.0)]
     assert len(c.generations()) == 2
     c.compact()
-    c._write_pointer({"gen": 1, "batches": []})  # a crash left an old pointer
+    c._write_pointer({"gen": 4})  # a crash left an old pointer
     assert c.recover() == 5 and c.read().count() == 1
+    assert c.upsert(base.limit(0)) == 5  # nothing to commit
+    assert c.upsert(base, batch=3) == 5  # a replay from long ago
+    gen = c.upsert(spark.createDataFrame([("9", 9.0)], base.schema))
+    (tmp_path / "c" / f"gen-{gen}.json").write_text("12 {}")  # damaged
+    assert c.recover() == 5 and [r.id for r in c.read().collect()] == ["3"]
+
+
+def test_collection_folds_deltas_and_fences_writers(spark, tmp_path):
+    c = table.Collection(spark, f"file://{tmp_path}/c", max_deltas=3, auto_commit=3)
+    rows = lambda *p: spark.createDataFrame(list(p), "id string, v double")
+    c.upsert(rows(("a", 0.0), ("b", 0.0)))
+    for i in range(1, 6):
+        c.apply(rows(("a", float(i)), (f"n{i}", 1.0)), rows(("b", 0.0)) if i == 2 else None)
+    assert {r.id: r.v for r in c.read().collect()} == {"a": 5.0, **{f"n{i}": 1.0 for i in range(1, 6)}}
+    assert len(c._manifest(c.generation)["deltas"]) <= 3
+    c.stage(rows(("a", 7.0)))
+    assert c.view().where("id = 'a'").first().v == 7.0 and c.read().where("id = 'a'").first().v == 5.0
+    before = c.generation
+    assert c.stage(rows(("x", 1.0), ("y", 1.0))) == before + 1 and c.read().where("id = 'a'").first().v == 7.0
+    with pytest.raises(ValueError):
+        c.add(rows(("x", 2.0)))
+    other = table.Collection(spark, f"file://{tmp_path}/c")
+    c.store.create(f"gen-{c.generation + 1}.json", "1 {}")  # another writer is ahead
+    with pytest.raises(table.Conflict):
+        other._publish(other.generation + 1, "data-x", [], None, None) if other.store.exists("data-x") else other.store.create(f"gen-{other.generation + 1}.json", "x")
+
+
+def test_shards_and_log(spark, tmp_path):
+    from quiverlake.operators import ivf
+
+    s = table.ShardedCollection(spark, f"file://{tmp_path}/s", 3)
+    rows = spark.range(60).select(F.col("id").cast("string").alias("id"), F.col("id").cast("double").alias("v"))
+    s.upsert(rows)
+    s.delete_where(filters.gt("v", 49))
+    s.delete(rows.where("id = '7'"))
+    got = s.read()
+    assert got.count() == 49 and got.select("shard").distinct().count() == 3
+    moved = rows.where(table.ring_shard(F.col("id"), 3) != table.ring_shard(F.col("id"), 4)).count()
+    assert 0 < moved < 35
+    log = table.WriteAheadLog(spark, f"file://{tmp_path}/w")
+    x = np.random.default_rng(0).normal(size=(200, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vector array<float>")
+    index = ivf.build(df, f"file://{tmp_path}/ix", 4)
+    log.append(df.where("id < 3").select("id", F.transform("vector", lambda v: -v).alias("vector")))
+    log.append(spark.createDataFrame([(500, x[5].tolist())], df.schema))
+    q = df.where("id = 5").select(F.col("id").alias("qid"), F.col("vector").alias("qvec"))
+    y = x.astype(float).copy()
+    y[:3] *= -1
+    y = np.vstack([y, x[5]])
+    want = sorted(range(201), key=lambda i: (round(((y[i] - x[5]) ** 2).sum(), 9), i if i < 200 else 500))[:6]
+    for metric in ("l2",):
+        hits = ivf.search_with_log(index, log, q, 6, nprobe=4, metric=metric).orderBy("rank").collect()
+        assert [h.id for h in hits] == [i if i < 200 else 500 for i in want]
+    log.mark_indexed(1)
+    assert log.replay().count() == 1 and log.truncate() == 1 and log.segments() == [2]
 
 
 def test_tuning():
