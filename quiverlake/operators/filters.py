@@ -256,6 +256,35 @@ def parse_json(source) -> object:
     return In(field, tuple(value)) if op == "in" else Not(In(field, tuple(value)))
 
 
+def translate(node) -> object:
+    """Filter expressions of document-store frameworks: ``{"op": ..., "key": ..., "value": ...}`` with EQ NE GT GTE LT LTE IN NIN, and
+    ``{"op": "AND"|"OR", "left": ..., "right": ...}`` or ``{"op": "NOT", "child": ...}``; a list is joined by AND.
+
+    NE and NIN are negations, so rows without the field match them.
+    """
+    if node is None or node == {} or node == []:
+        return All()
+    if isinstance(node, list):
+        return And(tuple(translate(n) for n in node))
+    op = str(node.get("op", "")).upper()
+    if op in ("AND", "OR"):
+        return (And if op == "AND" else Or)((translate(node["left"]), translate(node["right"])))
+    if op == "NOT":
+        return Not(translate(node["child"]))
+    key, value = node.get("key"), node.get("value")
+    if not isinstance(key, str) or not key:
+        raise ValueError("a comparison needs a key")
+    if op in ("EQ", "NE"):
+        return Eq(key, value) if op == "EQ" else Not(Eq(key, value))
+    if op in ("IN", "NIN"):
+        return In(key, tuple(value)) if op == "IN" else Not(In(key, tuple(value)))
+    if op in ("GT", "GTE", "LT", "LTE"):
+        if isinstance(value, bool) or not isinstance(value, (int, float)):
+            raise ValueError(f"{op} compares numbers")
+        return Range(key, value, None, op == "GT", False) if op[0] == "G" else Range(key, None, value, False, op == "LT")
+    raise ValueError(f"unknown operation {op!r}")
+
+
 # -- metadata values ----------------------------------------------------------------------------
 
 VALUE_TYPE = "struct<kind:string,str:string,num:double,bool:boolean,tags:array<string>>"

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quant import Product
 from .runtime import bounded_rows
 from .search import rank_by
 
@@ -35,12 +36,14 @@ def similarities(x: np.ndarray, rows, q: np.ndarray, metric: str) -> np.ndarray:
     return (1 + d) / 2
 
 
-def beam(x, links, q, start, width, metric, keep=None):
+def beam(x, links, q, start, width, metric, keep=None, score=None):
     """Best-first search over one layer: ``[(similarity, node)]`` best first, at most ``width`` visited results.
 
-    With ``keep`` (a boolean per node) the walk passes through all nodes but collects only kept ones.
+    With ``keep`` (a boolean per node) the walk passes through all nodes but collects only kept ones. ``score`` (nodes -> similarities)
+    stands in for the exact similarities.
     """
-    s = similarities(x, np.array(start), q, metric)
+    score = score or (lambda rows: similarities(x, rows, q, metric))
+    s = score(np.array(start))
     seen = set(start)
     front = [(-v, n) for v, n in zip(s.tolist(), start)]
     heapq.heapify(front)
@@ -54,7 +57,7 @@ def beam(x, links, q, start, width, metric, keep=None):
         if not new:
             continue
         seen.update(new)
-        for sv, n in zip(similarities(x, np.array(new), q, metric).tolist(), new):
+        for sv, n in zip(score(np.array(new)).tolist(), new):
             if len(best) < width or sv > best[0][0]:
                 heapq.heappush(front, (-sv, n))
                 if keep is None or keep[n]:
@@ -113,15 +116,65 @@ class Hnsw:
         if self.entry is None or top >= len(self.layers) - 1 and node in self.layers[-1] and len(self.layers[-1]) == 1:
             self.entry = node
 
-    def search(self, q, k, width, keep=None):
+    def search(self, q, k, width, keep=None, starts: int = 1, coded: float = 0.0):
+        """The ``k`` best by a beam of ``width``. ``starts`` seeds from layer 1 walk together; with ``coded`` the walk goes by the
+        product codes and the best ``k x coded`` are ranked exactly."""
         if self.entry is None:
             return []
+        score = None
+        if coded and self.codec is not None:
+            tables = np.stack([np.pad(t, (0, 256 - len(t))) for t in self.codec.tables(q)])
+            at_code, norm = np.arange(tables.shape[0]), np.sqrt(q @ q) or 1.0
+            score = lambda rows: (1 + tables[at_code, self.codes[rows]].sum(axis=1) / (norm * self.norms[rows])) / 2 if self.metric == "cosine" else tables[at_code, self.codes[rows]].sum(axis=1) - (self.norms[rows] ** 2 / 2 if self.metric == "l2" else 0)
         at = [self.entry]
         for level in range(len(self.layers) - 1, 0, -1):
             start = [n for n in at if n in self.layers[level]]
             if start:
-                at = [beam(self.x, self.layers[level], q, start, 1, self.metric)[0][1]]
-        return beam(self.x, self.layers[0], q, at, max(k, width), self.metric, keep)[:k]
+                at = [n for _, n in beam(self.x, self.layers[level], q, start, starts if level == 1 else 1, self.metric, score=score)[: starts if level == 1 else 1]]
+        wide = max(k, width, int(np.ceil(k * coded)))
+        found = beam(self.x, self.layers[0], q, at, wide, self.metric, keep, score)
+        if score is None:
+            return found[:k]
+        some = np.array([n for _, n in found[: max(k, int(np.ceil(k * coded)))]], np.int64)
+        exact = similarities(self.x, some, q, self.metric) if len(some) else np.empty(0)
+        return sorted(zip(exact.tolist(), some.tolist()), key=lambda t: (-t[0], t[1]))[:k]
+
+    codec = codes = norms = None
+
+    def add_codes(self, codec) -> None:
+        """Product codes of all nodes, beside the links."""
+        self.codec, self.codes, self.norms = codec, codec.encode(self.x.astype(np.float32)), np.maximum(np.linalg.norm(self.x, axis=1), 1e-30)
+
+    def without(self, dead: np.ndarray) -> None:
+        """Drop nodes. Links between the others stay; a node that lost some is offered the neighbours of those it lost."""
+        new = np.cumsum(~dead) - 1
+        layers = []
+        for level, links in enumerate(self.layers):
+            most, out = self.m * 2 if level == 0 else self.m, {}
+            for node, own in links.items():
+                if dead[node]:
+                    continue
+                kept = [n for n in own if not dead[n]]
+                if len(kept) < len(own):
+                    reach, seen, todo = set(kept), set(), [n for n in own if dead[n]]
+                    while todo:  # through lost nodes to the next live ones
+                        n = todo.pop()
+                        if n not in seen:
+                            seen.add(n)
+                            for x in links.get(n, ()):
+                                (todo.append if dead[x] and len(seen) < 64 else reach.add)(x)
+                    pool = np.array([n for n in reach if n != node and not dead[n]], np.int64)
+                    if len(pool):
+                        s = similarities(self.x, pool, self.x[node], self.metric)
+                        kept = spread(self.x, sorted(zip(s.tolist(), pool.tolist()), key=lambda t: (-t[0], t[1])), most, self.metric)
+                out[int(new[node])] = [int(new[n]) for n in kept]
+            layers.append(out)
+        while len(layers) > 1 and not layers[-1]:
+            layers.pop()
+        self.layers, self.x = layers, self.x[~dead]
+        if self.codes is not None:
+            self.codes, self.norms = self.codes[~dead], self.norms[~dead]
+        self.entry = next(iter(layers[-1]), None) if len(self.x) else None
 
 
 class Vamana:
@@ -147,14 +200,14 @@ class Vamana:
                             s = similarities(self.x, np.array(self.links[j]), self.x[j], metric)
                             self.links[j] = spread(self.x, sorted(zip(s.tolist(), self.links[j]), key=lambda t: (-t[0], t[1])), r, metric, slack, refill=False)
 
-    def search(self, q, k, width, keep=None):
+    def search(self, q, k, width, keep=None, starts: int = 1, coded: float = 0.0):
         return beam(self.x, self.links, q, [self.entry], max(k, width), self.metric, keep)[:k] if self.links else []
 
 
-def build(df: DataFrame, kind: str = "hnsw", *, id_col: str = "id", vec_col: str = "vector", metric: str = "cosine", rows_per_graph: int = 10_000, total: int | None = None, **options) -> DataFrame:
+def build(df: DataFrame, kind: str = "hnsw", *, id_col: str = "id", vec_col: str = "vector", metric: str = "cosine", rows_per_graph: int = 10_000, total: int | None = None, codes: int = 0, **options) -> DataFrame:
     """``part int, graph binary``: one row per graph of about ``rows_per_graph`` rows, spread by a hash of the id.
 
-    Null embeddings are left out; all embeddings must have one length.
+    Null embeddings are left out; all embeddings must have one length. ``codes`` (HNSW): so many bytes of product codes for each node.
     """
     total = df.count() if total is None else total
     parts = max(1, -(-total // rows_per_graph))
@@ -167,13 +220,16 @@ def build(df: DataFrame, kind: str = "hnsw", *, id_col: str = "id", vec_col: str
         for g in sorted_groups(batches, "part"):
             g = g.combine_chunks()
             x = g.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(g.num_rows, -1)
-            blob = pickle.dumps((g.column("id").to_pylist(), make(x, metric, **options)))
+            made = make(x, metric, **options)
+            if codes:
+                made.add_codes(Product.train(x[:: max(1, len(x) // 4096)], codes))
+            blob = pickle.dumps((g.column("id").to_pylist(), made))
             yield pa.RecordBatch.from_arrays([g.column("part").combine_chunks().slice(0, 1), pa.array([blob], pa.binary())], ["part", "graph"])
 
     return rows.repartition(parts, "part").sortWithinPartitions("part", "id").mapInArrow(run, "part int, graph binary")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, *, width: int = 100, id_type: str = "bigint", allowed: DataFrame | None = None, most_queries: int = 4096, most_allowed: int = 1_000_000) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int, *, width: int = 100, id_type: str = "bigint", allowed: DataFrame | None = None, most_queries: int = 4096, most_allowed: int = 1_000_000, starts: int = 1, coded: float = 0.0) -> DataFrame:
     """``qid, id, score, rank`` by beam search of every graph. ``allowed`` (a bounded list of ids) filters inside the walk.
 
     Queries are at most ``most_queries`` a call; larger sets are split by the caller. More than ``most_allowed`` allowed
@@ -192,7 +248,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, *, width: int = 100, id
             for blob in b.column("graph").to_pylist():
                 ids, graph = pickle.loads(blob)
                 keep = None if kept is None else [i in kept for i in ids]
-                out = [(q, ids[n], s) for q, v in zip(names, embeddings) for s, n in graph.search(v, k, width, keep)]
+                out = [(q, ids[n], s) for q, v in zip(names, embeddings) for s, n in graph.search(v, k, width, keep, starts, coded)]
                 if out:
                     a, i, s = zip(*out)
                     yield pa.RecordBatch.from_arrays([pc.cast(pa.array(a), _arrow(q_type)), pc.cast(pa.array(i), _arrow(id_type)), pa.array(s, pa.float64())], ["qid", "id", "score"])
@@ -200,5 +256,23 @@ def search(index: DataFrame, queries: DataFrame, k: int, *, width: int = 100, id
     return rank_by(index.mapInArrow(run, f"qid {q_type}, id {id_type}, score double"), ["qid"], "score", "id", k)
 
 
+def compact(index: DataFrame, dead: DataFrame, most_dead: int = 1_000_000) -> DataFrame:
+    """The index rows without the ids of ``dead`` (a bounded list; rebuild beyond it), each HNSW graph mended in its task."""
+    gone = frozenset(r[0] for r in bounded_rows(dead, most_dead, "the list of deleted ids"))
+    sent = index.sparkSession.sparkContext.broadcast(gone)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, blob in zip(b.column("part").to_pylist(), b.column("graph").to_pylist()):
+                ids, graph = pickle.loads(blob)
+                lost = np.array([i in sent.value for i in ids], bool)
+                if lost.any():
+                    graph.without(lost)
+                    ids = [i for i, x in zip(ids, lost) if not x]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pickle.dumps((ids, graph))], pa.binary())], ["part", "graph"])
+
+    return index.mapInArrow(run, "part int, graph binary")
+
+
 def _arrow(name: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]

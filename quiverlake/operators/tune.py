@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import random
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -108,7 +109,7 @@ class TreeParzen:
         if len(history) < self.startup:
             return {a.name: a.draw(self.rng) for a in self.axes}
         ordered = [p for p, _ in sorted(history, key=lambda h: -h[1])]
-        cut = max(1, math.ceil(self.gamma * len(ordered)))
+        cut = min(max(1, math.floor(self.gamma * len(ordered) + 0.5)), len(ordered) - 1)
         return {a.name: self._axis(a, [p[a.name] for p in ordered[:cut]], [p[a.name] for p in ordered[cut:]]) for a in self.axes}
 
     def _axis(self, a, good, bad):
@@ -125,9 +126,13 @@ class TreeParzen:
             if isinstance(a, Choice) or self.rng.random() < self.prior / (len(good) + self.prior):
                 return a.draw(self.rng) if not isinstance(a, Choice) else self.rng.choices(a.values, [density(v, good) for v in a.values])[0]
             low, high = (math.log(a.low), math.log(a.high)) if a.log else (a.low, a.high)
-            p = self.rng.choice(good)
-            x = self.rng.gauss(math.log(p) if a.log else p, max((high - low) / math.sqrt(len(good) + 1), 1e-12))
-            x = min(max(x, low), high)
+            p, width = self.rng.choice(good), max((high - low) / math.sqrt(len(good) + 1), 1e-12)
+            for _ in range(64):  # drawn again outside the bounds, so that no mass gathers on them
+                x = self.rng.gauss(math.log(p) if a.log else p, width)
+                if low <= x <= high:
+                    break
+            else:
+                x = self.rng.uniform(low, high)
             x = math.exp(x) if a.log else x
             return round(x) if isinstance(a, IntRange) else x
 
@@ -146,23 +151,79 @@ def objective(metrics: dict[str, tuple[Column, float]], costs: dict[str, tuple[C
     return out
 
 
-def run_study(trials: Callable[[list], dict] | list[dict], measure: Callable[[dict], float], n: int | None = None) -> list[tuple[dict, float]]:
-    """Measure trials one after another; each is a distributed job of its own. ``trials`` is a list or a sampler's ``next``."""
+def run_study(trials: Callable[[list], dict] | list[dict], measure: Callable[[dict], float], n: int | None = None, listener: Callable[[dict], None] | None = None) -> list[tuple[dict, float]]:
+    """Measure trials one after another; each is a distributed job of its own. ``trials`` is a list or a sampler's ``next``.
+
+    ``listener`` is told of each trial: ``{"event": "started"|"finished"|"failed", "trial": i, "params": ..., "value": ...}``.
+    """
+    tell = listener or (lambda e: None)
     history: list[tuple[dict, float]] = []
     for i in range(n if n is not None else len(trials)):
         p = trials(history) if callable(trials) else trials[i]
-        history.append((p, float(measure(p))))
+        tell({"event": "started", "trial": i, "params": p})
+        try:
+            value = float(measure(p))
+        except Exception as e:
+            tell({"event": "failed", "trial": i, "params": p, "error": repr(e)})
+            raise
+        history.append((p, value))
+        tell({"event": "finished", "trial": i, "params": p, "value": value})
     return history
 
 
-def save_trials(history: list[tuple[dict, float]], path: str) -> None:
+def index_trial(build: Callable[[dict], object], search: Callable[[object, dict], DataFrame], truth: DataFrame, params: dict, *, k: int = 10, warm: int = 1, rounds: int = 3, weights: dict | None = None, bytes_of: float = 0.0, references: dict | None = None) -> dict:
+    """Build an index, search it ``warm`` times for nothing and ``rounds`` times on the clock, and score it.
+
+    ``search`` gives ``qid, id, rank`` of all queries in one job, so the latency is that of a batch; the objective is the recall
+    times its weight, less the weighted build seconds, 95th percentile of the batch seconds and bytes, each over its reference.
+    """
+    from .search import recall_at
+
+    began = time.perf_counter()
+    index = build(params)
+    built = time.perf_counter() - began
+    for _ in range(warm):
+        search(index, params).count()
+    took = []
+    for _ in range(rounds):
+        began = time.perf_counter()
+        rows = search(index, params).collect()
+        took.append(time.perf_counter() - began)
+    spark = truth.sparkSession
+    found = spark.createDataFrame([(r.qid, r.id, r.rank) for r in rows], f"qid {truth.schema['qid'].dataType.simpleString()}, id {truth.schema['id'].dataType.simpleString()}, rank int")
+    recall = recall_at(found, truth, k).agg(F.avg("recall")).first()[0] or 0.0
+    took.sort()
+    at = lambda q: took[min(len(took) - 1, max(0, math.ceil(q * len(took)) - 1))]
+    w, ref = {"recall": 1.0, "build": 0.0, "latency": 0.0, "memory": 0.0} | (weights or {}), {"build": 60.0, "latency": 1.0, "memory": 1e9} | (references or {})
+    clip = lambda x: min(max(x, 0.0), 1.0)
+    value = w["recall"] * recall - w["build"] * clip(built / ref["build"]) - w["latency"] * clip(at(0.95) / ref["latency"]) - w["memory"] * clip(bytes_of / ref["memory"])
+    return {"params": params, "recall": recall, "build_s": built, "p50_s": at(0.5), "p95_s": at(0.95), "p99_s": at(0.99), "bytes": bytes_of, "objective": value}
+
+
+def apply_trial(build: Callable[[dict], object], history: list[tuple[dict, float]]):
+    """The index of the best trial so far, built anew with its parameters."""
+    if not history:
+        raise ValueError("no trial to apply")
+    return build(max(history, key=lambda h: h[1])[0])
+
+
+def save_trials(history: list[tuple[dict, float]], path: str, spark: SparkSession | None = None) -> None:
+    """Add trials to a study: to a local file, or with ``spark`` to a folder on any file system."""
+    lines = [json.dumps({"params": p, "value": v}) for p, v in history]
+    if spark is not None:
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(path)
+        return
     with open(path, "a", encoding="utf-8") as f:
-        f.writelines(json.dumps({"params": p, "value": v}) + "\n" for p, v in history)
+        f.writelines(x + "\n" for x in lines)
 
 
-def load_trials(path: str) -> list[tuple[dict, float]]:
-    with open(path, encoding="utf-8") as f:
-        return [((d := json.loads(line))["params"], d["value"]) for line in f if line.strip()]
+def load_trials(path: str, spark: SparkSession | None = None) -> list[tuple[dict, float]]:
+    if spark is not None:
+        lines = [r[0] for r in spark.read.text(path).collect()]
+    else:
+        with open(path, encoding="utf-8") as f:
+            lines = f.read().splitlines()
+    return [((d := json.loads(x))["params"], d["value"]) for x in lines if x.strip()]
 
 
 def threshold_sweep(scored: DataFrame, thresholds: list[float], *, value: str = "distance", expected: str = "expected", predicted: str = "predicted", lower_is_better: bool = True) -> DataFrame:
@@ -173,12 +234,52 @@ def threshold_sweep(scored: DataFrame, thresholds: list[float], *, value: str =
     return x.groupBy("threshold").agg(F.avg(F.when(ok, F.col(predicted)).eqNullSafe(F.col(expected)).cast("double")).alias("accuracy"))
 
 
-def index_bytes(kind: str, n: Column, dim: Column, m: Column | None = None, quantizer: str = "none") -> Column:
-    """Estimated memory of an index: its embeddings or codes plus its links or lists."""
-    code = {"none": dim * 4, "fp16": dim * 2, "sq8": dim + 4, "sq4": F.ceil(dim / 2) + 4, "pq": F.greatest(F.floor(dim / 8), F.lit(1)), "bq": F.ceil(dim / 8)}[quantizer]
-    embeddings = n * (code if quantizer == "none" else code + dim * 4)
-    links = {"flat": F.lit(0), "hnsw": n * (m if m is not None else F.lit(16)) * 2 * 4 * F.lit(1.1), "vamana": n * (m if m is not None else F.lit(32)) * 4, "ivf": n * 4}[kind]
-    return (embeddings + links).cast("bigint")
+METRIC_NAMES = {"l2": "EUCLIDEAN", "dot": "DOT_PRODUCT", "cosine": "COSINE", "mip": "MAXIMUM_INNER_PRODUCT"}  # fixed values: the length of the name is stored
+
+
+def code_bytes(quantizer: str, n: Column, dim: Column) -> Column:
+    """Bytes of all codes and of the quantizer's own state, for its default parameters: rows times bytes a row, plus the state."""
+    words = F.ceil(dim / 64)
+    padded, m8, m4 = words * 64, F.greatest(F.floor(dim / 8), F.lit(1)), F.greatest(F.floor(dim / 4), F.lit(1))
+    row, state = {
+        "none": (F.lit(0), F.lit(0)),
+        "fp16": (dim * 2, F.lit(0)),
+        "sq8": (dim + 4, F.lit(24)),
+        "sq4": (F.ceil(dim / 2) + 4, F.lit(24)),
+        "pq": (m8, m8 * 8 + dim * 256 * 4 + dim * 4 + 12),  # 256 centroids and the mean
+        "bq": (words * 8 + 3 * 4, dim * 4),
+        "rabitq": (words * 8 + 5 * 4, dim * 4 + padded * 8),
+        "extended_rabitq": (words * 8 + F.ceil(padded * 4 / 8) + 6 * 4, dim * 4 + padded * 4),
+        "nvq": (dim + m4 * 4 * 4, dim * 4 + m4 * 4),
+        "turboquant": (padded + 4 + words * 8 + 4, dim * 4 + padded * padded * 8),
+    }[quantizer]
+    return n * row + state
+
+
+def routing_bytes(kind: str, n: Column, dim: Column, *, m: int | None = None, lists: int = 16, metric: str = "cosine") -> Column:
+    """Bytes of links or lists; none of an empty index."""
+    if kind == "flat":
+        return F.lit(0)
+    if kind == "hnsw":
+        m = m or 16
+        upper = F.greatest(F.ceil(n / max(1, m - 1)), F.lit(1))  # expected nodes above the lowest layer
+        out = 32 + n * 4 + n * (4 + 8 * m) + upper * (8 + 4 * m)
+    elif kind == "vamana":
+        out = 28 + n * (4 + 4 * (m or 64))
+    else:
+        k = F.least(F.lit(lists), n)
+        centroids = 10 + len(METRIC_NAMES[metric]) + k * (dim * 4 + 12)  # with spill target, size and radius of each
+        out = 9 + centroids + k * 8 + n * 4
+        if kind == "ivf_pq":
+            m8 = F.greatest(F.floor(dim / 8), F.lit(1))
+            out = out + 21 + m8 * 8 + dim * 256 * 4 + n * m8
+    return F.when(n > 0, out).otherwise(0)
+
+
+def index_bytes(kind: str, n: Column, dim: Column, *, m: int | None = None, quantizer: str = "none", lists: int = 16, metric: str = "cosine") -> Column:
+    """Estimated memory of an index of ``kind`` (flat, hnsw, vamana, ivf, ivf_pq): its rows, their codes and its routing. Clustered kinds take no quantizer."""
+    codes = F.lit(0) if quantizer == "none" or kind.startswith("ivf") else F.when(n > 0, code_bytes(quantizer, n, dim)).otherwise(0)
+    return (n * dim * 4 + codes + routing_bytes(kind, n, dim, m=m, lists=lists, metric=metric)).cast("bigint")
 
 
 # -- projections ------------------------------------------------------------------------------------

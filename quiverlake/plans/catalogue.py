@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vecmath as V
-from ..operators import cluster, filters, fusion, graph, ivf, metrics, quant, route, runtime, search, table, text, tune
+from ..operators import cluster, filters, fusion, graph, ivf, metrics, quant, route, runtime, search, serve, table, text, tune
 from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -535,6 +535,32 @@ def graph_filtered_recall(spark, d):
     return reached(mean_recall(graph.search(index, q, 5, width=160, allowed=some.select("id")), search.search_batch(some, q, 5), 5))
 
 
+@query(REACHED)
+def hnsw_coded_recall(spark, d):
+    """Walks over product codes with a wide beam, whose best are ranked exactly."""
+    e, q = emb(spark, d), query_set(spark, d)
+    index = once(spark, d, "hnsw-coded", lambda _: runtime.materialise(graph.build(e, "hnsw", codes=16), "hnsw"))
+    return reached(mean_recall(graph.search(index, q, 10, width=120, coded=8.0), search.search_batch(e, q, 10)))
+
+
+@query(REACHED)
+def hnsw_multi_start_recall(spark, d):
+    e, q = emb(spark, d), query_set(spark, d)
+    index = once(spark, d, "one-hnsw", lambda _: runtime.materialise(graph.build(e, "hnsw"), "hnsw"))
+    return reached(mean_recall(graph.search(index, q, 10, starts=4), search.search_batch(e, q, 10)))
+
+
+@query("SELECT true AS reached, true AS without_dead")
+def hnsw_compacted_recall(spark, d):
+    """The graph after every fifth row was deleted: links of the rest are kept and mended, not built anew."""
+    e, q = emb(spark, d), query_set(spark, d)
+    index = once(spark, d, "one-hnsw", lambda _: runtime.materialise(graph.build(e, "hnsw"), "hnsw"))
+    live = e.where("id % 5 <> 1")
+    found = graph.search(graph.compact(index, e.where("id % 5 = 1").select("id")), q, 10)
+    clean = found.agg(F.min(F.col("id") % 5 != 1).alias("without_dead"))
+    return reached(mean_recall(found, search.search_batch(live, q, 10))).join(clean)
+
+
 # -- fusion, routing, caches ---------------------------------------------------------------------------
 
 TWO = f"""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), qq AS (SELECT id AS list_id, v AS qv FROM e WHERE id IN (0, 1)),
@@ -636,6 +662,68 @@ def memo_hits(spark, d):
     return route.memo_split(c.select("cassette_key", "prompt"), memo, "prompt").select("cassette_key", "hit")
 
 
+@query(knn_sql(COS, f"{COS} >= 0.55 AND (label = 1 OR label = 4) AND NOT (label = 9)"))
+def store_search(spark, d):
+    """A document store's search: least score, and a filter in the form frameworks send."""
+    f = {"op": "AND", "left": {"op": "IN", "key": "label", "value": [1, 4]}, "right": {"op": "NE", "key": "label", "value": 9}}
+    return out(serve.store_search(emb(spark, d), vec(spark, d), 10, threshold=0.55, where=f))
+
+
+@query(f"WITH {E}, c AS (SELECT id, {COS} AS rel FROM e, q ORDER BY rel DESC, id LIMIT 40) SELECT 10 AS n, true AS among_candidates, true AS best_is_first")
+def store_search_diverse(spark, d):
+    """Facts of the re-ranked list: k rows, all among the best 4k, the best one first."""
+    e, v = emb(spark, d), vec(spark, d)
+    got = serve.store_search(e, v, 10, diversity=0.5).withColumn("place", F.monotonically_increasing_id())
+    pool = search.search(e, v, 40).select("id", F.lit(True).alias("known"))
+    j = got.join(pool, "id", "left")
+    return j.agg(F.count("*").cast("int").alias("n"), F.min(F.coalesce("known", F.lit(False))).alias("among_candidates"), (F.max("score") == F.min_by("score", "place")).alias("best_is_first"))
+
+
+@query(knn_sql(COS, "label = 2"))
+def keyed_filter_search(spark, d):
+    return out(serve.keyed_search(emb(spark, d), vec(spark, d), 10, {"__filter__": '{"field": "label", "eq": 2}', "label": 3}))
+
+
+@query(knn_sql(COS))
+def replica_search(spark, d):
+    copies = serve.Replicas([emb(spark, d), emb(spark, d).where("true")])
+    copies.next()
+    return out(copies.search(search.search, vec(spark, d), 10))
+
+
+@query(knn_sql(COS, "label <> 5"))
+def result_cache(spark, d):
+    """A search answered from the cache, the second time."""
+    cache, e, q, f = serve.ResultCache(), emb(spark, d), vec(spark, d), filters.ne("label", 5)
+    cache.search(e, q, 10, where=f)
+    rows = cache.search(e, q, 10, where=f)
+    assert cache.counts["hits"] == 1
+    return out(spark.createDataFrame([(r.id, r.score) for r in rows], "id bigint, score double"))
+
+
+@query("SELECT 'label-' || label AS name, count(*) AS refs FROM embeddings WHERE label IN (1, 2) GROUP BY label")
+def router_names(spark, d):
+    refs = emb(spark, d).select(F.col("id").alias("ref_id"), F.concat(F.lit("label-"), "label").alias("name"), "vector", F.lit(0.75).alias("threshold"))
+    router = serve.Router(refs.where("name in ('label-1', 'label-3')")).with_route(refs.where("name = 'label-2'")).without("label-3")
+    return router.refs.where(F.col("name").isin(router.names())).groupBy("name").agg(F.count("*").alias("refs"))
+
+
+@query("WITH d AS (SELECT doc_id AS id, lang, [x for x in string_split_regex(lower(text), '[^a-z0-9]+') if x <> ''] AS t FROM documents WHERE text IS NOT NULL), h AS (SELECT id, lang, len([x for x in t if x IN ('graph', 'layer')]) AS n FROM d WHERE list_has_all(t, ['graph', 'layer'])), r AS (SELECT id, lang, row_number() OVER (ORDER BY n DESC, id) AS rank FROM h) SELECT id, rank, lang FROM r WHERE rank <= 20")
+def text_hits_joined(spark, d):
+    hits = text.and_search(docs(spark, d), ["graph", "layer"], 20).select("id", "rank")
+    return serve.text_hits_with_rows(hits, t(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang"))
+
+
+@query("SELECT c_custkey, 'c' || c_custkey AS value, c_custkey % 2 = 0 AS hit FROM customer")
+def memo_table(spark, d):
+    """Values made once for each text: those of the second round that the first one made are hits."""
+    memo = serve.MemoTable(table.Collection(spark, f"{runtime.stage_root(spark)}/memo-{uuid.uuid4().hex}", key="text"))
+    texts = t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("text"))
+    make = lambda x: x.select("text", F.concat(F.lit("c"), "text").alias("value"))
+    memo.compute(texts.where("text % 2 = 0"), make)
+    return memo.compute(texts, make).select(F.col("text").cast("bigint").alias("c_custkey"), "value", "hit")
+
+
 # -- ranking quality ------------------------------------------------------------------------------------
 
 RUN = BATCH.format(which="id % 25 = 0", where="id <> qid") + """, run AS (SELECT qid, id AS doc, rank FROM r WHERE rank <= 10),
@@ -832,11 +920,14 @@ def objective_score(spark, d):
     return g.select("trial", r6(tune.objective({"recall": (recall, 0.7), "ndcg": (F.lit(0.9), 0.3)}, {"cost": (F.col("m") * F.col("ef") * 1.0, 0.2, 2048.0)})).alias("objective"))
 
 
-@query("SELECT n, (n * 64 * 4 + 0)::BIGINT AS flat, (n * 64 * 4 + n * 16 * 2 * 4 * 1.1)::BIGINT AS hnsw, (n * (68 + 256) + n * 4)::BIGINT AS ivf_sq8 FROM (SELECT unnest([1000, 100000, 5000000]) AS n)")
+# worked out by hand for 64 dimensions, 16 lists and the metric cosine
+@query("""SELECT * FROM (VALUES (1000, 256000::BIGINT, 396856::BIGINT, 516028::BIGINT, 264441::BIGINT, 338062::BIGINT, 324024::BIGINT, 284768::BIGINT), (100000, 25600000, 39680056, 51600028, 26004441, 26870062, 32400024, 28400768),
+(5000000, 1280000000, 1984000080, 2580000028, 1300004441, 1340070062, 1620000024, 1420000768)) t(n, flat, hnsw, vamana, ivf, ivf_pq, flat_sq8, flat_rabitq)""")
 def index_memory(spark, d):
     df = spark.createDataFrame([(1000,), (100000,), (5000000,)], "n bigint")
     dim, n = F.lit(64).cast("bigint"), F.col("n")
-    return df.select(F.col("n").cast("int").alias("n"), tune.index_bytes("flat", n, dim).alias("flat"), tune.index_bytes("hnsw", n, dim).alias("hnsw"), tune.index_bytes("ivf", n, dim, quantizer="sq8").alias("ivf_sq8"))
+    kinds = {"flat": ("flat", "none"), "hnsw": ("hnsw", "none"), "vamana": ("vamana", "none"), "ivf": ("ivf", "sq8"), "ivf_pq": ("ivf_pq", "none"), "flat_sq8": ("flat", "sq8"), "flat_rabitq": ("flat", "rabitq")}
+    return df.select(F.col("n").cast("int").alias("n"), *[tune.index_bytes(kind, n, dim, quantizer=q).alias(name) for name, (kind, q) in kinds.items()])
 
 
 @query("SELECT vec_id AS id, round(list_sum([x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) for x in embedding::DOUBLE[]]), 6) AS unit_sum FROM embeddings")
