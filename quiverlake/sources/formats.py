@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs  # noqa: F401  (pa.fs in the tasks)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.runtime import stage_root
 from ..operators.text import export_text
 
 JSONL_SCHEMA = "id string, text string, mime string, attrs map<string,string>, precomputedVector array<double>"
@@ -27,20 +31,47 @@ def read_jsonl(spark: SparkSession, path: str, *, on_error: str = "fail", skip:
     else:
         checked = raw.where(~bad)
     out = checked.drop("_bad")
-    return out.offset(skip) if skip else out
+    return _after(out, skip) if skip else out
 
 
-def read_directory(spark: SparkSession, path: str, *, as_text: bool = True) -> DataFrame:
-    """One document per regular file, recursively, dot-files left out: ``id`` is the path below ``path``; ``text`` or ``blob``."""
+def _after(df: DataFrame, skip: int) -> DataFrame:
+    """Leave out the first ``skip`` rows in the order of files. Only one count for each partition is collected; the rows stay where they are."""
+    numbered = df.withColumn("__i", F.monotonically_increasing_id())
+    part, place = F.shiftright("__i", 33), F.col("__i").bitwiseAND((1 << 33) - 1)
+    first, starts = 0, []
+    for r in numbered.groupBy(part.alias("p")).count().orderBy("p").collect():
+        starts.append((r.p, first))
+        first += r["count"]
+    if not starts:
+        return df
+    start = F.element_at(F.create_map(*[F.lit(x) for p in starts for x in p]), part)
+    return numbered.where(start + place >= skip).drop("__i")
+
+
+def read_directory(spark: SparkSession, path: str, *, as_text: bool = True, ordered: bool = True) -> DataFrame:
+    """One document per regular file, recursively, dot-files left out: ``id`` is the path below ``path``; ``text`` or ``blob``.
+
+    Sorted by id as a listing is; for large trees ``ordered=False`` spares the sort.
+    """
     root = os.path.abspath(path).rstrip("/") + "/" if "://" not in path else path.rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     rel = F.regexp_replace(F.substring_index(F.col("path"), root, -1), "^/+", "")
     out = files.select(rel.alias("id"), F.col("content")).where(~F.col("id").rlike(r"(^|/)\."))
-    return out.select("id", F.decode("content", "UTF-8").alias("text") if as_text else F.col("content").alias("blob")).orderBy("id")
+    out = out.select("id", F.decode("content", "UTF-8").alias("text") if as_text else F.col("content").alias("blob"))
+    return out.orderBy("id") if ordered else out
 
 
-def from_iterable(spark: SparkSession, docs, schema: str = JSONL_SCHEMA) -> DataFrame:
-    return spark.createDataFrame(list(docs), schema)
+def from_iterable(spark: SparkSession, docs, schema: str = JSONL_SCHEMA, *, chunk: int = 50_000) -> DataFrame:
+    """Documents of any iterable. They are written in chunks of ``chunk``, so the driver holds one chunk at a time."""
+    source, path = iter(docs), f"{stage_root(spark)}/iterable-{uuid.uuid4().hex}"
+    held = list(itertools.islice(source, chunk))
+    more = list(itertools.islice(source, chunk)) if len(held) == chunk else []
+    if not more:
+        return spark.createDataFrame(held, schema)
+    while held:
+        spark.createDataFrame(held, schema).write.mode("append").parquet(path)
+        held, more = more, list(itertools.islice(source, chunk)) if more else []
+    return spark.read.parquet(path)
 
 
 def _vecs(path_column: str, dtype: str, width: int, out: str):
@@ -100,23 +131,32 @@ ARROW_SCHEMA_COLUMNS = ("id", "vector", "text", "metadata_json")
 
 
 def export_arrow(df: DataFrame, path: str, dim: int, *, rows: int = 1000) -> None:
-    """Arrow IPC streams, one file per partition below ``path`` (a mounted or local folder): id, vector as a
-    fixed-size list, text, metadata_json; batches of ``rows``."""
+    """Arrow IPC streams, one file per partition below ``path``: id, vector as a fixed-size list, text, metadata_json; batches of ``rows``.
+
+    ``path`` is a URI of a file system that every task reaches (``hdfs:``, ``s3:``, ``file:`` on a mount); a bare path only where Spark runs
+    in one process. A file gets its name once it is whole, so a repeated task leaves one.
+    """
+    if "://" not in path and not df.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError("a path without a scheme is local to each executor; give a URI")
     schema = pa.schema([pa.field("id", pa.utf8(), False), pa.field("vector", pa.list_(pa.float32(), dim), False), pa.field("text", pa.utf8()), pa.field("metadata_json", pa.utf8())])
     shaped = df.select(F.col("id").cast("string").alias("id"), F.col("vector").cast("array<float>").alias("vector"), "text", F.to_json("metadata").alias("metadata_json"))
-    os.makedirs(path, exist_ok=True)
+    uri = path if "://" in path else "file://" + os.path.abspath(path)
+    pa.fs.FileSystem.from_uri(uri)[0].create_dir(pa.fs.FileSystem.from_uri(uri)[1], recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        name, n = os.path.join(path, f"part-{TaskContext.get().partitionId():05d}.arrow"), 0
-        with pa.OSFile(name, "wb") as sink, pa.ipc.new_stream(sink, schema) as writer:
+        store, folder = pa.fs.FileSystem.from_uri(uri)
+        name, n = f"{folder}/part-{TaskContext.get().partitionId():05d}.arrow", 0
+        tmp = f"{folder}/.{TaskContext.get().taskAttemptId()}"
+        with store.open_output_stream(tmp) as sink, pa.ipc.new_stream(sink, schema) as writer:
             for b in batches:
                 for at in range(0, b.num_rows, rows):
                     p = b.slice(at, rows)
                     fixed = pa.FixedSizeListArray.from_arrays(p.column("vector").flatten().cast(pa.float32()), dim)
                     writer.write_batch(pa.RecordBatch.from_arrays([p.column("id").cast(pa.utf8()), fixed, p.column("text").cast(pa.utf8()), p.column("metadata_json").cast(pa.utf8())], schema=schema))
                     n += p.num_rows
+        store.move(tmp, name)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n])], ["file", "n"])
 
     shaped.mapInArrow(run, "file string, n bigint").collect()

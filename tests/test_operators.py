@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quiverlake.functions import vecmath as V
-from quiverlake.operators import cluster, components, filters, fusion, graph, metrics, quant, route, search, table, tune
+from quiverlake.operators import serve, cluster, components, filters, fusion, graph, metrics, quant, route, search, table, tune
 
 META = "id string, vector array<float>, color string, size double, active boolean, tags array<string>"
 
@@ -276,3 +276,49 @@ def test_graph_search_refuses_more_allowed_ids_than_it_holds(spark):
     assert graph.search(index, q, 20, allowed=rows.select("id"), most_allowed=20).count() == 20
     with pytest.raises(ValueError, match="allowed"):
         graph.search(index, q, 20, allowed=rows.select("id"), most_allowed=19)
+
+
+def test_framework_filters_and_filter_keys():
+    f = filters.translate({"op": "AND", "left": {"op": "GTE", "key": "year", "value": 2020}, "right": {"op": "NOT", "child": {"op": "NIN", "key": "k", "value": ["a"]}}})
+    assert f == filters.And((filters.gte("year", 2020), filters.Not(filters.Not(filters.isin("k", ["a"])))))
+    for bad in ({"op": "LIKE", "key": "a", "value": 1}, {"op": "EQ", "value": 1}, {"op": "GT", "key": "a", "value": "x"}):
+        with pytest.raises(ValueError):
+            filters.translate(bad)
+    a, b = filters.eq("a", 1), filters.eq("b", 2)
+    assert serve.filter_key(None) == serve.filter_key(filters.All()) == 0
+    assert serve.filter_key(filters.and_(a, b)) == serve.filter_key(filters.and_(a, b)) != serve.filter_key(filters.and_(b, a))
+    assert serve.filter_key(filters.or_(a, b)) != serve.filter_key(filters.and_(a, b))
+
+
+def test_result_cache_gives_second_chances():
+    c = serve.ResultCache(2)
+    k = [c.key([float(i)], 1) for i in range(4)]
+    c.put(k[0], ["a"])
+    c.put(k[1], ["b"])
+    assert c.get(k[0]) == ["a"]
+    c.put(k[2], ["c"])  # 0 was used, so 1 goes
+    assert c.get(k[1]) is None and c.get(k[0]) == ["a"] and c.get(k[2]) == ["c"]
+    assert c.counts == {"hits": 3, "misses": 1, "puts": 3, "evictions": 1}
+
+
+def test_hybrid_falls_back_to_the_leg_that_hit(spark):
+    x = np.eye(4, dtype=np.float32)
+    rows = spark.createDataFrame([(i, x[i].tolist()) for i in range(4)], "id bigint, vector array<float>")
+    text = spark.createDataFrame([(3, 2.0), (1, 1.0)], "id bigint, score double")
+    ids = lambda df: [r.id for r in df.collect()]
+    assert ids(serve.hybrid_or_one(rows, [0.0] * 4, text, 1)) == [3]
+    assert ids(serve.hybrid_or_one(rows, [1.0, 0, 0, 0], text.limit(0), 1)) == [0]
+    assert set(ids(serve.hybrid_or_one(rows, [1.0, 0, 0, 0], text, 4))) == {0, 1, 2, 3}
+    assert serve.hybrid_or_one(rows, None, None, 3).count() == 0
+
+
+def test_studies_tell_and_apply(spark, tmp_path):
+    told = []
+    history = tune.run_study([{"a": 1}, {"a": 3}, {"a": 2}], lambda p: p["a"], listener=told.append)
+    assert [e["event"] for e in told] == ["started", "finished"] * 3
+    assert tune.apply_trial(lambda p: p, history) == {"a": 3}
+    tune.save_trials(history, f"file://{tmp_path}/study", spark)
+    assert sorted(v for _, v in tune.load_trials(f"file://{tmp_path}/study", spark)) == [1, 2, 3]
+    truth = spark.createDataFrame([(0, 1, 1)], "qid int, id int, rank int")
+    got = tune.index_trial(lambda p: truth, lambda index, p: index, truth, {"m": 1}, k=1)
+    assert got["recall"] == 1.0 and got["objective"] == 1.0 and got["p50_s"] <= got["p95_s"]

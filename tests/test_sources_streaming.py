@@ -114,3 +114,35 @@ def test_hdf5_needs_its_library(spark):
     except ImportError:
         with pytest.raises(RuntimeError, match="h5py"):
             formats.read_hdf5(spark, "x.h5")
+
+
+def test_counters_and_feed(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text('{"id": "1", "text": "a"}\n{"id": "2", "text": "b"}')
+    counters, feed = ingest.Counters(), ingest.CommitFeed(1)
+    slow = feed.subscribe("slow")
+
+    def tell(e):
+        counters(e)
+        feed(e)
+        feed(e)
+
+    target = Collection(spark, f"file://{tmp_path}/t")
+    ingest.ingest(ingest.read_jsonl_stream(spark, str(tmp_path / "in")), target, str(tmp_path / "ck"), embed=ingest.hashing_embedder(), listener=tell).awaitTermination()
+    assert (counters.batches, counters.rows, counters.failures) == (1, 2, 0)
+    assert slow.get()["outcome"] == "committed" and feed.subscribers() == []
+
+
+def test_iterables_in_chunks_and_batches_as_row_by_row(spark):
+    docs = [(str(i), "t", None, None, None) for i in range(25)]
+    assert formats.from_iterable(spark, iter(docs), chunk=10).count() == 25
+    rng = np.random.default_rng(3)
+    rows = [(p, i, int(rng.integers(0, 30))) for p in "ab" for i in range(200)]
+    got = {(r.part, r.i): r.batch for r in ingest.batch_numbers(spark.createDataFrame(rows, "part string, i int, n int"), "i", by="part", max_docs=7, max_bytes=60, size=F.col("n")).collect()}
+    for p in "ab":
+        batch = n = total = 0
+        for _, i, size in [r for r in rows if r[0] == p]:
+            assert got[p, i] == batch
+            n, total = n + 1, total + size
+            if n >= 7 or total >= 60:
+                batch, n, total = batch + 1, 0, 0
