@@ -125,6 +125,14 @@ class DenseGroups:
         self.centers = np.array(centers, np.float32)
         self.mix = np.random.default_rng(seed).integers(0, 2**63, sample.shape[1] if sample.ndim > 1 else 0, np.uint64) * np.uint64(2) + np.uint64(1)
 
+    @classmethod
+    def everything(cls, total: int, dim: int, rows: int = 16_384) -> DenseGroups:
+        """One group of all rows: every pair of rows shares a cell, so that the search is exact."""
+        all_rows = cls(np.empty((0, dim)), 0, 1)
+        all_rows.dense, all_rows.centers = -2.0, np.zeros((1, dim), np.float32)
+        all_rows._cut(max(1, -(-total // rows)))
+        return all_rows
+
     def _cut(self, n: int) -> None:
         """Cells of one more group with ``n`` chunks; ``chunks[group][chunk]`` are the cells of a chunk."""
         pairs = [(0, 0)] if n == 1 else [(i, j) for j in range(n) for i in range(j)]
@@ -328,7 +336,7 @@ def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor:
     yield from flush(True)
 
 
-def nearest(embeddings: DataFrame, *, fit: np.ndarray, total: int, dim: int, k: int = 5, floor: float = -1.0, orderings: int = 3, block: int = 2048, rows_per_part: int = 40_000, seed: int = 7) -> DataFrame:
+def nearest(embeddings: DataFrame, *, fit: np.ndarray, total: int, dim: int, k: int = 5, floor: float = -1.0, orderings: int = 3, block: int = 2048, rows_per_part: int = 40_000, seed: int = 7, exact: bool = False) -> DataFrame:
     """The ``k`` most similar other ids of every id: ``id, found: array<struct<s: -cosine, id>>``.
 
     ``embeddings``: ``id string, vec binary`` (float32 bytes), one row per id; ``total``: about how many.
@@ -336,11 +344,13 @@ def nearest(embeddings: DataFrame, *, fit: np.ndarray, total: int, dim: int, k:
     are indexed and searched. ``found`` is sorted by cosine (double precision, 6 decimals) and
     then by id. Others under ``floor`` are not reported, and an id with none is left out.
     Results are approximate: a neighbour is found if it lies within the window of the row
-    in one of the orderings, or in one :class:`DenseGroups` ball with it. Empty input gives an empty result.
+    in one of the orderings, or in one :class:`DenseGroups` ball with it. With ``exact`` every row is compared with every
+    other, in cells spread over the tasks, at a cost that grows with the square of their number. Empty input gives an empty result.
     """
     parts = max(1, -(-total // rows_per_part))
+    orderings = 0 if exact else orderings
     curves = Curves(fit, dim, orderings, parts, seed=seed)
-    groups = DenseGroups(fit, total, 2 * block, places=curves.places)
+    groups = DenseGroups.everything(total, dim) if exact else DenseGroups(fit, total, 2 * block, places=curves.places)
     stretches_n = orderings * parts
     labels = np.array(even_labels(stretches_n + len(groups.cells)), np.int32)
     cells = {int(labels[stretches_n + i]): x for i, x in enumerate(zip(groups.cells, groups.owned))}

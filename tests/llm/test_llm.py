@@ -137,6 +137,17 @@ def test_cells_of_a_dense_group_hold_every_pair_once(rows):
     assert (met == 1).all()
 
 
+def test_nearest_in_full(spark, vector_docs, monkeypatch):
+    monkeypatch.setattr(neighbours.DenseGroups.everything.__func__, "__defaults__", (64,))  # several chunks
+    vs = truth(vector_docs)
+    ids = sorted(vs)
+    m = np.round(np.array([vs[i] for i in ids]) @ np.array([vs[i] for i in ids]).T, 6)
+    np.fill_diagonal(m, -2)
+    want = {i: [ids[j] for j in np.lexsort((ids, -m[a]))[:5]] for a, i in enumerate(ids)}
+    got = {r.id: [f.id for f in r.found] for r in neighbours.nearest_records(vector_docs, exact=True).collect()}
+    assert got == want
+
+
 def test_nearest_floor_pairs_and_empty(spark, vector_docs):
     vs = truth(vector_docs)
     got = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(neighbours.nearest_records(vector_docs, floor=0.84)).collect()}
@@ -157,6 +168,40 @@ def test_groups_equal_brute_force(spark, vector_docs):
     assert {r.cluster_id: r["size"] for r in about} == {g: n for g, n in sizes.items() if n >= 5} and all(len(r.typical) == 3 for r in about)
 
 
+def members(groups):
+    return {r.id: r.cluster_id for r in groups.collect()}
+
+
+def test_groups_in_a_tree_of_cells_cut_again_and_exact(spark, vector_docs, monkeypatch):
+    want = same_groups(truth(vector_docs))
+    sizes = {g: list(want.values()).count(g) for g in want.values()}
+    want = {i: g for i, g in want.items() if sizes[g] >= 5}
+    points = clusters.live_points(vector_docs)
+    assert members(clusters.similarity_groups(points, dim=64, at_least=5, exact=True)) == want
+    assert members(clusters.similarity_groups(points, dim=64, at_least=5, rows_per_cell=150, most_rows=50)) == want
+    tree = clusters.cell_tree(points, dim=64, total=240, rows_per_cell=20, most_flat=4)
+    assert tree.leaves is not None and sum(len(x) for _, x in tree.leaves) >= 8
+    u = unit(np.array([v for v in truth(vector_docs).values()]).astype(np.float32)).astype(np.float32)
+    near = tree.nearest(u, 3)
+    x = np.concatenate([x for _, x in tree.leaves])[np.argsort(np.concatenate([n for n, _ in tree.leaves]))]
+    assert (near[:, 0] == (u @ x.T).argmax(axis=1)).mean() > 0.9
+
+
+def test_lloyd_steps_lower_the_cost(spark, vector_docs):
+    points = clusters.live_points(vector_docs)
+    u = unit(np.array(list(truth(vector_docs).values())).astype(np.float32)).astype(np.float32)
+    cost = [float((1 - (u @ clusters.kmeans_centroids(points, dim=64, k=8, steps=n)[0].T).max(axis=1)).sum()) for n in (0, 3)]
+    assert cost[1] < cost[0]
+
+
+def test_groups_of_texts(spark):
+    rows = [(f"t{i}", f"the quick brown fox jumps over the lazy dog near river {i % 2} {'again ' * (i % 3)}") for i in range(6)] + [("u", "completely different words about bread and butter"), ("e", ""), ("n", None)]
+    points = clusters.text_points(spark.createDataFrame([(*r, "x") for r in rows], "id string, text string, vec string")).cache()
+    assert {r.id for r in points.collect()} == {r[0] for r in rows} - {"e", "n"}
+    got = members(clusters.similarity_groups(points, dim=256, alike=0.5))
+    assert set(got) == {f"t{i}" for i in range(6)} and set(got.values()) == {"t0"}
+
+
 def test_groups_of_nothing(spark, vector_docs):
     points = clusters.live_points(vector_docs.limit(0))
     assert clusters.similarity_groups(points, dim=64).count() == 0
@@ -225,19 +270,33 @@ def test_subset_finds_a_chained_theme_over_all_parts(spark):
     for part_rows in (8, 1000):
         got = subset.varied_subset(hits_frame(spark, rows), sizes, part_rows=part_rows, one_per_theme=True).collect()
         assert sorted((r.qid, r.id) for r in got) == sorted([("few", "h000"), *[(q, i) for q in ("q", "r") for i in want]])
-        assert all(r.leads for r in got)
+        assert sorted(r.place for r in got if r.qid == "q") == [1, 2, 3]
+
+
+@pytest.mark.parametrize("n", [20_000])
+def test_a_large_query_gives_the_same_with_and_without_parts(spark, n):
+    x = grouped_embeddings(11, n, groups=9, noise=0.02)[n // 5 :]
+    score = np.random.default_rng(12).permutation(len(x)) / len(x)
+    hits = spark.createDataFrame([("q", f"h{i:05d}", float(score[i]), x[i].tobytes()) for i in range(len(x))], "qid string, id string, score double, vec binary")
+    sizes = spark.createDataFrame([("q", 9)], "qid string, subset_size int")
+    cut, whole = ({r.id for r in subset.varied_subset(hits, sizes, part_rows=m, one_per_theme=True).collect()} for m in (4096, 100_000))
+    assert cut == whole and len(whole) == 9
+    for m in (4096, 100_000):  # and by determinants alone every theme is shown
+        at = [int(r.id[1:]) for r in subset.varied_subset(hits, sizes, part_rows=m).collect()]
+        s = unit(x[at]) @ unit(x[at]).T
+        assert len(at) == 9 and (s - np.eye(9)).max() < 0.84
 
 
 def test_greedy_map_matches_determinants():
     rng = np.random.default_rng(1)
     u = unit(rng.normal(size=(12, 5)).astype(np.float32))
-    q, theme = rng.uniform(1, 1.2, 12), np.arange(12) // 2
-    chosen = subset.greedy_map(q, u, theme, 4)
-    k = np.outer(q, q) * (0.9 * (theme[:, None] == theme[None]) + 0.1 * (u @ u.T))
+    q = rng.uniform(1, 1.7, 12)
+    k = np.outer(q, q) * ((1 - subset.RIDGE) * (u @ u.T) + subset.RIDGE * np.eye(12))
     picked = []
-    for _ in range(4):
+    for _ in range(8):
         picked.append(max((j for j in range(12) if j not in picked), key=lambda j: np.linalg.det(k[np.ix_([*picked, j], [*picked, j])])))
-    assert chosen == picked
+    assert [j for j, _ in zip(subset.greedy_map(q, u), range(8))] == picked
+    assert sorted(subset.greedy_map(q, u)) == list(range(12))
 
 
 def test_hits_take_the_live_vector(spark):
@@ -353,10 +412,9 @@ def test_a_long_prompt_given_back_with_slips_is_a_copy():
     assert pairs._in_common("abcbdab", "bdcaba") == 4
 
 
-def test_at_most_one_defect():
-    """A refusal that breaks off is a refusal, as the docstring says."""
-    assert pairs.defects("How do I bake bread?", "I cannot help with that because the") == ["refusal"]
-    assert "at most one" in pairs.defects.__doc__
+def test_defects_come_in_the_order_of_the_rules():
+    """The dealt method emits every triggered defect; p6_found takes the first."""
+    assert pairs.defects("How do I bake bread?", "I cannot help with that because the") == ["refusal", "truncated"]
 
 
 def test_session_pairs(spark):
@@ -409,6 +467,80 @@ def test_tokens_column(spark, encoding):
     assert tokens.encode(df.limit(0)).count() == 0
 
 
+# written apart from the tables and the rules; before the folding of Japanese, Korean and Turkish patterns 36 of the 41 were found
+REFUSED = [
+    "I'm sorry, but I can't help with that request.",
+    "I won't be able to assist with this. You should talk to a qualified professional.",
+    'Unfortunately, I am not comfortable providing that information.',
+    "No, I won't write that.",
+    "That's something I must decline.",
+    'Das kann ich leider nicht beantworten.',
+    'Es tut mir leid, dabei kann ich nicht behilflich sein.',
+    'Ich bin nicht befugt, darüber Auskunft zu geben.',
+    'Je suis désolé, mais je ne peux pas vous aider avec cette demande.',
+    "Il m'est impossible de répondre à cette question.",
+    'Je regrette, nous ne pouvons pas traiter cette demande.',
+    'Lo siento, pero no puedo ayudarte con eso.',
+    'No me es posible proporcionar esa información.',
+    'No estoy autorizada a responder a esa pregunta.',
+    'Desculpe, mas não posso ajudar com isso.',
+    'Infelizmente não consigo responder a essa pergunta.',
+    'Tenho de recusar este pedido.',
+    'Mi dispiace, ma non posso aiutarti con questa richiesta.',
+    'Non sono in grado di rispondere a questa domanda.',
+    'Devo rifiutare questa richiesta.',
+    'Sorry, daar kan ik je niet mee helpen.',
+    'Ik mag deze vraag niet beantwoorden.',
+    'Het spijt me, ik kan geen antwoord geven op deze vraag.',
+    'К сожалению, я не могу помочь с этим запросом.',
+    'Извините, но я не могу ответить на этот вопрос.',
+    'Я вынужден отказаться от ответа.',
+    '申し訳ありませんが、そのご質問にはお答えできません。',
+    'すみません、その件については回答を控えさせていただきます。',
+    '恐れ入りますが、お手伝いできません。',
+    'Przykro mi, ale nie mogę pomóc w tej sprawie.',
+    'Niestety nie jestem w stanie odpowiedzieć na to pytanie.',
+    'Muszę odmówić odpowiedzi.',
+    '抱歉，我无法回答这个问题。',
+    '对不起，我不能提供这方面的帮助。',
+    '很抱歉，我只能拒绝这个请求。',
+    'Tyvärr kan jag inte hjälpa till med det.',
+    'Jag måste avböja den här frågan.',
+    '죄송하지만 그 요청은 도와드릴 수 없습니다.',
+    '죄송합니다. 그 질문에는 답변할 수 없습니다.',
+    'عذرًا، لا أستطيع مساعدتك في هذا الطلب.',
+    'Üzgünüm, bu konuda yardımcı olamam.',
+]
+ANSWERED = [
+    "You can't reset the counter from the menu, but a restart clears it.",
+    "I'm sorry for the delay. The invoice was sent on Monday.",
+    "The server won't start because the port is taken.",
+    'Der Zug kann heute nicht fahren, weil die Strecke gesperrt ist.',
+    "Le magasin n'ouvre pas le dimanche.",
+    'No hay trenes después de las once.',
+    'Il negozio non apre prima delle nove.',
+    'De winkel is vandaag niet open.',
+    'Магазин не работает по воскресеньям.',
+    'この店は日曜日には開いていません。',
+    'Nie ma pociągu po północy.',
+    '这家商店星期天不营业。',
+    'Butiken är inte öppen på söndagar.',
+    '이 가게는 일요일에 열지 않습니다.',
+    'O comboio não chega antes das dez.',
+]
+
+
+def test_refusals_in_other_languages():
+    assert [r for r in REFUSED if pairs.is_refusal(r)] == REFUSED
+    assert [a for a in ANSWERED if pairs.is_refusal(a)] == []
+
+
+def test_every_triggered_defect():
+    assert pairs.defects("Pourquoi le serveur est-il lent ?", "Je suis désolé, je ne peux pas vous aider avec") == ["refusal", "truncated"]
+    assert pairs.defects("Why does the old server need so long to answer?", "Es tut mir leid, dabei kann ich nicht helfen.") == ["refusal", "other_language"]
+    assert pairs.defects("x", None) == ["empty"]
+
+
 # -- leaks ------------------------------------------------------------------------------------------------------
 
 def test_words():
