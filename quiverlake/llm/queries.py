@@ -123,6 +123,27 @@ p AS (SELECT qid, id, round(sum(CASE WHEN score IS NULL THEN 0 ELSE (ns + 1 + id
 SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY points DESC, id) AS place FROM p) JOIN t USING (qid) WHERE place <= n"""
 
 
+_USABLE = "len([x for x in v if isfinite(x)]) = 64 AND len(v) = 64 AND list_max([abs(x) for x in v]) > 0"
+_LIVE = f"""live AS (SELECT id, precomputed_vector::DOUBLE[] AS v FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY received_at DESC NULLS LAST, batch_no DESC NULLS LAST) AS r FROM ingest_docs WHERE id IS NOT NULL) WHERE r = 1),
+u AS (SELECT id, v FROM live WHERE {_USABLE})"""
+
+P1_SQL = f"""WITH RECURSIVE {_LIVE}, k AS (SELECT qid, max(subset_size) AS k FROM search_queries WHERE subset_size > 0 GROUP BY qid),
+h AS (SELECT qid, id, score, vector AS v FROM (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY vector IS NOT NULL DESC, s DESC NULLS LAST) AS r FROM
+(SELECT qid, id, CASE WHEN isnan(score) THEN NULL ELSE score END AS s, CASE WHEN isnan(score) THEN NULL ELSE score END AS score, vector::DOUBLE[] AS vector FROM search_hits WHERE qid IS NOT NULL AND id IS NOT NULL)) WHERE r = 1),
+f AS (SELECT qid, id, score, v FROM (SELECT h.qid, h.id, h.score, coalesce(h.v, live.v) AS v FROM h JOIN k USING (qid) LEFT JOIN live USING (id)) WHERE {_USABLE}),
+e AS (SELECT a.qid, a.id AS a, b.id AS b FROM f a JOIN f b ON a.qid = b.qid AND a.id <> b.id WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.84),
+r(qid, id, root) AS (SELECT qid, id, id FROM f UNION SELECT r.qid, e.b, r.root FROM r JOIN e ON e.qid = r.qid AND e.a = r.id WHERE r.root < e.b),
+t AS (SELECT qid, id, min(root) AS root FROM r GROUP BY qid, id)
+SELECT qid, id FROM (SELECT t.qid, t.id, row_number() OVER (PARTITION BY t.qid, t.root ORDER BY score DESC NULLS LAST, t.id) AS n FROM t JOIN f ON f.qid = t.qid AND f.id = t.id) WHERE n = 1"""
+
+P3_SQL = f"""WITH RECURSIVE {_LIVE}, e AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.84),
+r(id, root) AS (SELECT id, id FROM u UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b), t AS (SELECT id, min(root) AS cluster_id FROM r GROUP BY id)
+SELECT cluster_id, id FROM t WHERE cluster_id IN (SELECT cluster_id FROM t GROUP BY cluster_id HAVING count(*) >= 5)"""
+
+P5_SQL = f"""WITH {_LIVE}, c AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM u a JOIN u b ON a.id <> b.id WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.84),
+n AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM c) WHERE r <= 5) SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM n"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the whole query; the others are tested against brute force in tests/llm."""
-    return {"p2_found": P2_SQL, "p4_found": P4_SQL}
+    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
