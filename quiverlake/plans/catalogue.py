@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vecmath as V
 from ..operators import cluster, filters, fusion, graph, ivf, metrics, quant, route, runtime, search, serve, table, text, tune
+from ..sources import formats
 from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -645,6 +646,36 @@ def semantic_cache_hit(spark, d):
     return route.cache_lookup(e.where("id % 2 = 0"), q, threshold=0.75).withColumn("score", r6("score"))
 
 
+SPLIT = ("vec_id < 40", "vec_id >= 40 AND vec_id % 10 = 0"), ("vec_id % 20 <> 0", "vec_id % 20 = 0")
+
+
+def _all_routes(spark, d):
+    """Routes of all rows but the queries, which are every id divisible by 20."""
+    named = emb(spark, d).withColumn("name", F.concat(F.lit("label-"), "label"))
+    refs = named.where("id % 20 <> 0").select(F.col("id").alias("ref_id"), "name", "vector", F.lit(0.75).alias("threshold"))
+    return refs, named.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("qvec"), F.col("name").alias("expected"))
+
+
+def _all_sql(name: str) -> str:
+    (a, b), (x, y) = SPLIT
+    assert a in SQL[name] and b in SQL[name]
+    return SQL[name].replace(b, y).replace(a, x)
+
+
+@query(_all_sql("semantic_route"))
+def semantic_route_all(spark, d):
+    refs, q = _all_routes(spark, d)
+    return route.route(refs, q).withColumn("distance", r6("distance"))
+
+
+@query(_all_sql("threshold_sweep"))
+def threshold_sweep_all(spark, d):
+    refs, q = _all_routes(spark, d)
+    best = search.search_batch(refs, q, 1, id_col="ref_id").join(refs.select(F.col("ref_id").alias("id"), F.col("name").alias("predicted")), "id")
+    scored = best.join(q.select("qid", "expected"), "qid").select(F.round(2 - 2 * F.col("score"), 9).alias("distance"), "expected", "predicted")
+    return tune.threshold_sweep(scored, [0.3, 0.5, 0.7, 0.9]).withColumn("accuracy", r6("accuracy"))
+
+
 _REFUSED = " OR ".join("lower(response_text) LIKE '%" + p.replace("'", "''") + "%'" for p in route.REFUSAL_PHRASES)
 
 
@@ -741,8 +772,7 @@ def _run(spark, d, which):
 
 @query(RUN + "SELECT qid, round(ndcg, 6) AS ndcg, round(recall, 6) AS recall, round(precision, 6) AS precision, round(f1, 6) AS f1, round(rr, 6) AS rr FROM f")
 def metrics_per_query(spark, d, which="id % 25 = 0"):
-    qrels = metrics.qrels_from_labels(emb(spark, d), emb(spark, d).where(which).select(F.col("id").alias("qid")))
-    return metrics.per_query(_run(spark, d, which), qrels, 10).select("qid", *[r6(c).alias(c) for c in ("ndcg", "recall", "precision", "f1", "rr")])
+    return metrics.per_query_by_label(_run(spark, d, which), emb(spark, d), 10).select("qid", *[r6(c).alias(c) for c in ("ndcg", "recall", "precision", "f1", "rr")])
 
 
 @query(RUN + "SELECT round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(f1), 6) AS f1, round(avg(rr), 6) AS mrr FROM f")
@@ -902,6 +932,85 @@ def reservoir_sample(spark, d):
     return _sample_facts(table.reservoir(c, 100), c, "c_custkey")
 
 
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 2 = 0 AND NOT c_acctbal < 0 UNION ALL SELECT c_custkey, upper(c_name), c_acctbal + 1 FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 2 = 1 AND NOT c_acctbal + 1 < 0")
+def collection_lifecycle(spark, d):
+    """A collection after an add, an upsert, deletions by id and by filter, a compaction and a recovery."""
+    c = table.Collection(spark, f"{runtime.stage_root(spark)}/life-{uuid.uuid4().hex}", key="c_custkey", max_deltas=2)
+    rows = cust(spark, d)
+    c.add(rows)
+    c.upsert(rows.where("c_custkey % 2 = 1").select("c_custkey", F.upper("c_name").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal")))
+    c.delete(rows.where("c_custkey % 3 = 0").select("c_custkey"))
+    c.delete_where(filters.lt("c_acctbal", 0))
+    c.compact()
+    c.recover()
+    return c.read()
+
+
+@query("SELECT count(*) AS n, true AS spread FROM customer WHERE c_custkey % 5 <> 0")
+def sharded_collection(spark, d):
+    """Rows routed to three shards by the hash ring, some deleted again."""
+    s = table.ShardedCollection(spark, f"{runtime.stage_root(spark)}/shards-{uuid.uuid4().hex}", 3, key="c_custkey")
+    s.upsert(cust(spark, d))
+    s.delete(cust(spark, d).where("c_custkey % 5 = 0").select("c_custkey"))
+    return s.read().agg(F.count("*").alias("n"), (F.countDistinct("shard") == 3).alias("spread"))
+
+
+@query(f"WITH {E}, u AS (SELECT * FROM e WHERE id % 50 <> 7 UNION ALL SELECT id, [-x for x in v], label FROM e WHERE id % 50 = 7), s AS (SELECT id, -{D2} AS score FROM u, q) SELECT 0::BIGINT AS qid, id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT 10")
+def ivf_with_log(spark, d):
+    """The stored index and the rows of a log that it does not hold yet."""
+    log, e = table.WriteAheadLog(spark, f"{runtime.stage_root(spark)}/log-{uuid.uuid4().hex}"), emb(spark, d)
+    log.append(e.where("id % 50 = 7").select("id", F.transform("vector", lambda x: -x).alias("vector")))
+    return ivf.search_with_log(stored_ivf(spark, d), log, query_set(spark, d, "id = 0"), 10, nprobe=16).select("qid", "id", r6("score").alias("score"))
+
+
+@query("SELECT count(DISTINCT id) AS n FROM ingest_docs WHERE id IS NOT NULL")
+def stream_ingest(spark, d):
+    """The ids that a stream over all records leaves in the side table."""
+    raw, root = t(spark, d, "ingest_docs"), f"{runtime.stage_root(spark)}/stream-{uuid.uuid4().hex}"
+    fs, path = runtime._hadoop_path(spark, f"{d}/ingest_docs.parquet")
+    files = spark.readStream.schema(raw.schema)
+    # a stream watches a folder; a table of one file is that file of its folder
+    files = files.parquet(str(path)) if fs.getFileStatus(path).isDirectory() else files.option("pathGlobFilter", "ingest_docs.parquet").parquet(d)
+    stream = files.select("id", "text", F.lit(None).cast("binary").alias("blob"), "mime", "attrs", F.col("precomputed_vector").alias("precomputedVector"))
+    side = table.Collection(spark, f"{root}/side")
+    ingest.ingest(stream, table.Collection(spark, f"{root}/rows"), f"{root}/checkpoint", side=side).awaitTermination()
+    return side.read().agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT id, [CAST(floor(x * 127 / list_max([abs(y) for y in v]) + 0.5) AS INTEGER) for x in v] AS c FROM e), q AS (SELECT c AS qc FROM m WHERE id = 0)
+SELECT id, round(0.5 + list_dot_product(c::DOUBLE[], qc::DOUBLE[]) / (2.0 * 64 * 127 * 127), 6) AS score FROM m, q""")
+def byte_dot_scores(spark, d):
+    codes = emb(spark, d).select("id", V.int8_max_abs(F.col("vector")).alias("c"))
+    q = codes.where("id = 0").first().c
+    return codes.select("id", r6(V.byte_dot_score(F.col("c"), F.array(*[F.lit(x) for x in q]))).alias("score"))
+
+
+@query("SELECT id, mime, NULL::VARCHAR AS text FROM ingest_docs")
+def projected_rows(spark, d):
+    """Rows without their texts, which the scan then does not read."""
+    return table.project(t(spark, d, "ingest_docs").select("id", "mime", "text"), text=False)
+
+
+@query(f"{_CUST} WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey + 10000000, c_name, c_acctbal FROM customer WHERE c_custkey % 2 = 0")
+def unique_insert(spark, d):
+    even = cust(spark, d).where("c_custkey % 2 = 0")
+    return table.insert_unique(even, even.withColumn("c_custkey", F.col("c_custkey") + 10000000).select("c_custkey", "c_name", "c_acctbal"), "c_custkey")
+
+
+@query("SELECT count(*) * 64 * 4 AS n_bytes FROM embeddings")
+def exported_matrix_bytes(spark, d):
+    return formats.matrix_bytes(emb(spark, d)).agg(F.sum(F.octet_length("bytes")).alias("n_bytes"))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS id, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+def arrow_round_trip(spark, d):
+    """All rows written as Arrow streams and read back."""
+    path = f"{runtime.stage_root(spark)}/arrow-{uuid.uuid4().hex}"
+    e = emb(spark, d).select("id", "vector", F.lit(None).cast("string").alias("text"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"))
+    formats.export_arrow(e, path, 64)
+    return formats.read_arrow(spark, path).select("id", F.round(V.total(F.col("vector")), 4).alias("total"))
+
+
 # -- tuning, projections, batches -----------------------------------------------------------------------------
 
 AXES = [tune.Choice("m", (8, 16, 32)), tune.Choice("ef", (64, 128)), tune.Choice("quantizer", ("none", "sq8"))]
