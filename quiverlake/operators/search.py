@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vecmath as V
 from . import filters
+from .runtime import materialise
 
 QUERIES_PER_PASS = 4096
 
@@ -58,7 +59,8 @@ def search_batch(corpus: DataFrame, queries: DataFrame, k: int, *, metric: str =
     """Exact kNN of many queries: ``qid, id, score, rank``.
 
     The queries are taken in passes of ``queries_per_pass``, the only thing sent to every task, so
-    what is broadcast is bounded; each pass scans the corpus once. A task keeps its k best rows
+    what is broadcast is bounded; each pass scans the corpus once. More than one pass are written one after
+    another, and the queries of one are released before the next. A task keeps its k best rows
     of a query, and a window over those takes the k best of all. Rows and queries without a usable
     vector are left out; ties go to the smaller id; a repeated query id is answered once.
     """
@@ -109,41 +111,58 @@ def search_batch(corpus: DataFrame, queries: DataFrame, k: int, *, metric: str =
         from pyspark.sql.types import _parse_datatype_string
 
         _target = to_arrow_schema(_parse_datatype_string(schema))
-        return spread.mapInArrow(score, schema)
+        return spread.mapInArrow(score, schema), sent
 
-    passes, batch = [], []
     few = rows.limit(queries_per_pass + 1).toArrow().combine_chunks()
     if few.num_rows and few.num_rows <= queries_per_pass and len(set(pa.compute.list_value_length(few.column("v")).to_pylist())) == 1:
         m = few.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(few.num_rows, -1)
-        return rank_by(one(list(zip(few.column("q").to_pylist(), m))), ["qid"], "score", "id", k)
+        return rank_by(one(list(zip(few.column("q").to_pylist(), m)))[0], ["qid"], "score", "id", k)
+    done, batch = [], []
+
+    def write():
+        found, sent = one(batch)
+        done.append(materialise(found, "pass"))
+        sent.destroy()
+
     for r in rows.toLocalIterator():
         if batch and (len(batch) == queries_per_pass or len(r.v) != len(batch[0][1])):
-            passes.append(one(batch))
+            write()
             batch = []
         batch.append((r.q, r.v))
     if batch:
-        passes.append(one(batch))
-    if not passes:
+        write()
+    if not done:
         return corpus.sparkSession.createDataFrame([], schema + ", rank int")
-    found = passes[0]
-    for p in passes[1:]:
+    found = done[0]
+    for p in done[1:]:
         found = found.unionByName(p)
     return rank_by(found, ["qid"], "score", "id", k)
 
 
-def top_entries(s: np.ndarray, k: int, floor: np.ndarray, group: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def top_entries(s: np.ndarray, k: int, floor: np.ndarray, size: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the entries that can be among the ``k`` largest of their row and reach the row's ``floor``.
 
-    The k-th largest of the maxima of groups of columns is a lower bound of the k-th entry.
+    The k-th largest of the maxima of groups of columns is a lower bound of the k-th entry. A group is every ``n``-th column,
+    so that maxima are taken along whole rows of memory, and only groups that reach the bound are looked at again.
     """
     n, w = s.shape
-    bound = floor
-    if w >= group * (k + 1):
-        whole = w // group * group
-        tops = s[:, :whole].reshape(n, whole // group, group).max(axis=2)
-        bound = np.maximum(floor, np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k])
-    flat = np.flatnonzero((s >= bound[:, None]) & (s > -np.inf))
-    return flat // w, flat % w
+    groups = w // size
+    if groups <= k:
+        return np.nonzero((s >= floor[:, None]) & (s > -np.inf))
+    whole = groups * size
+    tops = s[:, :whole].reshape(n, size, groups).max(axis=1)
+    some = np.flatnonzero(tops.max(axis=1) >= floor)
+    tops = tops[some]
+    bound = np.maximum(floor[some], np.partition(tops, groups - k, axis=1)[:, groups - k])
+    r, g = np.nonzero(tops >= bound[:, None])
+    rows, columns = some[r], g[:, None] + np.arange(size) * groups
+    v = s[rows[:, None], columns]
+    p, q = np.nonzero((v >= bound[r][:, None]) & (v > -np.inf))
+    rows, columns = rows[p], columns[p, q]
+    if whole < w:
+        i, j = np.nonzero((s[:, whole:] >= floor[:, None]) & (s[:, whole:] > -np.inf))
+        rows, columns = np.concatenate([rows, i]), np.concatenate([columns, j + whole])
+    return rows, columns
 
 
 def _keep_best(rows, ids, scores, k):
