@@ -189,22 +189,30 @@ def even_labels(n: int) -> list[int]:
     return out
 
 
-def _block_candidates(s: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of each row of ``s`` that can be among its ``k`` largest and reach ``floor``.
+def _block_candidates(s: np.ndarray, k: int, floor: float, axis: int = 1, size: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of each row (``axis`` 1) or column (0) of ``s`` that can be among its ``k`` largest and reach ``floor``: (line, place in it).
 
-    The k-th largest of the maxima of groups of columns is a lower bound of the k-th entry.
+    The k-th largest of the maxima of groups of entries is a lower bound of the k-th entry. A group is every ``n``-th entry, so
+    that maxima are taken along whole rows of memory, and only groups that reach the bound are looked at again.
     """
-    m, w = s.shape
-    size = 16
-    if w >= size * (k + 1):
-        whole = w // size * size
-        tops = s[:, :whole].reshape(m, whole // size, size).max(axis=2)
-        bound = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k]
-        bound = np.maximum(bound - 2e-6, floor)
-    else:
-        bound = np.full(m, floor, s.dtype)
-    flat = np.flatnonzero(s >= bound[:, None])
-    return flat // w, flat % w
+    n, w = s.shape if axis == 1 else s.shape[::-1]
+    groups = w // size
+    if groups <= k:
+        i, j = np.nonzero(s >= floor)
+        return (i, j) if axis == 1 else (j, i)
+    whole = groups * size
+    tops = s[:, :whole].reshape(n, size, groups).max(axis=1) if axis == 1 else s[:whole].reshape(size, groups, n).max(axis=0).T
+    some = np.flatnonzero((tops >= floor).any(axis=1))
+    tops = tops[some]
+    bound = np.maximum(np.partition(tops, groups - k, axis=1)[:, groups - k] - np.float32(2e-6), floor)
+    r, g = np.nonzero(tops >= bound[:, None])
+    lines, places = some[r], g[:, None] + np.arange(size) * groups
+    p, q = np.nonzero((s[lines[:, None], places] if axis == 1 else s[places, lines[:, None]]) >= bound[r][:, None])
+    out = lines[p], places[p, q]
+    if whole < w:
+        i, j = np.nonzero(s[:, whole:] >= floor) if axis == 1 else np.nonzero(s[whole:].T >= floor)
+        out = np.concatenate([out[0], i]), np.concatenate([out[1], j + whole])
+    return out
 
 
 def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor: float, block: int, reach: int = 8, dense: float = 0.84, cells: dict[int, tuple[int, set[int]]] | None = None, centers: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
@@ -243,8 +251,8 @@ def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor:
         s = a["f"] @ b["f"].T
         if own:
             np.fill_diagonal(s, -2)
-        for left, right, m in ((a, b, s),) if own else ((a, b, s), (b, a, np.ascontiguousarray(s.T))):
-            i, j = _block_candidates(m, k, low)
+        for left, right, axis in ((a, b, 1),) if own else ((a, b, 1), (b, a, 0)):
+            i, j = _block_candidates(s, k, low, axis)
             if len(i):
                 left["got"].append((i, right["ids"][j], np.einsum("ij,ij->i", left["u"][i], right["u"][j])))
 
