@@ -114,11 +114,12 @@ def _draw(points: DataFrame, centers: np.ndarray | None, want: int, dim: int, se
     total is needed; a task passes on its ``want`` smallest. u is a hash of the record's id, so
     a lost task draws the same records again.
     """
+    hashed = points.select("vec", F.xxhash64("id", F.lit(seed)).alias("h"))
 
     def pick(batches):
         keys, vecs = np.empty(0), np.empty((0, dim), np.float32)
         for part, u in _each(batches, dim):
-            h = (pc_hash(part.column("id"), seed) + 0.5) / 2.0**32
+            h = ((part.column("h").to_numpy() >> 11 & (1 << 53) - 1) + 0.5) / 2.0**53
             d2 = np.ones(len(u)) if centers is None else np.maximum(2 - 2 * _best(u, centers, 1)[1][:, 0], 1e-9)
             key = -np.log(h) / d2
             keys, vecs = np.concatenate([keys, key]), np.vstack([vecs, u])
@@ -128,14 +129,10 @@ def _draw(points: DataFrame, centers: np.ndarray | None, want: int, dim: int, se
         if len(keys):
             yield pa.RecordBatch.from_arrays([pa.array(keys), to_binary(np.ascontiguousarray(vecs))], ["key", "vec"])
 
-    got = points.mapInArrow(pick, "key double, vec binary").orderBy("key").limit(want).toArrow()
+    got = hashed.mapInArrow(pick, "key double, vec binary").orderBy("key").limit(want).toArrow()
     return from_binary(got.column("vec"), dim).copy()
 
 
-def pc_hash(ids: pa.Array, seed: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(str(i).encode(), seed) for i in ids.to_pylist()), np.int64, len(ids))
-
-
 def _sums(points: DataFrame, centers: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Count and mean direction of the records nearest to each center, summed in two levels."""
     k = len(centers)
@@ -347,28 +344,36 @@ def link_cell(u: np.ndarray, alike: float, rng: np.random.Generator) -> np.ndarr
             adj |= adj.T
         _expand(adj, labels, left)
         return labels
-    # many small groups: block-wise union-find
-    parent = np.arange(len(left))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    # many small groups: compared in blocks, linked as arrays
+    roots = np.arange(len(left))
     for i in range(0, len(left), 2048):
         for j in range(i, len(left), 2048):
             s = f[left[i : i + 2048]] @ f[left[j : j + 2048]].T
             a, b = np.nonzero(s >= floor - 1e-5)
-            for x, y in zip(a + i, b + j):
-                if x < y and (s[x - i, y - j] >= floor + 1e-5 or u[left[x]] @ u[left[y]] >= floor):
-                    rx, ry = root(x), root(y)
-                    if rx != ry:
-                        parent[max(rx, ry)] = min(rx, ry)
-    labels[left] = left[[root(i) for i in range(len(left))]]
+            close = np.flatnonzero(s[a, b] < floor + 1e-5)
+            a, b = a + i, b + j
+            if len(close):
+                keep = np.ones(len(a), bool)
+                keep[close] = np.einsum("ij,ij->i", u[left[a[close]]], u[left[b[close]]]) >= floor
+                a, b = a[keep], b[keep]
+            _link(roots, a, b)
+    labels[left] = left[roots]
     return labels
 
 
+def _link(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Unite the groups of rows ``a`` with those of ``b``, pair by pair; ``roots`` holds the smallest row of each group."""
+    while True:
+        x, y = roots[a], roots[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(roots, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (roots[roots] != roots).any():
+            roots[:] = roots[roots]
+
+
 def _steps(n: int):
     at, width = 0, 128
     while at < n:

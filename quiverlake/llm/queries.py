@@ -85,8 +85,10 @@ def p6_defects(spark: SparkSession, d: str) -> DataFrame:
     return pairs.flag_pairs(calls.unionByName(chats))
 
 
-def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode(table(spark, d, "documents").select("doc_id", "text"))
+def p7_ids(spark: SparkSession, d: str, vocabulary: str | None = None) -> DataFrame:
+    """``vocabulary``: the path of the vocabulary's file on the driver; default ``spark.quiverlake.vocabulary``, else where the box has it."""
+    path = vocabulary or spark.conf.get("spark.quiverlake.vocabulary", tokens.VOCABULARY)
+    return tokens.encode(table(spark, d, "documents").select("doc_id", "text"), vocabulary=path)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

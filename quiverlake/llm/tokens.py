@@ -87,6 +87,33 @@ class PairTable:
         return done
 
 
+class WordIds:
+    """Ids of the words met so far, one after another in one array; texts are put together from places in it."""
+
+    def __init__(self, pairs: PairTable):
+        self.pairs, self.number = pairs, {}
+        self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def of_texts(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """``(offsets, ids)`` of the texts, given as words."""
+        if len(self.number) > CACHED_WORDS:
+            self.__init__(self.pairs)
+        new = sorted({w for t in texts for w in t}.difference(self.number))
+        if new:
+            found = self.pairs.encode_words([w.encode("utf-8", "replace") for w in new])
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            length = np.fromiter(map(len, found), np.int64, len(found))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
+            self.length = np.concatenate([self.length, length])
+            self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.int32, int(length.sum()))])
+        counts = np.fromiter(map(len, texts), np.int64, len(texts))
+        at = np.fromiter((self.number[w] for t in texts for w in t), np.int64, int(counts.sum()))
+        length = self.length[at]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        ids = self.flat[np.repeat(self.start[at] - ends[:-1], length) + np.arange(ends[-1])]
+        return ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32), ids
+
+
 def encode(df: DataFrame, *, text_col: str = "text", out_col: str = "ids", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """All columns of ``df`` without ``text_col``, plus ``out_col``: array<int>, the ids of the whole text.
 
@@ -98,19 +125,11 @@ def encode(df: DataFrame, *, text_col: str = "text", out_col: str = "ids", vocab
     rest = [c for c in df.columns if c not in (text_col, out_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, pairs, known = regex.compile(pattern).findall, table.value, {}
+        find, known = regex.compile(pattern).findall, WordIds(table.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                pieces = [find(t) if t else [] for t in b.column("__text").to_pylist()]
-                if len(known) > CACHED_WORDS:
-                    known = {}
-                new = list({w for p in pieces for w in p if w not in known})
-                if new:
-                    known.update(zip(new, pairs.encode_words([w.encode("utf-8", "replace") for w in new])))
-                ids = [[i for w in p for i in known[w]] for p in pieces]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                flat = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
+                offsets, flat = known.of_texts([find(t) if t else [] for t in b.column("__text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*rest, out_col])
 
     schema = df.select(*rest).schema.add(out_col, T.ArrayType(T.IntegerType()))
