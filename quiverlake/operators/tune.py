@@ -95,6 +95,7 @@ class TreeParzen:
     among the best ``gamma`` of the trials and the rest is largest."""
 
     axes: list
+    # fixed values: the usual defaults of such samplers, which results must share
     startup: int = 10
     candidates: int = 24
     gamma: float = 0.25
@@ -299,4 +300,5 @@ def pca_projection(df: DataFrame, dims: int = 2, *, vec_col: str = "vector") ->
 
 def recommend_projection(n: Column, dim: Column, sparsity: Column) -> Column:
     """Which projection suits a dataset: PCA where dimensions outweigh rows, for sparse or large data; t-SNE under 5,000 rows; UMAP up to 100,000."""
+    # fixed values: where one projection gives way to the next
     return F.when((dim > 4 * n) | (sparsity > 0.8), "pca").when(n < 5_000, "tsne").when(n <= 100_000, "umap").otherwise("pca")
