@@ -74,30 +74,57 @@ def from_iterable(spark: SparkSession, docs, schema: str = JSONL_SCHEMA, *, chun
     return spark.read.parquet(path)
 
 
-def _vecs(path_column: str, dtype: str, width: int, out: str):
+VECS = {"f": ("<f4", 4, "float"), "i": ("<i4", 4, "int"), "b": ("u1", 1, "float")}  # fixed values: element type and width by the suffix's first letter
+
+
+def _store(path: str):
+    """File system and path of a URI; a bare path is local."""
+    return pa.fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))
+
+
+def read_vecs(spark: SparkSession, path: str, *, chunk_bytes: int = 32 << 20) -> DataFrame:
+    """fvecs, ivecs or bvecs by suffix, a file or a folder of them: ``row bigint, vector``; ``row`` counts within a file.
+
+    A file is read in ranges of about ``chunk_bytes`` by as many tasks; the driver reads only each file's first four bytes.
+    """
+    store, at = _store(path)
+    info = store.get_file_info(at)
+    files = [f for f in store.get_file_info(pa.fs.FileSelector(at, recursive=True)) if f.is_file] if info.type == pa.fs.FileType.Directory else [info]
+    kind = files[0].path.rsplit(".", 1)[-1][:1] if files else "f"
+    dtype, width, out = VECS[kind]
+    scheme = path.split("://")[0] + "://" if "://" in path else "file://"
+    authority = path.split("://")[1].split("/")[0] if "://" in path and not path.startswith("file:") else ""
+    ranges = []
+    for f in sorted(files, key=lambda f: f.path):
+        if not f.size:
+            continue
+        with store.open_input_file(f.path) as source:
+            (dim,) = struct.unpack("<i", source.read(4))
+        row = 4 + dim * width
+        if dim <= 0 or f.size % row:
+            raise ValueError(f"{f.path}: no whole number of {dim}-dimensional rows")
+        step = max(1, chunk_bytes // row)
+        name = f.path if authority and f.path.startswith(authority) else f"{authority}{f.path}"
+        ranges += [(scheme + name, i, min(step, f.size // row - i), dim) for i in range(0, f.size // row, step)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, blob in zip(b.column(path_column).to_pylist(), b.column("content").to_pylist()):
-                if not blob:
-                    continue
-                (dim,) = struct.unpack_from("<i", blob, 0)
+            for uri, first, n, dim in zip(*(b.column(c).to_pylist() for c in ("uri", "first", "n", "dim"))):
+                own, name = _store(uri)
                 row = 4 + dim * width
-                if dim <= 0 or len(blob) % row:
-                    raise ValueError(f"{path}: no whole number of {dim}-dimensional rows")
-                m = np.frombuffer(blob, np.uint8).reshape(-1, row)[:, 4:].copy().view(dtype)
-                for at in range(0, len(m), 10_000):
-                    part = m[at : at + 10_000]
+                with own.open_input_file(name) as source:
+                    source.seek(first * row)
+                    raw = np.frombuffer(source.read(n * row), np.uint8).reshape(n, row)
+                if (raw[:, :4].copy().view("<i4") != dim).any():
+                    raise ValueError(f"{uri}: rows differ in length")
+                m = raw[:, 4:].copy().view(dtype)
+                for i in range(0, n, 10_000):
+                    part = m[i : i + 10_000]
                     flat = pa.array(part.reshape(-1).astype({"float": np.float32, "int": np.int32}[out]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, dim, dtype=np.int32)), flat)], ["row", "vector"])
-
-    return run
-
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first + i, first + i + len(part))), pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, dim, dtype=np.int32)), flat)], ["row", "vector"])
 
-def read_vecs(spark: SparkSession, path: str) -> DataFrame:
-    """fvecs, ivecs or bvecs by suffix: ``row bigint, vector``; one task per file."""
-    kind = path.rstrip("/*").rsplit(".", 1)[-1][:1]
-    dtype, width, out = {"f": ("<f4", 4, "float"), "i": ("<i4", 4, "int"), "b": ("u1", 1, "float")}[kind]
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_vecs("path", dtype, width, out), f"row bigint, vector array<{out}>")
+    table = spark.createDataFrame(ranges, "uri string, first bigint, n bigint, dim int").repartition(max(1, len(ranges)))
+    return table.mapInArrow(run, f"row bigint, vector array<{out}>")
 
 
 def read_hdf5(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -34,6 +34,17 @@ def test_vecs(spark, tmp_path, suffix, dtype):
     assert [list(r.vector) for r in formats.read_vecs(spark, str(p)).orderBy("row").collect()] == m.tolist()
 
 
+def test_vecs_in_ranges_and_folders(spark, tmp_path):
+    m = np.arange(400, dtype="<f4").reshape(100, 4)
+    for name, rows in (("a", m[:60]), ("b", m[60:])):
+        (tmp_path / f"{name}.fvecs").write_bytes(b"".join(np.int32(4).tobytes() + r.tobytes() for r in rows))
+    got = formats.read_vecs(spark, f"file://{tmp_path}", chunk_bytes=200)
+    assert got.rdd.getNumPartitions() >= 10 and sorted(tuple(r.vector) for r in got.collect()) == [tuple(r) for r in m.tolist()]
+    (tmp_path / "b.fvecs").write_bytes(b"\x04\x00\x00\x00abc")
+    with pytest.raises(ValueError, match="whole number"):
+        formats.read_vecs(spark, str(tmp_path / "b.fvecs"))
+
+
 def test_arrow_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("1", [1.0, 2.0], "t", {"a": "b"}), ("2", [3.0, 4.0], None, {})], "id string, vector array<float>, text string, metadata map<string,string>")
     formats.export_arrow(df, str(tmp_path / "out"), 2)
