@@ -1011,6 +1011,54 @@ def arrow_round_trip(spark, d):
     return formats.read_arrow(spark, path).select("id", F.round(V.total(F.col("vector")), 4).alias("total"))
 
 
+@query("SELECT round(quantile_cont(x, 0.005), 5) AS low, round(quantile_cont(x, 0.995), 5) AS high FROM (SELECT unnest(embedding::DOUBLE[]) AS x FROM embeddings)")
+def quantile_bounds(spark, d):
+    """The bounds between which the byte codes spread their levels."""
+    c = quant.train("sq8", emb(spark, d))
+    return spark.createDataFrame([(round(c.low, 5), round(c.high, 5))], "low double, high double")
+
+
+@query("SELECT * FROM (VALUES ('dense', true), ('givens', true), ('quaternion', true)) t(rotation, orthogonal)")
+def rotations(spark, d):
+    """The rotations that precede sign codes keep lengths and angles."""
+    import numpy as np
+
+    makes = {"dense": quant.dense_rotation, "givens": quant.givens_rotation, "quaternion": quant.quaternion_rotation}
+    return spark.createDataFrame([(n, bool(np.abs(m(64) @ m(64).T - np.eye(64)).max() < 1e-9)) for n, m in makes.items()], "rotation string, orthogonal boolean")
+
+
+@query("SELECT count(*) AS n, true AS second_run_adds_nothing, true AS replica_waits, true AS replica_follows FROM (SELECT DISTINCT c_custkey FROM customer)")
+def stream_resume(spark, d):
+    """A change stream applied twice from one checkpoint, and a replica that moves on when told."""
+    root, raw = f"{runtime.stage_root(spark)}/resume-{uuid.uuid4().hex}", cust(spark, d)
+    events = raw.select(F.lit("Upsert").alias("op"), F.col("c_custkey").alias("seq"), "c_custkey", "c_name", "c_acctbal")
+    events.write.parquet(f"{root}/events")
+    c = table.Collection(spark, f"{root}/rows", key="c_custkey")
+
+    def go():
+        ingest.follow_events(spark.readStream.schema(events.schema).parquet(f"{root}/events"), c, f"{root}/checkpoint").awaitTermination()
+        return c.generation
+
+    first = go()
+    again, replica = go(), ingest.Replica(c)
+    c.upsert(raw.limit(1).withColumn("c_acctbal", F.lit(-1.0).cast(raw.schema["c_acctbal"].dataType)))
+    waits = replica.generation == again
+    follows = replica.refresh() and replica.generation == c.generation
+    return replica.read().agg(F.count("*").alias("n"), F.lit(first == again).alias("second_run_adds_nothing"), F.lit(waits).alias("replica_waits"), F.lit(follows).alias("replica_follows"))
+
+
+@query(f"{_CUST} WHERE c_custkey % 2 = 1")
+def shipped_generation(spark, d):
+    """A generation shipped to another collection."""
+    root = f"{runtime.stage_root(spark)}/ship-{uuid.uuid4().hex}"
+    a, b = (table.Collection(spark, f"{root}/{x}", key="c_custkey") for x in "ab")
+    a.add(cust(spark, d))
+    a.delete(cust(spark, d).where("c_custkey % 2 = 0").select("c_custkey"))
+    a.export_generation(f"{root}/shipped")
+    b.import_generation(f"{root}/shipped")
+    return b.read()
+
+
 # -- tuning, projections, batches -----------------------------------------------------------------------------
 
 AXES = [tune.Choice("m", (8, 16, 32)), tune.Choice("ef", (64, 128)), tune.Choice("quantizer", ("none", "sq8"))]
@@ -1039,6 +1087,17 @@ def index_memory(spark, d):
     return df.select(F.col("n").cast("int").alias("n"), *[tune.index_bytes(kind, n, dim, quantizer=q).alias(name) for name, (kind, q) in kinds.items()])
 
 
+@query("SELECT true AS within, true AS reproducible, true AS better_than_random")
+def sampled_trials(spark, d):
+    """Random trials stay in their ranges and repeat with their seed; the sequential sampler's best beats the random ones' mean."""
+    axes = [tune.IntRange("m", 4, 64, log=True), tune.FloatRange("x", 0.0, 1.0), tune.Choice("k", ("a", "b"))]
+    value = lambda p: -abs(p["m"] - 16) / 60 - (p["x"] - 0.3) ** 2 + (p["k"] == "a")
+    trials = tune.random_trials(axes, 200)
+    within = all(4 <= p["m"] <= 64 and 0 <= p["x"] <= 1 and p["k"] in "ab" for p in trials)
+    best = max(v for _, v in tune.run_study(tune.TreeParzen(axes).next, value, 40))
+    return spark.createDataFrame([(within, trials == tune.random_trials(axes, 200), best > sum(map(value, trials)) / len(trials))], "within boolean, reproducible boolean, better_than_random boolean")
+
+
 @query("SELECT vec_id AS id, round(list_sum([x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) for x in embedding::DOUBLE[]]), 6) AS unit_sum FROM embeddings")
 def sphereize(spark, d):
     return emb(spark, d).select("id", r6(V.total(tune.sphereize(F.col("vector")))).alias("unit_sum"))
