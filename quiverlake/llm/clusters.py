@@ -417,8 +417,10 @@ def _cut_again(placed: DataFrame, dim: int, most_rows: int, seed: int, levels: i
         top = sizes.agg(F.max("n")).first()[0]
         if top is None:
             break
-        done.append(placed.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "cell", "left_anti"))
-        large = placed.join(sizes, "cell")
+        # the list of large cells is short beside their rows; beyond 10,000 it is joined by shuffle
+        named = F.broadcast(sizes) if sizes.count() <= 10_000 else sizes
+        done.append(placed.join(named, "cell", "left_anti"))
+        large = placed.join(named, "cell")
         children, salts = 64, max(4, -(-top // 500_000))
         wanted = 32 * children
         part = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) < F.ceil((1 << 30) * F.lit(1.0) * wanted / F.col("n"))

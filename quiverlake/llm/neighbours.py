@@ -167,28 +167,6 @@ def chunk_of(keys: np.ndarray, n: int) -> np.ndarray:
     return (keys >> 32) * n >> 31
 
 
-def even_labels(n: int) -> list[int]:
-    """``n`` ints of which hash partitioning into ``n`` partitions puts exactly one into each.
-
-    Spark places an int by its Murmur3 hash (seed 42) modulo the number of partitions.
-    """
-    mask, free, out, x = 0xFFFFFFFF, n, [None] * n, 0
-    while free:
-        k = x * 0xCC9E2D51 & mask
-        k = (k << 15 | k >> 17) & mask
-        h = 42 ^ (k * 0x1B873593 & mask)
-        h = (((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64) & mask
-        h ^= 4
-        h = (h ^ h >> 16) * 0x85EBCA6B & mask
-        h = (h ^ h >> 13) * 0xC2B2AE35 & mask
-        h ^= h >> 16
-        at = (h - (1 << 32) if h >> 31 else h) % n
-        if out[at] is None:
-            out[at], free = x, free - 1
-        x += 1
-    return out
-
-
 def _block_candidates(s: np.ndarray, k: int, floor: float, axis: int = 1, size: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """Entries of each row (``axis`` 1) or column (0) of ``s`` that can be among its ``k`` largest and reach ``floor``: (line, place in it).
 
@@ -360,8 +338,8 @@ def nearest(embeddings: DataFrame, *, fit: np.ndarray, total: int, dim: int, k:
     curves = Curves(fit, dim, orderings, parts, seed=seed)
     groups = DenseGroups.everything(total, dim) if exact else DenseGroups(fit, total, 2 * block, places=curves.places)
     stretches_n = orderings * parts
-    labels = np.array(even_labels(stretches_n + len(groups.cells)), np.int32)
-    cells = {int(labels[stretches_n + i]): x for i, x in enumerate(zip(groups.cells, groups.owned))}
+    n_parts = stretches_n + len(groups.cells)
+    cells = {stretches_n + i: x for i, x in enumerate(zip(groups.cells, groups.owned))}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -370,13 +348,14 @@ def nearest(embeddings: DataFrame, *, fit: np.ndarray, total: int, dim: int, k:
             u = np.round(unit(from_binary(b.column("vec"), dim)), curves.places)
             for o in range(orderings):
                 keys = curves.keys(u, o)
-                yield pa.RecordBatch.from_arrays([pa.array(labels[o * parts + curves.part(keys, o)]), pa.array(keys), b.column("id"), b.column("vec")], ["part", "key", "id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array((o * parts + curves.part(keys, o)).astype(np.int32)), pa.array(keys), b.column("id"), b.column("vec")], ["part", "key", "id", "vec"])
             for cell, rows, keys in groups.place(u):
                 at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), labels[stretches_n + cell], np.int32)), pa.array(keys), b.column("id").take(at), b.column("vec").take(at)], ["part", "key", "id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), stretches_n + cell, np.int32)), pa.array(keys), b.column("id").take(at), b.column("vec").take(at)], ["part", "key", "id", "vec"])
 
     placed = embeddings.mapInArrow(place, "part int, key bigint, id string, vec binary")
-    stretches = placed.repartition(len(labels), "part").sortWithinPartitions("part", "key", "id")
+    # every stretch and every cell is a partition of its own, by its number
+    stretches = placed.repartitionById(n_parts, "part").sortWithinPartitions("part", "key", "id")
     found = stretches.mapInArrow(lambda it: _search_stretch(it, dim, k, floor, block, cells=cells, centers=groups.centers), "id string, found array<struct<s: double, id: string>>")
     merged = found.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
     return merged.select("id", F.slice("found", 1, k).alias("found"))

@@ -87,12 +87,6 @@ def test_hilbert_curve_visits_every_cell_by_single_steps(dims, bits):
     assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
 
 
-def test_even_labels(spark):
-    for n in (1, 7, 24):
-        rows = spark.createDataFrame([(x,) for x in neighbours.even_labels(n)], "x int").select(F.pmod(F.hash("x"), F.lit(n)).alias("p")).collect()
-        assert sorted(r.p for r in rows) == list(range(n))
-
-
 def test_nearest_equals_brute_force(spark, vector_docs):
     vs = truth(vector_docs)
     found = {r.id: [(f.id, round(-f.s, 6)) for f in r.found] for r in neighbours.nearest_records(vector_docs, k=5, rows_per_part=100, block=64).collect()}
