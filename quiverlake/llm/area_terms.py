@@ -107,7 +107,7 @@ TERMS: dict[str, dict[str, str]] = {
     },
     "vector_search": {
         "words": "nearest neighbour | nearest neighbours | nearest neighbor | nearest neighbors | vector search | vector database | vector index | similarity search | semantic search index | cosine similarity | cosine distance | euclidean distance | euclidean | hamming distance | dot product | inner product | hnsw | vamana | ivf | product quantization | product quantisation | scalar quantization | quantization | quantisation | quantized | codebook | centroids | inverted lists | graph index | small world graph | greedy traversal | beam search in the graph | approximate search | recall drops | ann index | embedding space | high dimensions | high-dimensional | dimensionality | nprobe | proximity graph | k-means cells | angle ordering | equally far | lists are visited | compressing to | near items near | binary codes | reranking by exact distance | locality-sensitive hashing | kd-tree | search radius | query vector | distance computation",
-        "hints": "vector | vectors in | distance | neighbour | dimensions | cluster | candidate | index",
+        "hints": "vector | distance | neighbour | dimensions | cluster | candidate | index",
         "de": "nächste Nachbarn | Vektorsuche | Vektordatenbank | Ähnlichkeitssuche | Kosinusähnlichkeit | euklidische | Quantisierung | Vektor | Dimensionen",
         "fr": "plus proches voisins | recherche vectorielle | base vectorielle | similarité cosinus | distance euclidienne | quantification | vecteur | grande dimension",
         "es": "vecinos más cercanos | búsqueda vectorial | base vectorial | similitud del coseno | distancia euclidiana | cuantización | alta dimensión",
