@@ -351,14 +351,15 @@ _CLOSERS = "\"'”’»)]*_` \t\r\n​﻿"
 def is_truncated(answer: str) -> bool:
     """Breaks off before a code block, an announced list, a bracket, a quotation, a word or a sentence is complete."""
     text = answer.strip().strip("​﻿")
-    if len(re.findall(r"^\s*(?:```|~~~)", text, re.M)) % 2:
-        return True
-    if re.search(r"(?:```|~~~)\s*$", text):
-        return False
+    if "```" in text or "~~~" in text:
+        if len(re.findall(r"^\s*(?:```|~~~)", text, re.M)) % 2:
+            return True
+        if re.search(r"(?:```|~~~)\s*$", text):
+            return False
     lines = [x for x in text.split("\n") if x.strip()]
     if not lines:
         return False
-    for m in _ANNOUNCED.finditer(text):
+    for m in _ANNOUNCED.finditer(text) if ":" in text else ():
         rest = text[m.end() :]
         items = re.findall(r"^\s*(?:[-*+•]|\(?\d{1,3}[.)])\s+\S", rest, re.M)
         numbered = re.search(r"^\s*\(?\d{1,3}[.)]\s+\S", rest, re.M)
@@ -370,7 +371,7 @@ def is_truncated(answer: str) -> bool:
     if last.startswith("|") or _URL.match(last):
         return False
     bare = _INLINE_CODE.sub(" ", last)
-    if bare.count("(") > bare.count(")") or bare.count("[") > bare.count("]") or len(re.findall(r'"', bare)) % 2 or bare.count("“") + bare.count("„") > bare.count("”") + bare.count("“") or bare.count("«") > bare.count("»"):
+    if bare.count("(") > bare.count(")") or bare.count("[") > bare.count("]") or bare.count('"') % 2 or bare.count("“") + bare.count("„") > bare.count("”") + bare.count("“") or bare.count("«") > bare.count("»"):
         return True
     tail = last.rstrip(_CLOSERS)
     if not tail or tail.endswith(_ENDS):
