@@ -1,6 +1,9 @@
-"""Most similar embeddings for every vector, by shifted space-filling curves.
+"""Most similar embeddings for every vector, by cells around centres or by shifted space-filling curves.
 
-Every vector is projected several times to a few dimensions and placed on a Hilbert curve of
+With a floor of the cosine that tells the alike from the others (``dense`` or more), rows are compared in full in
+:class:`Cells` around centres, cut into parts that many tasks share.
+
+Without one, every vector is projected several times to a few dimensions and placed on a Hilbert curve of
 the projection. Each ordering is range-partitioned and sorted in Spark; a task streams along
 its stretch of the curve and compares each block of rows with itself and the blocks beside
 it. Inside a large dense group a curve tells little about who is nearest, so the members of such
@@ -11,6 +14,7 @@ the number of rows, and inside a large dense group grows with the group.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .arrays import from_binary, live_embeddings, to_binary, unit, usable
 
+FOUND = "id string, found array<struct<s: double, id: string>>"
+
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     """Positions on the Hilbert curve of integer cells (rows x dims, each below 2**bits).
@@ -142,6 +148,11 @@ class DenseGroups:
         self.owned += [{i for i in p if owner[i] == at[p]} for p in pairs]
         self.chunks.append([[c for p, c in at.items() if i in p] for i in range(n)])
 
+    def keys(self, u: np.ndarray) -> np.ndarray:
+        """Hashes below 2**63 of directions rounded to ``places`` decimals."""
+        whole = np.rint(u * 10**self.places).astype(np.int64).astype(np.uint64)
+        return ((whole * self.mix).sum(axis=1, dtype=np.uint64) >> np.uint64(1)).astype(np.int64)
+
     def place(self, u: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(cell, rows, keys) of directions rounded to ``places`` decimals; keys order a cell by chunk."""
         if not len(self.centers):
@@ -150,8 +161,7 @@ class DenseGroups:
         some = np.flatnonzero(inside.any(axis=1))
         if not len(some):
             return
-        whole = np.rint(u[some] * 10**self.places).astype(np.int64).astype(np.uint64)
-        keys = ((whole * self.mix).sum(axis=1, dtype=np.uint64) >> np.uint64(1)).astype(np.int64)
+        keys = self.keys(u[some])
         for g, cells in enumerate(self.chunks):
             member = inside[some, g]
             chunk = chunk_of(keys, len(cells))
@@ -167,28 +177,112 @@ def chunk_of(keys: np.ndarray, n: int) -> np.ndarray:
     return (keys >> 32) * n >> 31
 
 
-def _block_candidates(s: np.ndarray, k: int, floor: float, axis: int = 1, size: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of each row (``axis`` 1) or column (0) of ``s`` that can be among its ``k`` largest and reach ``floor``: (line, place in it).
+class Cells(DenseGroups):
+    """Cells around at most ``most`` centres, where rows meet all rows whose cosine to them is at least ``floor``.
+
+    A row is settled if its cosine to its nearest centre is at least ``near``. Every row goes to all centres within the
+    angle of ``near`` plus that of ``floor``, so a settled row meets all rows alike it in its centre's cell. A row that
+    isn't settled, of a small group or alone, goes to its ``spread`` nearest centres besides; two of these meet if they
+    share one. Centres are the densest places of the sample first, then rows far from them; up to ``whole`` rows there is one.
+
+    Cells are cut into chunks like dense groups, so large ones that a row's copies stay below about ``copies`` on average,
+    as long as a chunk then has at most ``most_rows`` rows. ``tasks``: the task of each cell, by their expected costs.
+    """
+
+    def __init__(self, sample: np.ndarray, total: int, floor: float, near: float = 0.9, spread: int = 5, most: int = 8192, rows_per_center: int = 256, whole: int = 8192, rows: int = 16_384, most_rows: int = 65_536, copies: float = 1.5, task_bytes: float = 6e6, dense: float = 0.84):
+        super().__init__(sample[:0], 0, 1)
+        dim = sample.shape[1]
+        self.near, self.spread = np.float32(near), spread
+        self.wide = np.float32(np.cos(min(np.pi, np.arccos(near) + np.arccos(min(1.0, floor)))) - 1e-3)
+        self.centers = np.zeros((1, dim), np.float32)
+        if total > whole and len(sample):
+            self._center(unit(sample).astype(np.float32), min(most, total // rows_per_center), dense)
+        row, at = self._members(unit(sample).astype(np.float32)) if len(sample) else (np.empty(0, int), np.empty(0, int))
+        expected = np.maximum(1, np.bincount(at, minlength=len(self.centers))) * max(1.0, total / max(1, len(sample)))
+        size = min(most_rows, max(rows, (expected**2).sum() / max(1, total) / copies))
+        for n in expected:
+            self._cut(max(1, int(-(-n // size))))
+        several = np.array([len(c) for c in self.chunks])
+        self.first = np.concatenate([[0], np.cumsum(several)])  # of each centre's chunks
+        lists = [np.array(cells) for chunks in self.chunks for cells in chunks]
+        self.starts, self.flat = np.concatenate([[0], np.cumsum([len(x) for x in lists])]), np.concatenate(lists)
+        held = np.concatenate([np.full(max(1, n * (n - 1) // 2), e * min(2, n) / n) for n, e in zip(several.tolist(), expected)])
+        self.n_tasks = max(1, min(len(held), int(-(-held.sum() * (4 * dim + 48) // task_bytes))))
+        self.tasks, cost, loads = np.empty(len(held), np.int32), held**2 + 4096 * held, [(0.0, i) for i in range(self.n_tasks)]
+        for c in np.argsort(-cost, kind="stable"):
+            load, i = heapq.heappop(loads)
+            self.tasks[c] = i
+            heapq.heappush(loads, (load + cost[c], i))
+
+    def _center(self, u: np.ndarray, most: int, dense: float) -> None:
+        near = np.concatenate([(u[i : i + 1024] @ u.T >= dense).sum(axis=1) for i in range(0, len(u), 1024)])
+        left, centers = np.ones(len(u), bool), []
+        for pivot in np.argsort(-near, kind="stable"):
+            if not left[pivot]:
+                continue
+            c = u[pivot]
+            for _ in range(2 if near[pivot] > 2 else 0):
+                c = u[u @ c >= dense].sum(axis=0)
+                c /= np.linalg.norm(c)
+            left &= u @ c < dense
+            left[pivot] = False
+            centers.append(c)
+            if len(centers) == most:
+                break
+        self.centers = np.array(centers, np.float32)
+
+    def _members(self, f: np.ndarray, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+        """(row, centre) of every centre a row goes to."""
+        out = []
+        for i in range(0, len(f), step):
+            s = f[i : i + step] @ self.centers.T
+            inside = s >= self.wide
+            loose = np.flatnonzero(s.max(axis=1) < self.near)
+            if s.shape[1] <= self.spread:
+                inside[loose] = True
+            elif len(loose):
+                inside[loose[:, None], np.argpartition(s[loose], -self.spread, axis=1)[:, -self.spread :]] = True
+            r, c = np.nonzero(inside)
+            out.append((r + i, c))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def place_all(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, cell and key of each copy of directions."""
+        keys = self.keys(u)
+        row, at = self._members(u.astype(np.float32))
+        n = np.diff(self.first)[at]
+        chunk = self.first[at] + chunk_of(keys[row], n)
+        many = np.diff(self.starts)[chunk]
+        place = np.repeat(self.starts[chunk] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        row = np.repeat(row, many)
+        return row, self.flat[place], keys[row]
+
+
+def _block_candidates(s: np.ndarray, k: int, floor: float | np.ndarray, axis: int = 1, size: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of each row (``axis`` 1) or column (0) of ``s`` that can be among its ``k`` largest and reach ``floor`` (of all or of each): (line, place in it).
 
     The k-th largest of the maxima of groups of entries is a lower bound of the k-th entry. A group is every ``n``-th entry, so
     that maxima are taken along whole rows of memory, and only groups that reach the bound are looked at again.
     """
     n, w = s.shape if axis == 1 else s.shape[::-1]
     groups = w // size
+    floors = np.broadcast_to(np.asarray(floor, np.float32), n)
+    lines = floors[:, None] if axis == 1 else floors
     if groups <= k:
-        i, j = np.nonzero(s >= floor)
+        i, j = np.nonzero(s >= lines)
         return (i, j) if axis == 1 else (j, i)
     whole = groups * size
     tops = s[:, :whole].reshape(n, size, groups).max(axis=1) if axis == 1 else s[:whole].reshape(size, groups, n).max(axis=0).T
-    some = np.flatnonzero((tops >= floor).any(axis=1))
-    tops = tops[some]
-    bound = np.maximum(np.partition(tops, groups - k, axis=1)[:, groups - k] - np.float32(2e-6), floor)
+    reach = (tops >= floors[:, None]).sum(axis=1)
+    some = np.flatnonzero(reach)
+    tops, bound, crowded = tops[some], floors[some], np.flatnonzero(reach[some] > k)
+    bound[crowded] = np.maximum(np.partition(tops[crowded], groups - k, axis=1)[:, groups - k] - np.float32(2e-6), bound[crowded])
     r, g = np.nonzero(tops >= bound[:, None])
-    lines, places = some[r], g[:, None] + np.arange(size) * groups
-    p, q = np.nonzero((s[lines[:, None], places] if axis == 1 else s[places, lines[:, None]]) >= bound[r][:, None])
-    out = lines[p], places[p, q]
+    at, places = some[r], g[:, None] + np.arange(size) * groups
+    p, q = np.nonzero((s[at[:, None], places] if axis == 1 else s[places, at[:, None]]) >= bound[r][:, None])
+    out = at[p], places[p, q]
     if whole < w:
-        i, j = np.nonzero(s[:, whole:] >= floor) if axis == 1 else np.nonzero(s[whole:].T >= floor)
+        i, j = np.nonzero(s[:, whole:] >= lines) if axis == 1 else np.nonzero(s[whole:].T >= floors[:, None])
         out = np.concatenate([out[0], i]), np.concatenate([out[1], j + whole])
     return out
 
@@ -204,7 +298,7 @@ def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor:
     """
     low = np.float32(floor - 1e-5)
 
-    def settle(ids, u, rows, cols_ids, scores):
+    def best(ids, rows, cols_ids, scores):
         """Best k of each row from (row, other id, score)."""
         scores = np.round(scores, 6)
         keep = scores >= floor
@@ -214,8 +308,7 @@ def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor:
         first = np.searchsorted(rows, np.arange(len(ids) + 1))
         rank = np.arange(len(rows)) - first[rows]
         keep = rank < k
-        rows, cols_ids, scores = rows[keep], cols_ids[keep], scores[keep]
-        return emit(ids, rows, cols_ids, scores)
+        return rows[keep], cols_ids[keep], scores[keep]
 
     def emit(ids, rows, others, scores):
         counts = np.bincount(rows, minlength=len(ids))
@@ -230,14 +323,23 @@ def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor:
         if own:
             np.fill_diagonal(s, -2)
         for left, right, axis in ((a, b, 1),) if own else ((a, b, 1), (b, a, 0)):
-            i, j = _block_candidates(s, k, low, axis)
+            i, j = _block_candidates(s, k, left["low"], axis)
             if len(i):
                 left["got"].append((i, right["ids"][j], np.einsum("ij,ij->i", left["u"][i], right["u"][j])))
+                left["n"] += len(i)
+                if left["n"] > 2 * k * len(left["ids"]):
+                    settle(left)
+
+    def settle(a):
+        """Keep the best k so far of each row of a block; a row that has k looks for better ones only."""
+        i, others, s = best(a["ids"], *(np.concatenate(x) for x in zip(*a["got"])))
+        full = np.flatnonzero(np.bincount(i, minlength=len(a["ids"])) == k)
+        a["low"][full] = np.maximum(low, s[np.searchsorted(i, full, side="right") - 1] - 1e-5)
+        a["got"], a["n"] = [(i, others, s)], 0
 
     def finish(a):
         if a["got"]:
-            i, others, s = (np.concatenate(x) for x in zip(*a["got"]))
-            out = settle(a["ids"], a["u"], i, others, s)
+            out = emit(a["ids"], *best(a["ids"], *(np.concatenate(x) for x in zip(*a["got"]))))
             if out.num_rows:
                 yield out
 
@@ -261,7 +363,8 @@ def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor:
         n, own = (cells or {}).get(int(part), (1, None)) if part is not None else (1, None)
         while pend_n >= block or (final and pend_n):
             ids, u, keys = np.concatenate(pend_ids), np.concatenate(pend_u), np.concatenate(pend_keys)
-            a = {"ids": ids[:block], "u": u[:block], "got": []}
+            a = {"ids": ids[:block], "u": u[:block], "got": [], "n": 0}
+            a["low"] = np.full(len(a["ids"]), low, np.float32)
             a["f"] = a["u"].astype(np.float32)
             a["balls"] = (a["f"] @ centers.T >= dense + 1e-3).all(axis=0) if centers is not None and len(centers) else np.zeros(0, bool)  # wholly inside, whatever the rounding
             a["chunks"] = chunk_of(keys[:block][[0, -1]], n).tolist()
@@ -322,17 +425,21 @@ def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor:
     yield from flush(True)
 
 
-def nearest(embeddings: DataFrame, *, fit: np.ndarray, total: int, dim: int, k: int = 5, floor: float = -1.0, orderings: int = 3, block: int = 2048, rows_per_part: int = 40_000, seed: int = 7, exact: bool = False) -> DataFrame:
+def nearest(embeddings: DataFrame, *, fit: np.ndarray, total: int, dim: int, k: int = 5, floor: float = -1.0, orderings: int = 3, block: int = 2048, rows_per_part: int = 40_000, seed: int = 7, exact: bool = False, dense: float = 0.84) -> DataFrame:
     """The ``k`` most similar other ids of every id: ``id, found: array<struct<s: -cosine, id>>``.
 
     ``embeddings``: ``id string, vec binary`` (float32 bytes), one row per id; ``total``: about how many.
     ``fit``: a bounded sample of embeddings for the curves' directions and range bounds; all rows
     are indexed and searched. ``found`` is sorted by cosine (double precision, 6 decimals) and
     then by id. Others under ``floor`` are not reported, and an id with none is left out.
-    Results are approximate: a neighbour is found if it lies within the window of the row
-    in one of the orderings, or in one :class:`DenseGroups` ball with it. With ``exact`` every row is compared with every
+    With a ``floor`` of at least ``dense`` all rows are compared in :class:`Cells`: a pair is found for certain if one of the two
+    is near a centre, else if they share one of their nearest centres; groups are compared in full, at a cost that grows with
+    the square of their size. With a lower one results are approximate: a neighbour is found if it lies within the window of the
+    row in one of the orderings, or in one :class:`DenseGroups` ball with it. With ``exact`` every row is compared with every
     other, in cells spread over the tasks, at a cost that grows with the square of their number. Empty input gives an empty result.
     """
+    if floor >= dense and not exact:
+        return _nearest_in_cells(embeddings, Cells(fit, total, floor, dense=dense), dim=dim, k=k, floor=floor, block=block)
     parts = max(1, -(-total // rows_per_part))
     orderings = 0 if exact else orderings
     curves = Curves(fit, dim, orderings, parts, seed=seed)
@@ -356,7 +463,25 @@ def nearest(embeddings: DataFrame, *, fit: np.ndarray, total: int, dim: int, k:
     placed = embeddings.mapInArrow(place, "part int, key bigint, id string, vec binary")
     # every stretch and every cell is a partition of its own, by its number
     stretches = placed.repartitionById(n_parts, "part").sortWithinPartitions("part", "key", "id")
-    found = stretches.mapInArrow(lambda it: _search_stretch(it, dim, k, floor, block, cells=cells, centers=groups.centers), "id string, found array<struct<s: double, id: string>>")
+    found = stretches.mapInArrow(lambda it: _search_stretch(it, dim, k, floor, block, cells=cells, centers=groups.centers), FOUND)
+    return _merged(found, k)
+
+
+def _nearest_in_cells(embeddings: DataFrame, groups: Cells, *, dim: int, k: int, floor: float, block: int) -> DataFrame:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                rows, cell, keys = groups.place_all(unit(from_binary(b.column("vec"), dim)))
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(groups.tasks[cell]), pa.array(cell.astype(np.int32)), pa.array(keys), b.column("id").take(at), b.column("vec").take(at)], ["task", "part", "key", "id", "vec"])
+
+    cells = dict(enumerate(zip(groups.cells, groups.owned)))
+    placed = embeddings.mapInArrow(place, "task int, part int, key bigint, id string, vec binary")
+    parts = placed.repartitionById(groups.n_tasks, "task").select("part", "key", "id", "vec").sortWithinPartitions("part", "key", "id")
+    return _merged(parts.mapInArrow(lambda it: _search_stretch(it, dim, k, floor, block, cells=cells), FOUND), k)
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
     merged = found.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
     return merged.select("id", F.slice("found", 1, k).alias("found"))
 

@@ -142,6 +142,55 @@ def test_nearest_in_full(spark, vector_docs, monkeypatch):
     assert got == want
 
 
+def alike_groups(rng, sizes, alone, noise=0.2):
+    x = np.vstack([rng.normal(size=64) + noise * rng.normal(size=(n, 64)) for n in sizes] + [rng.normal(size=(alone, 64))])
+    return x[rng.permutation(len(x))].astype(np.float32)
+
+
+def test_nearest_among_many_groups_the_sample_hardly_sees(spark):
+    """Groups of every size, most with few rows in the sample or none: all true pairs come out, and no others."""
+    rng = np.random.default_rng(8)
+    x = alike_groups(rng, [3000, *[400] * 12, *[60] * 80, *[6] * 400], 5000)
+    ids = np.array([f"r{i:05d}" for i in rng.permutation(len(x))])
+    df = spark.createDataFrame([(i, v.tobytes()) for i, v in zip(ids, x)], "id string, vec binary")
+    found = neighbours.nearest(df, fit=x[rng.choice(len(x), 1000, replace=False)], total=len(x), dim=64, floor=0.84, rows_per_part=2000, block=64)
+    got = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(found).collect()}
+    u, by_id = unit(x), np.argsort(np.argsort(ids))
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -1)
+    want = set()
+    for i in range(len(x)):
+        near = np.flatnonzero(s[i] >= 0.84)
+        want |= {tuple(sorted((ids[i], ids[j]))) for j in near[np.lexsort((by_id[near], -s[i, near]))[:5]]}
+    assert len(got & want) >= 0.998 * len(want) and len(got & want) >= 0.998 * len(got)
+
+
+def test_rows_near_a_centre_meet_all_alike_in_cells():
+    rng = np.random.default_rng(9)
+    u = unit(np.vstack([alike_groups(rng, [900, *[30] * 20, *[4] * 50], 300), (np.eye(64)[0] + np.linspace(0, 3, 200)[:, None] * np.eye(64)[1]).astype(np.float32)]))  # the last are a chain
+    g = neighbours.Cells(u[::3].astype(np.float32), len(u), 0.84, rows_per_center=20, whole=100, rows=200, most_rows=200, copies=1e-3)
+    rows, cell, keys = g.place_all(u)
+    met = np.zeros((len(u), len(u)), int)
+    for c in range(len(g.cells)):
+        at, chunk = rows[cell == c], neighbours.chunk_of(keys[cell == c], g.cells[c])
+        met[np.ix_(at, at)] += (chunk[:, None] != chunk) | np.isin(chunk, list(g.owned[c]))
+    settled = (u @ g.centers.T).max(axis=1) >= 0.9
+    assert len(g.cells) > len(g.centers) > 20 and 900 < settled.sum() < len(u)
+    assert (met[settled] > 0)[(u @ u.T >= 0.84)[settled]].all()
+    assert (np.bincount(rows, minlength=len(u)) > 0).all() and g.tasks.max() < g.n_tasks
+
+
+@pytest.mark.parametrize("axis", [0, 1])
+def test_candidates_under_a_floor_of_each_line(axis):
+    s = np.random.default_rng(10).uniform(-1, 1, (301, 335) if axis == 1 else (335, 301)).astype(np.float32)
+    lines = s if axis == 1 else s.T
+    floor = np.where(np.arange(301) % 3 == 0, np.float32(0.999), np.float32(-1))
+    got = set(zip(*(x.tolist() for x in neighbours._block_candidates(s, 5, floor, axis))))
+    for i, line in enumerate(lines):
+        assert {(i, j) for j in np.argsort(-line)[:5].tolist() if line[j] >= floor[i]} <= got
+    assert all(lines[i, j] >= floor[i] for i, j in got) and len(got) < 301 * 60
+
+
 def test_nearest_floor_pairs_and_empty(spark, vector_docs):
     vs = truth(vector_docs)
     got = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(neighbours.nearest_records(vector_docs, floor=0.84)).collect()}
