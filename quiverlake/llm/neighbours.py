@@ -189,7 +189,7 @@ class Cells(DenseGroups):
     as long as a chunk then has at most ``most_rows`` rows. ``tasks``: the task of each cell, by their expected costs.
     """
 
-    def __init__(self, sample: np.ndarray, total: int, floor: float, near: float = 0.9, spread: int = 5, most: int = 8192, rows_per_center: int = 256, whole: int = 8192, rows: int = 16_384, most_rows: int = 65_536, copies: float = 1.5, task_bytes: float = 6e6, dense: float = 0.84):
+    def __init__(self, sample: np.ndarray, total: int, floor: float, near: float = 0.9, spread: int = 6, most: int = 4096, rows_per_center: int = 256, whole: int = 8192, rows: int = 16_384, most_rows: int = 131_072, copies: float = 0.75, task_bytes: float = 6e6, dense: float = 0.84):
         super().__init__(sample[:0], 0, 1)
         dim = sample.shape[1]
         self.near, self.spread = np.float32(near), spread
@@ -325,7 +325,7 @@ def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor:
         for left, right, axis in ((a, b, 1),) if own else ((a, b, 1), (b, a, 0)):
             i, j = _block_candidates(s, k, left["low"], axis)
             if len(i):
-                left["got"].append((i, right["ids"][j], np.einsum("ij,ij->i", left["u"][i], right["u"][j])))
+                left["got"].append((i, right["ids"][j], np.einsum("ij,ij->i", unit(left["x"][i]), unit(right["x"][j]))))
                 left["n"] += len(i)
                 if left["n"] > 2 * k * len(left["ids"]):
                     settle(left)
@@ -355,20 +355,20 @@ def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor:
             return not (a["balls"] & b["balls"]).any() and (not back or one_group(a, b))
         return b["chunks"][0] != a["chunks"][1] or a["chunks"][1] in own
 
-    pend_ids, pend_u, pend_keys, pend_n = [], [], [], 0
+    pend_ids, pend_x, pend_keys, pend_n = [], [], [], 0
     head, head_ids, part = None, [], None
 
     def flush(final):
-        nonlocal pend_ids, pend_u, pend_keys, pend_n
+        nonlocal pend_ids, pend_x, pend_keys, pend_n
         n, own = (cells or {}).get(int(part), (1, None)) if part is not None else (1, None)
         while pend_n >= block or (final and pend_n):
-            ids, u, keys = np.concatenate(pend_ids), np.concatenate(pend_u), np.concatenate(pend_keys)
-            a = {"ids": ids[:block], "u": u[:block], "got": [], "n": 0}
+            ids, x, keys = np.concatenate(pend_ids), np.concatenate(pend_x), np.concatenate(pend_keys)
+            a = {"ids": ids[:block].copy(), "x": x[:block].copy(), "got": [], "n": 0}  # not views, which would hold all that is pending
             a["low"] = np.full(len(a["ids"]), low, np.float32)
-            a["f"] = a["u"].astype(np.float32)
+            a["f"] = unit(a["x"]).astype(np.float32)
             a["balls"] = (a["f"] @ centers.T >= dense + 1e-3).all(axis=0) if centers is not None and len(centers) else np.zeros(0, bool)  # wholly inside, whatever the rounding
             a["chunks"] = chunk_of(keys[:block][[0, -1]], n).tolist()
-            pend_ids, pend_u, pend_keys, pend_n = [ids[block:]], [u[block:]], [keys[block:]], max(0, len(ids) - block)
+            pend_ids, pend_x, pend_keys, pend_n = [ids[block:]], [x[block:]], [keys[block:]], max(0, len(ids) - block)
             if wanted(a, a, 0, own):
                 pairs(a, a, True)
             for back, b in enumerate(reversed(recent)):
@@ -385,7 +385,8 @@ def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor:
         parts = batch.column("part").to_numpy()
         edges = np.flatnonzero(np.diff(parts)) + 1
         ids_all, keys_all = batch.column("id").to_numpy(zero_copy_only=False), batch.column("key").to_numpy()
-        u_all = unit(from_binary(batch.column("vec"), dim)) if batch.num_rows else None
+        x_all = from_binary(batch.column("vec"), dim)
+        u_all = unit(x_all) if batch.num_rows else None
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
             if a == b:
                 continue
@@ -412,13 +413,13 @@ def _search_stretch(batches: Iterator[pa.RecordBatch], dim: int, k: int, floor:
                 if extra_rows:
                     rows = np.repeat(np.arange(len(extra_rows)), k)
                     yield emit(ids[extra_rows], rows, np.array(extra_ids, object), np.ones(len(rows)))
-                kept_ids, kept_u, kept_keys = ids[keep], u[keep], keys_all[a:b][keep]
+                kept_ids, kept_x, kept_keys = ids[keep], x_all[a:b][keep], keys_all[a:b][keep]
             else:
                 head_ids = [ids[-1]]
-                kept_ids, kept_u, kept_keys = ids, u, keys_all[a:b]
+                kept_ids, kept_x, kept_keys = ids, x_all[a:b], keys_all[a:b]
             head = u[-1:]
             pend_ids.append(kept_ids)
-            pend_u.append(kept_u)
+            pend_x.append(kept_x)
             pend_keys.append(kept_keys)
             pend_n += len(kept_ids)
             yield from flush(False)
