@@ -344,7 +344,7 @@ def ring_shard(key: Column, shards: int, points: int = 64) -> Column:
     places = ring(shards, points)
     h = F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << 32))
     spots = F.array(*[F.struct(F.lit(p).cast("bigint").alias("p"), F.lit(s).alias("s")) for p, s in places])
-    return F.coalesce(F.filter(spots, lambda x: x["p"] >= h)[0]["s"], F.lit(places[0][1]))
+    return F.coalesce(F.get(F.filter(spots, lambda x: x["p"] >= h), 0)["s"], F.lit(places[0][1]))
 
 
 class ShardedCollection:

@@ -235,6 +235,18 @@ def test_shards_and_log(spark, tmp_path):
     assert log.replay().count() == 1 and log.truncate() == 1 and log.segments() == [2]
 
 
+def test_keys_past_the_last_place_of_the_ring_go_to_the_first(spark, tmp_path):
+    places = table.ring(3)
+    rows = spark.range(4000).select("id", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 32)).alias("h"))
+    got = rows.withColumn("shard", table.ring_shard(F.col("id"), 3)).collect()
+    assert any(r.h > places[-1][0] for r in got)
+    assert all(r.shard == next((s for p, s in places if p >= r.h), places[0][1]) for r in got)
+    c = table.ShardedCollection(spark, f"file://{tmp_path}/ring", 3)
+    c.upsert(rows)
+    c.delete(rows.where("id % 5 = 0"))
+    assert sorted(r.id for r in c.read().collect()) == [i for i in range(4000) if i % 5]
+
+
 def test_tuning():
     axes = [tune.Choice("a", (1, 2)), tune.IntRange("b", 1, 3), tune.fixed("c", "x")]
     g = tune.grid(axes)
