@@ -36,11 +36,17 @@ def _hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI of the file system that Spark takes it to lie on, with ``file:///`` for a local one."""
+    fs, p = _hadoop_path(spark, path)
+    return re.sub("^file:/+", "file:///", fs.makeQualified(p).toString())
+
+
 def stage_root(spark: SparkSession) -> str:
-    """This application's folder for intermediate tables; the JVM deletes it when the application ends."""
+    """This application's folder for intermediate tables, as a URI; the JVM deletes it when the application ends."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        root = f"{shared_dir(spark)}/quiverlake/{app}"
+        root = qualified(spark, f"{shared_dir(spark)}/quiverlake/{app}")
         fs, p = _hadoop_path(spark, root)
         fs.mkdirs(p)
         fs.deleteOnExit(p)

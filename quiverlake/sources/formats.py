@@ -14,7 +14,7 @@ import pyarrow.fs  # noqa: F401  (pa.fs in the tasks)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.runtime import stage_root
+from ..operators.runtime import qualified, stage_root
 from ..operators.text import export_text
 
 JSONL_SCHEMA = "id string, text string, mime string, attrs map<string,string>, precomputedVector array<double>"
@@ -163,11 +163,11 @@ def export_arrow(df: DataFrame, path: str, dim: int, *, rows: int = 1000) -> Non
     ``path`` is a URI of a file system that every task reaches (``hdfs:``, ``s3:``, ``file:`` on a mount); a bare path only where Spark runs
     in one process. A file gets its name once it is whole, so a repeated task leaves one.
     """
-    if "://" not in path and not df.sparkSession.sparkContext.master.startswith("local"):
+    uri = path if "://" in path else qualified(df.sparkSession, path)
+    if uri.startswith("file:") and ":" not in path.split("/")[0] and not df.sparkSession.sparkContext.master.startswith("local"):
         raise ValueError("a path without a scheme is local to each executor; give a URI")
     schema = pa.schema([pa.field("id", pa.utf8(), False), pa.field("vector", pa.list_(pa.float32(), dim), False), pa.field("text", pa.utf8()), pa.field("metadata_json", pa.utf8())])
     shaped = df.select(F.col("id").cast("string").alias("id"), F.col("vector").cast("array<float>").alias("vector"), "text", F.to_json("metadata").alias("metadata_json"))
-    uri = path if "://" in path else "file://" + os.path.abspath(path)
     pa.fs.FileSystem.from_uri(uri)[0].create_dir(pa.fs.FileSystem.from_uri(uri)[1], recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

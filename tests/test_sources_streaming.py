@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quiverlake.operators import runtime
 from quiverlake.operators.table import Collection
 from quiverlake.sources import formats
 from quiverlake.streaming import ingest
@@ -52,6 +53,23 @@ def test_arrow_round_trip(spark, tmp_path):
     assert back == df.orderBy("id").collect()
 
 
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_arrow_round_trip_below_the_shared_folder(spark, tmp_path, monkeypatch, scheme):
+    """The folder that executors share may be set without a scheme, as spark-defaults.conf does, or with one slash; it is a URI to the tasks."""
+    monkeypatch.setattr(runtime, "_roots", {})
+    monkeypatch.setattr(runtime, "shared_dir", lambda spark: f"{scheme}{tmp_path}/shared")
+    root = runtime.stage_root(spark)
+    assert root.startswith(f"file://{tmp_path}/shared/")
+    df = spark.range(5).selectExpr("cast(id as string) id", "array(float(id), float(1)) vector", "'t' text", "map('k', 'v') metadata")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://another:7077")
+    formats.export_arrow(df, f"{root}/out", 2)
+    assert sorted(formats.read_arrow(spark, f"{root}/out").collect()) == sorted(df.collect())
+    formats.export_arrow(df, f"file:{tmp_path}/one-slash", 2)
+    assert formats.read_arrow(spark, f"file:{tmp_path}/one-slash").count() == 5
+    with pytest.raises(ValueError, match="give a URI"):
+        formats.export_arrow(df, f"{tmp_path}/bare", 2)
+
+
 def test_tsv_matrix_and_hub(spark, tmp_path):
     df = spark.createDataFrame([("1", "a\tb\n" + "x" * 200, [1.0, 2.0])], "id string, text string, vector array<float>")
     formats.export_tsv(df, str(tmp_path / "t"))
