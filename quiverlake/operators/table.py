@@ -343,8 +343,16 @@ def ring_shard(key: Column, shards: int, points: int = 64) -> Column:
     """The shard that owns a key: the first place of the ring at or after its hash. Another shard moves about 1 / shards of the keys."""
     places = ring(shards, points)
     h = F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << 32))
-    spots = F.array(*[F.struct(F.lit(p).cast("bigint").alias("p"), F.lit(s).alias("s")) for p, s in places])
-    return F.coalesce(F.get(F.filter(spots, lambda x: x["p"] >= h), 0)["s"], F.lit(places[0][1]))
+
+    def owner(first: int, last: int) -> Column:
+        """Halves the places until one shard is left; that after the last is the first again."""
+        owners = {places[i % len(places)][1] for i in range(first, last + 1)}
+        if len(owners) == 1:
+            return F.lit(owners.pop())
+        mid = (first + last) // 2
+        return F.when(h <= places[mid][0], owner(first, mid)).otherwise(owner(mid + 1, last))
+
+    return owner(0, len(places))
 
 
 class ShardedCollection:
@@ -352,9 +360,10 @@ class ShardedCollection:
 
     def __init__(self, spark: SparkSession, path: str, shards: int, key: str = "id", **options):
         self.key, self.shards = key, [Collection(spark, f"{path.rstrip('/')}/shard-{i}", key, **options) for i in range(shards)]
+        self._shard = ring_shard(F.col(key), shards)
 
     def _own(self, rows: DataFrame, i: int) -> DataFrame:
-        return rows.where(ring_shard(F.col(self.key), len(self.shards)) == i)
+        return rows.where(self._shard == i)
 
     def upsert(self, rows: DataFrame, batch: int | None = None) -> list[int]:
         return [c.upsert(self._own(rows, i), batch) for i, c in enumerate(self.shards)]
